@@ -1 +1,489 @@
-"""Pending."""
+"""Calendar, window scans, keyed writes and clean-up over the domain tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tradeaxis.config import Settings
+
+from tradeaxis.operators import calendar as cal
+from tradeaxis.operators import store
+from tradeaxis.operators.dedup import upsert
+from tradeaxis.plans.registry import ASOF, register
+from tradeaxis.schema import POSITION_VALUES
+from tradeaxis.views import Views
+
+DEPTH = Settings().price_window
+DEPTH_POSITIONS = Settings().positions_window
+
+
+def sql_window(depth: int = DEPTH, asof: dt.date = ASOF) -> str:
+    return (
+        f"(select session_date from v_session where session_date <= date '{asof}' "
+        f"order by session_date desc limit {depth})"
+    )
+
+
+def _window(v: Views, depth: int = DEPTH) -> cal.SessionWindow:
+    return cal.window(v.session, ASOF, depth)
+
+
+# --- calendar ------------------------------------------------------------------------------------
+
+
+@register(
+    "c01_is_session",
+    """select day, exists (select 1 from v_session s where s.session_date = day) as is_session
+      from (select distinct cast(o_orderdate as date) as day from orders) d""",
+)
+def is_session(v: Views) -> DataFrame:
+    days = v.orders.select(F.to_date("o_orderdate").alias("day")).distinct()
+    keys = F.broadcast(v.session.withColumn("hit", F.lit(True)))
+    joined = days.join(keys, days.day == keys.session_date, "left")
+    return joined.select("day", F.col("hit").isNotNull().alias("is_session"))
+
+
+@register(
+    "d01_latest_session_asof",
+    """select day, (select max(session_date) from v_session s where s.session_date <= d.day) as session_asof
+      from (select distinct cast(l_shipdate as date) as day from lineitem) d""",
+)
+def latest_session_asof(v: Views) -> DataFrame:
+    days = v.lineitem.select(F.to_date("l_shipdate").alias("day")).distinct()
+    return cal.as_of(days, "day", v.session).select("day", "session_asof")
+
+
+@register(
+    "d02_next_session",
+    """select day, (select min(session_date) from v_session s where s.session_date > d.day) as session_next
+      from (select distinct cast(l_shipdate as date) as day from lineitem) d""",
+)
+def next_session(v: Views) -> DataFrame:
+    days = v.lineitem.select(F.to_date("l_shipdate").alias("day")).distinct()
+    return cal.as_of(days, "day", v.session).select("day", "session_next")
+
+
+@register("g01_window", f"select session_date from {sql_window()} w")
+def window(v: Views) -> DataFrame:
+    return _window(v).axis(v.spark).select("session_date").orderBy("session_date")
+
+
+@register(
+    "g01_window_bounds",
+    f"""select session_date, min(session_date) over w as window_from, count(*) over w as window_sessions
+      from v_session window w as (order by session_date rows between {DEPTH - 1} preceding and current row)""",
+)
+def window_bounds(v: Views) -> DataFrame:
+    return cal.window_bounds(v.session, DEPTH)
+
+
+_KNOWN_SQL = "(select session_date from v_session where session_date <= date '2000-12-31')"
+
+
+@register(
+    "e01_calendar_from_proxy",
+    f"""select session_date from (select distinct cast(o_orderdate as date) as session_date from orders
+      where o_orderpriority = '1-URGENT') f where session_date not in {_KNOWN_SQL}""",
+)
+def calendar_from_proxy(v: Views) -> DataFrame:
+    proxy = v.orders.filter(F.col("o_orderpriority") == "1-URGENT")
+    history = proxy.select(F.col("o_orderdate").cast("string").alias("TRADEDATE"))
+    found = cal.sessions_from_proxy(history, "TRADEDATE")
+    stored = v.session.filter(F.col("session_date") <= dt.date(2000, 12, 31))
+    return cal.new_sessions(found, stored)
+
+
+@register(
+    "e20_data_gap",
+    f"""select count(*) as gap_sessions from {sql_window(400)} w where session_date >
+      (select max(b.session_date) from v_bar b where b.session_date in {sql_window(400)} and b.session_date <= date '2001-06-20')""",
+)
+def data_gap(v: Views) -> DataFrame:
+    known = v.bar.filter(F.col("session_date") <= dt.date(2001, 6, 20))
+    return cal.data_gap(v.session, known, ASOF)
+
+
+@register(
+    "c06_window_clamp",
+    f"""select session_date, date '2001-01-01' < (select min(session_date) from {sql_window()} w)
+        or date '2001-09-01' > (select max(session_date) from {sql_window()} w) as clamped
+      from {sql_window()} w where session_date between date '2001-01-01' and date '2001-09-01'""",
+)
+def window_clamp(v: Views) -> DataFrame:
+    axis = _window(v).axis(v.spark).select("session_date")
+    return cal.clamp(axis, dt.date(2001, 1, 1), dt.date(2001, 9, 1))
+
+
+@register(
+    "c07_withhold_open",
+    """select session_date from v_session where session_date < date '2001-07-29'
+      or (session_date = date '2001-07-29' and '17:00' >= '19:30')""",
+)
+def withhold_open(v: Views) -> DataFrame:
+    now = F.lit("2001-07-29 13:00:00").cast("timestamp")
+    return cal.withhold_open(v.session, now, "19:30")
+
+
+# --- scans ---------------------------------------------------------------------------------------
+
+
+@register(
+    "a11_bars_window",
+    f"""select price_series_id, asset_id, session_date, open, high, low, close, volume from v_bar
+      where session_date in {sql_window()}""",
+)
+def bars_window(v: Views) -> DataFrame:
+    return store.scan_window(v.bar, _window(v), ["asset_id", "session_date"])
+
+
+@register(
+    "a12_globals_window",
+    f"select series_id, session_date, value from v_global where session_date in {sql_window()}",
+)
+def globals_window(v: Views) -> DataFrame:
+    return store.scan_window(v.global_series, _window(v), ["series_id", "session_date"])
+
+
+@register(
+    "a13_positions_window",
+    f"""select asset_id, session_date, fiz_long, fiz_short, jur_long, jur_short from v_position
+      where session_date in {sql_window(DEPTH_POSITIONS)}""",
+)
+def positions_window(v: Views) -> DataFrame:
+    window = _window(v, DEPTH_POSITIONS)
+    return store.scan_window(v.position, window, ["asset_id", "session_date"])
+
+
+@register(
+    "a14_aggregates_window",
+    f"""select price_series_id, asset_id, session_date, value, num_trades, waprice from v_aggregate
+      where session_date in {sql_window()}""",
+)
+def aggregates_window(v: Views) -> DataFrame:
+    return store.scan_window(v.aggregate, _window(v), ["asset_id", "session_date"])
+
+
+@register("a15_sectors", "select asset_id, sector from v_sector")
+def sectors(v: Views) -> DataFrame:
+    return v.sector.select("asset_id", "sector")
+
+
+@register(
+    "a16_dividends_of_assets",
+    """select asset_id, record_date, declared_date, last_buy_date, payment_date, value from v_dividend
+      where asset_id in (select asset_id from v_asset where lot_size is not null)""",
+)
+def dividends_of_assets(v: Views) -> DataFrame:
+    assets = v.asset.filter("lot_size IS NOT NULL")
+    return store.rows_of_assets(v.dividend, assets, ["asset_id", "record_date"])
+
+
+@register(
+    "c02_filled",
+    """select asset_id, session_date, coalesce(fiz_long, fiz_short, jur_long, jur_short) is not null as filled
+      from v_position""",
+)
+def filled(v: Views) -> DataFrame:
+    flag = store.filled(POSITION_VALUES).alias("filled")
+    return v.position.select("asset_id", "session_date", flag)
+
+
+@register(
+    "c03_bars_of_session",
+    """select count(*) as rows from v_bar where session_date =
+      (select max(session_date) from v_session where session_date <= date '2001-07-30')""",
+)
+def bars_of_session(v: Views) -> DataFrame:
+    return store.count_session(v.bar, _window(v, 1).last)
+
+
+@register("c04_any_bars", "select count(*) > 0 as has_rows from v_bar")
+def any_bars(v: Views) -> DataFrame:
+    return store.has_any(v.bar)
+
+
+@register(
+    "e14_first_filled_position",
+    """select asset_id, min(session_date) as first_date from v_position
+      where coalesce(fiz_long, fiz_short, jur_long, jur_short) is not null group by asset_id""",
+)
+def first_filled_position(v: Views) -> DataFrame:
+    return store.first_filled_dates(v.position)
+
+
+@register(
+    "e15_assets_filled",
+    """select distinct asset_id from v_position where session_date =
+      (select max(session_date) from v_session where session_date <= date '2001-07-30')
+      and coalesce(fiz_long, fiz_short, jur_long, jur_short) is not null""",
+)
+def assets_filled(v: Views) -> DataFrame:
+    return store.assets_filled_at(v.position, _window(v, 1).last)
+
+
+@register("e16_known_tickers", "select distinct ticker from v_asset")
+def known_tickers(v: Views) -> DataFrame:
+    return store.known_tickers(v.asset)
+
+
+# --- revisions and upserts -----------------------------------------------------------------------
+#
+# Stored: the table built from line items of status F. Incoming: all line items, arriving by ship
+# date, so that some keys are new and some are replaced.
+
+_FINGERPRINT_SQL = """substr(sha256(concat_ws('|', coalesce(cast(open as varchar), ''), coalesce(cast(high as varchar), ''),
+  coalesce(cast(low as varchar), ''), coalesce(cast(close as varchar), ''), coalesce(cast(volume as varchar), ''))), 1, 32)"""
+
+_DAY_BAR_SQL = """select price_series_id, asset_id, session_date, min(px) as open, max(px) as high, min(px) as low,
+  max(case when l_returnflag <> 'R' then px end) as close, cast(sum(qty) as decimal(28,9)) as volume from v_trade"""
+
+
+def _day_bars(trades: DataFrame, *keys: str) -> DataFrame:
+    return trades.groupBy("price_series_id", "asset_id", "session_date", *keys).agg(
+        F.min("px").alias("open"),
+        F.max("px").alias("high"),
+        F.min("px").alias("low"),
+        F.max(F.when(F.col("l_returnflag") != "R", F.col("px"))).alias("close"),
+        F.sum("qty").cast("decimal(28,9)").alias("volume"),
+    )
+
+
+@register(
+    "d04_revisions",
+    f"""select o.price_series_id, o.session_date, o.rev as was, n.rev as now from
+      (select *, {_FINGERPRINT_SQL} as rev from ({_DAY_BAR_SQL} where l_linestatus = 'F' group by all) b) o
+      join (select *, {_FINGERPRINT_SQL} as rev from ({_DAY_BAR_SQL} group by all) b) n
+        using (price_series_id, session_date) where o.rev <> n.rev""",
+)
+def revisions(v: Views) -> DataFrame:
+    stored = store.with_fingerprint(_day_bars(v.trade.filter("l_linestatus = 'F'")))
+    incoming = store.with_fingerprint(_day_bars(v.trade))
+    return store.revisions(stored, incoming)
+
+
+_ARRIVING_SQL = f"{_DAY_BAR_SQL.replace('select ', 'select l_linenumber, ', 1)} where l_linestatus = 'O' group by all"
+
+
+@register(
+    "f07_upsert_bars",
+    f"""select price_series_id, asset_id, session_date, open, high, low, close, volume from (
+      select *, row_number() over (partition by price_series_id, session_date order by gen desc, l_linenumber desc) as rn from (
+        select 0 as gen, 0 as l_linenumber, b.* from ({_DAY_BAR_SQL} where l_linestatus = 'F' group by all) b
+        union all select 1, a.* from ({_ARRIVING_SQL}) a) u) r where rn = 1""",
+)
+def upsert_bars(v: Views) -> DataFrame:
+    stored = _day_bars(v.trade.filter("l_linestatus = 'F'"))
+    incoming = _day_bars(v.trade.filter("l_linestatus = 'O'"), "l_linenumber")
+    return upsert(stored, incoming, store.KEYS["bar"], ["l_linenumber"])
+
+
+_DAY_AGG_SQL = """select price_series_id, asset_id, session_date, cast(sum(cast(px as decimal(18,2))) as decimal(28,9)) as value,
+  cast(count(*) as decimal(28,9)) as num_trades, max(case when l_returnflag <> 'R' then px end) as waprice from v_trade"""
+
+
+def _day_aggregates(trades: DataFrame) -> DataFrame:
+    return trades.groupBy("price_series_id", "asset_id", "session_date").agg(
+        F.sum(F.col("px").cast("decimal(18,2)")).cast("decimal(28,9)").alias("value"),
+        F.count("*").cast("decimal(28,9)").alias("num_trades"),
+        F.max(F.when(F.col("l_returnflag") != "R", F.col("px"))).alias("waprice"),
+    )
+
+
+@register(
+    "f08_upsert_aggregates",
+    f"""with o as ({_DAY_AGG_SQL} where l_linestatus = 'F' group by all),
+        n as ({_DAY_AGG_SQL} where l_linestatus = 'O' group by all)
+      select * from n union all select * from o where (price_series_id, session_date) not in
+        (select (price_series_id, session_date) from n)""",
+)
+def upsert_aggregates(v: Views) -> DataFrame:
+    stored = _day_aggregates(v.trade.filter("l_linestatus = 'F'"))
+    incoming = _day_aggregates(v.trade.filter("l_linestatus = 'O'")).withColumn("seq", F.lit(1))
+    return upsert(stored, incoming, store.KEYS["aggregate"], ["seq"])
+
+
+@register(
+    "f09_upsert_positions",
+    """with n as (select asset_id, session_date, cast(null as decimal(28,9)) as fiz_long, fiz_long as fiz_short,
+          jur_long, jur_short from v_position where session_date >= date '2001-07-10')
+      select asset_id, session_date, fiz_long, fiz_short, jur_long, jur_short from v_position
+        where session_date < date '2001-07-10' union all select * from n""",
+)
+def upsert_positions(v: Views) -> DataFrame:
+    late = v.position.filter(F.col("session_date") >= dt.date(2001, 7, 10))
+    incoming = (
+        late.withColumn("fiz_short", F.col("fiz_long"))
+        .withColumn("fiz_long", F.lit(None).cast("decimal(28,9)"))
+        .withColumn("seq", F.lit(1))
+    )
+    return upsert(v.position, incoming, store.KEYS["position"], ["seq"])
+
+
+@register(
+    "f10_upsert_globals",
+    """with n as (select series_id, session_date, o_orderkey, cast(cast(o_totalprice as decimal(18,2)) as decimal(28,9)) as value
+        from (select concat('IDX_', substr(o_orderpriority, 1, 1)) as series_id, cast(o_orderdate as date) as session_date,
+          o_orderkey, o_totalprice from orders where o_orderstatus = 'P') p),
+      u as (select series_id, session_date, 0 as gen, cast(0 as bigint) as seq, value from v_global
+        union all select series_id, session_date, 1, o_orderkey, value from n)
+      select series_id, session_date, value from (select *, row_number() over
+        (partition by series_id, session_date order by gen desc, seq desc) as rn from u) r where rn = 1""",
+)
+def upsert_globals(v: Views) -> DataFrame:
+    incoming = v.orders.filter("o_orderstatus = 'P'").select(
+        F.concat(F.lit("IDX_"), F.substring("o_orderpriority", 1, 1)).alias("series_id"),
+        F.to_date("o_orderdate").alias("session_date"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("decimal(28,9)").alias("value"),
+        "o_orderkey",
+    )
+    return upsert(v.global_series, incoming, store.KEYS["global_series"], ["o_orderkey"])
+
+
+@register(
+    "f11_upsert_sectors",
+    """select asset_id, case when lot_size is not null then ticker else sector end as sector
+      from v_sector left join (select asset_id, ticker, lot_size from v_asset) a using (asset_id)""",
+)
+def upsert_sectors(v: Views) -> DataFrame:
+    incoming = v.asset.filter("lot_size IS NOT NULL").select(
+        "asset_id", F.col("ticker").alias("sector"), F.lit(1).alias("seq")
+    )
+    return upsert(v.sector, incoming, store.KEYS["sector"], ["seq"])
+
+
+@register(
+    "f12_upsert_dividends",
+    """select asset_id, record_date, declared_date,
+        case when record_date >= date '2000-01-01' then null else last_buy_date end as last_buy_date,
+        payment_date, case when record_date >= date '2000-01-01' then null else value end as value from v_dividend""",
+)
+def upsert_dividends(v: Views) -> DataFrame:
+    incoming = (
+        v.dividend.filter(F.col("record_date") >= dt.date(2000, 1, 1))
+        .withColumn("value", F.lit(None).cast("decimal(28,9)"))
+        .withColumn("last_buy_date", F.lit(None).cast("date"))
+        .withColumn("seq", F.lit(1))
+    )
+    return upsert(v.dividend, incoming, store.KEYS["dividend"], ["seq"])
+
+
+_SEEN_SQL = """with s as (select {key}, min(session_date) as lo, max(session_date) as hi from v_trade
+        where l_linestatus = 'F' group by {key}),
+      t as (select {key}, session_date, row_number() over (partition by {key} order by
+        l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax) as a,
+        row_number() over (partition by {key} order by l_orderkey desc, l_linenumber desc, l_partkey desc,
+          l_extendedprice desc, l_quantity desc, l_discount desc, l_tax desc) as d from v_trade where l_linestatus = 'O'),
+      n as (select {key}, max(case when a = 1 then session_date end) as f, max(case when d = 1 then session_date end) as l,
+        min(session_date) as lo, max(session_date) as hi from t group by {key})
+      select coalesce(s.{key}, n.{key}) as {key}, {extra}, coalesce(s.lo, n.f) as first_seen, coalesce(n.l, s.hi) as last_seen,
+        least(s.lo, n.lo) as earliest_date, greatest(s.hi, n.hi) as latest_date
+      from s full join n using ({key})"""
+
+_SEEN_ORDER = (
+    "l_orderkey",
+    "l_linenumber",
+    "l_partkey",
+    "l_extendedprice",
+    "l_quantity",
+    "l_discount",
+    "l_tax",
+)
+
+
+def _seen(v: Views, key: str, carried: list[str]) -> DataFrame:
+    stored = (
+        v.trade.filter("l_linestatus = 'F'")
+        .groupBy(key, *carried)
+        .agg(F.min("session_date").alias("first_seen"), F.max("session_date").alias("last_seen"))
+    )
+    incoming = v.trade.filter("l_linestatus = 'O'")
+    return store.upsert_seen(stored, incoming, key, list(_SEEN_ORDER), carried)
+
+
+@register(
+    "f13_upsert_assets",
+    _SEEN_SQL.format(key="asset_id", extra="concat('S', substr(coalesce(s.asset_id, n.asset_id), 8)) as ticker"),
+)
+def upsert_assets(v: Views) -> DataFrame:
+    return _seen(v, "asset_id", ["ticker"])
+
+
+@register(
+    "f14_upsert_price_series",
+    _SEEN_SQL.format(
+        key="price_series_id",
+        extra="concat('EQ_AST_', substr(coalesce(s.price_series_id, n.price_series_id), 8)) as asset_id",
+    ),
+)
+def upsert_price_series(v: Views) -> DataFrame:
+    return _seen(v, "price_series_id", ["asset_id"])
+
+
+@register(
+    "d09_lot_update",
+    """select asset_id, ticker, coalesce(l.lot, lot_size) as lot_size from v_asset left join
+      (select concat('EQ_AST_', lpad(cast(p_partkey as varchar), 9, '0')) as asset_id, p_size as lot from part) l using (asset_id)""",
+)
+def lot_update(v: Views) -> DataFrame:
+    lots = v.raw("part").select(
+        F.concat(F.lit("EQ_AST_"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("asset_id"),
+        F.col("p_size").alias("lot_size"),
+    )
+    return store.update_lots(v.asset, lots)
+
+
+# --- clean-up ------------------------------------------------------------------------------------
+
+
+@register(
+    "f17_drop_empty_positions",
+    """select asset_id, session_date, fiz_long, fiz_short, jur_long, jur_short from v_position
+      where not (fiz_long is null and fiz_short is null and jur_long is null and jur_short is null)""",
+)
+def drop_empty_positions(v: Views) -> DataFrame:
+    return store.drop_empty_positions(v.position)
+
+
+_NAMED_SQL = """select case l_linestatus when 'F' then concat('IDX_WEIGHT_', price_series_id)
+    else (case l_returnflag when 'A' then concat('CBR_ZCYC_yield_', price_series_id) when 'N' then concat('CBR_ZCYC_B', price_series_id)
+      else concat('CBR-ZCYC-', price_series_id) end) end as series_id, session_date,
+    max(case when l_returnflag <> 'R' then px end) as value from v_trade group by all"""
+
+
+def _named_series(v: Views) -> DataFrame:
+    sid, flag = F.col("price_series_id"), F.col("l_returnflag")
+    name = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("IDX_WEIGHT_"), sid)).otherwise(
+        F.when(flag == "A", F.concat(F.lit("CBR_ZCYC_yield_"), sid))
+        .when(flag == "N", F.concat(F.lit("CBR_ZCYC_B"), sid))
+        .otherwise(F.concat(F.lit("CBR-ZCYC-"), sid))
+    )
+    return (
+        v.trade.select(name.alias("series_id"), "session_date", "l_returnflag", "px")
+        .groupBy("series_id", "session_date")
+        .agg(F.max(F.when(flag != "R", F.col("px"))).alias("value"))
+    )
+
+
+@register(
+    "f18_drop_empty_weights",
+    f"select * from ({_NAMED_SQL}) s where not (starts_with(series_id, 'IDX_WEIGHT_') and value is null)",
+)
+def drop_empty_weights(v: Views) -> DataFrame:
+    return store.drop_empty_weights(_named_series(v))
+
+
+@register("f19_drop_empty_sectors", "select asset_id, sector from v_sector where sector is not null")
+def drop_empty_sectors(v: Views) -> DataFrame:
+    return store.drop_empty_sectors(v.sector)
+
+
+@register(
+    "f20_drop_foreign_curve",
+    f"""select * from ({_NAMED_SQL}) s where not (starts_with(series_id, 'CBR_ZCYC_')
+      and not starts_with(series_id, 'CBR_ZCYC_yield_'))""",
+)
+def drop_foreign_curve(v: Views) -> DataFrame:
+    return store.drop_foreign_curve(_named_series(v))
