@@ -1 +1,243 @@
-"""Pending."""
+"""The input of a decision date: dense arrays, digest, manifest, retention and staleness."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tradeaxis.config import Settings
+from tradeaxis.operators import calendar as cal
+from tradeaxis.operators import dataset as ds
+from tradeaxis.operators.calendar import SessionWindow
+from tradeaxis.plans import q_completeness as qc
+from tradeaxis.plans.q_store import sql_window
+from tradeaxis.plans.registry import ASOF, register
+from tradeaxis.schema import AGGREGATE_VALUES, BAR_VALUES, POSITION_VALUES
+from tradeaxis.session import scratch_path
+from tradeaxis.views import Views
+
+SETTINGS = Settings()
+DEPTH, DEPTH_POSITIONS = SETTINGS.price_window, SETTINGS.positions_window
+
+
+def _window(v: Views, depth: int = DEPTH) -> SessionWindow:
+    return cal.window(v.session, ASOF, depth)
+
+
+def _dense_sql(table: str, keys: str, values: tuple[str, ...], depth: int) -> str:
+    texts = ", ".join(f"cast(t.{c} as varchar)" for c in values)
+    cell = f"[{texts}]" if len(values) > 1 else texts
+    return f"""select {keys}, cast(to_json(list({cell} order by w.session_date)) as varchar) as rows
+      from (select distinct {keys} from {table} where session_date in {sql_window(depth)}) k cross join {sql_window(depth)} w
+      left join {table} t using ({keys}, session_date) group by {keys}"""
+
+
+_PRICES_SQL = _dense_sql("v_bar", "asset_id, price_series_id", BAR_VALUES, DEPTH)
+_AGGREGATES_SQL = _dense_sql("v_aggregate", "asset_id, price_series_id", AGGREGATE_VALUES, DEPTH)
+_POSITIONS_SQL = _dense_sql("v_position", "asset_id", POSITION_VALUES, DEPTH_POSITIONS)
+_GLOBAL_SQL = _dense_sql("v_global", "series_id", ("value",), DEPTH)
+
+
+@register("j01_dense_prices", _PRICES_SQL)
+def dense_prices(v: Views) -> DataFrame:
+    return ds.prices(v.bar, _window(v))
+
+
+@register("j02_dense_aggregates", _AGGREGATES_SQL)
+def dense_aggregates(v: Views) -> DataFrame:
+    return ds.aggregates(v.aggregate, _window(v))
+
+
+@register("j03_dense_positions", _POSITIONS_SQL)
+def dense_positions(v: Views) -> DataFrame:
+    return ds.positions(v.position, _window(v, DEPTH_POSITIONS))
+
+
+@register("j04_dense_globals", _GLOBAL_SQL)
+def dense_globals(v: Views) -> DataFrame:
+    # A scalar axis is an array of texts with holes; JSON keeps the holes visible.
+    dense = ds.global_series(v.global_series, _window(v))
+    return dense.withColumn("rows", F.to_json("rows", {"ignoreNullFields": "false"}))
+
+
+@register(
+    "j05_asset_list",
+    f"select distinct asset_id, price_series_id from v_bar where session_date in {sql_window()}",
+)
+def asset_list(v: Views) -> DataFrame:
+    return ds.asset_list(v.bar, _window(v))
+
+
+_DEPTHS_SQL = " union all ".join(
+    f"""select '{part}' as part, count(*) as sessions, min(session_date) as window_from, max(session_date) as window_till
+      from {sql_window(depth)} w"""
+    for part, depth in (
+        ("prices", DEPTH),
+        ("aggregates", DEPTH),
+        ("global", DEPTH),
+        ("positions", DEPTH_POSITIONS),
+    )
+)
+
+
+@register("j06_window_depths", _DEPTHS_SQL)
+def window_depths(v: Views) -> DataFrame:
+    return ds.window_depths(v.spark, ds.windows_of(v.session, ASOF, SETTINGS))
+
+
+def _declared_sql(gap_sql: str) -> str:
+    return f"""select session_date, string_agg(distinct source_id, ',' order by source_id) as sources from (
+      select session_date, 'equity_d1' as source_id from ({gap_sql}) g
+      union all select session_date, source_id from ({qc._UNFINISHED_SQL}) u) p
+      where session_date in {sql_window()} group by 1"""
+
+
+@register("j07_incomplete_declaration", _declared_sql(qc._GAP_SQL))
+def incomplete_declaration(v: Views) -> DataFrame:
+    missing, unfinished, _ = qc._gaps(v)
+    return ds.incomplete_declaration(missing, unfinished, _window(v))
+
+
+_FULL_GAP_SQL = f"""select session_date from {sql_window()} w where session_date not in (select session_date from v_bar)
+      and session_date not in (select session_date from v_ingest_run where status = 'ok' and source_id = 'equity_d1')"""
+
+
+def _digest_sql() -> str:
+    axes = "".join(
+        f""" || chr(10) || '{part}:' || (select string_agg(cast(session_date as varchar), ',' order by session_date) from {sql_window(depth)} w)"""
+        for part, depth in (
+            ("aggregates", DEPTH),
+            ("global", DEPTH),
+            ("positions", DEPTH_POSITIONS),
+            ("prices", DEPTH),
+        )
+    )
+    return f"""with h as (
+        select 'prices' as part, asset_id || '|' || price_series_id as key, sha256('{{"rows":' || rows || '}}') as hash from ({_PRICES_SQL}) a
+        union all select 'aggregates', asset_id || '|' || price_series_id, sha256('{{"rows":' || rows || '}}') from ({_AGGREGATES_SQL}) b
+        union all select 'global', series_id, sha256('{{"rows":' || rows || '}}') from ({_GLOBAL_SQL}) c
+        union all select 'positions', asset_id, sha256('{{"rows":' || rows || '}}') from ({_POSITIONS_SQL}) d
+        union all select 'sectors', asset_id, sha256('{{"sector":' || coalesce('"' || sector || '"', 'null') || '}}') from v_sector
+        union all select 'incomplete', cast(session_date as varchar), sha256('{{"sources":["' || replace(sources, ',', '","') || '"]}}')
+          from ({_declared_sql(_FULL_GAP_SQL)}) i),
+      leaf as (select substr(sha256(part || '/' || key), 1, 4) as node, part || '/' || key || '=' || hash as line from h),
+      branch as (select node, sha256(string_agg(line, chr(10) order by line)) as hash from leaf group by node),
+      stem as (select substr(node, 1, 2) as node, sha256(string_agg(node || '=' || hash, chr(10) order by node || '=' || hash)) as hash from branch group by 1),
+      root as (select sha256(string_agg(node || '=' || hash, chr(10) order by node || '=' || hash)) as hash from stem)
+      select sha256('{ASOF}'{axes} || chr(10) || hash) as digest from root"""
+
+
+_DIGEST_SQL = _digest_sql()
+
+
+def _parts(v: Views) -> tuple[dict[str, DataFrame], dict[str, SessionWindow]]:
+    return ds.build_parts(v.tables, v.session, v.ingest_run, ASOF, SETTINGS)
+
+
+@register("j08_content_digest", _DIGEST_SQL)
+def content_digest(v: Views) -> DataFrame:
+    parts, windows = _parts(v)
+    return ds.digest(ds.series_hashes(parts), ds.header(ASOF, windows))
+
+
+@register(
+    "j09_not_yet_built",
+    """select distinct dataset_digest as digest from v_ranking_run where status in ('queued', 'running')
+      and dataset_digest not in (select dataset_digest from v_ranking_run where status = 'success')""",
+)
+def not_yet_built(v: Views) -> DataFrame:
+    runs = v.ranking_run.withColumnRenamed("dataset_digest", "digest")
+    waiting = runs.filter(F.col("status").isin("queued", "running")).select("digest").distinct()
+    return ds.not_yet_built(waiting, runs.filter("status = 'success'"))
+
+
+@register(
+    "j10_build_preconditions",
+    f"""select date '{ASOF}' as asof_date, case when not exists (select 1 from v_session where session_date = date '{ASOF}') then 'not_a_session'
+      when not exists (select 1 from v_bar where session_date in {sql_window()}) then 'no_bars' end as reason""",
+)
+def build_preconditions(v: Views) -> DataFrame:
+    return ds.preconditions(v.session, v.bar, ASOF, _window(v))
+
+
+_MANIFEST_SQL = f"""select date '{ASOF}' as asof_date, 'sha256:' || digest as digest, a as aggregates_sessions, a as global_sessions,
+        p as positions_sessions, a as prices_sessions, a as session_count,
+        (select count(*) from (select distinct asset_id, price_series_id from v_bar where session_date in {sql_window()}) x) as asset_count,
+        coalesce((select '[' || string_agg('{{"session_date":"' || cast(session_date as varchar) || '","sources":["' || replace(sources, ',', '","') || '"]}}', ',' order by session_date) || ']'
+          from ({_declared_sql(_FULL_GAP_SQL)}) i), '[]') as incomplete
+      from ({_DIGEST_SQL}) d, (select count(*) as a from {sql_window()} w) n, (select count(*) as p from {sql_window(DEPTH_POSITIONS)} w) m"""
+
+
+@register("j11_manifest", _MANIFEST_SQL)
+def manifest(v: Views) -> DataFrame:
+    parts, windows = _parts(v)
+    digest = ds.digest(ds.series_hashes(parts), ds.header(ASOF, windows))
+    assets = ds.asset_list(v.bar, windows["prices"])
+    return ds.manifest(ASOF, digest, windows, parts["incomplete"], assets)
+
+
+@register("a17_dataset_sink", _MANIFEST_SQL)
+def dataset_sink(v: Views) -> DataFrame:
+    """Writes the dataset, writes it again to no effect, and reads the manifest back."""
+    root = scratch_path(v.spark, "datasets")
+    args = (v.spark, root, v.tables, v.session, v.ingest_run, ASOF, SETTINGS)
+    path, _, _ = ds.materialise(*args)
+    return v.spark.read.parquet(f"{path}/manifest").drop("materialized_at")
+
+
+_NAME_SQL = """case when o_orderstatus = 'P' then concat('tmp-', cast(o_orderkey as varchar))
+    else concat(strftime(o_orderdate, '%Y-%m-%d'), '-', substr(md5(cast(o_custkey as varchar)), 1, 16)) end"""
+
+
+@register(
+    "a18_dataset_retention",
+    f"""select name, cast(try_strptime(substr(name, 1, 10), '%Y-%m-%d') as date) as asof_date from (select distinct {_NAME_SQL} as name from orders) n
+      where cast(try_strptime(substr(name, 1, 10), '%Y-%m-%d') as date) < date '{ASOF}' - 30""",
+)
+def dataset_retention(v: Views) -> DataFrame:
+    hexed = F.substring(F.md5(F.col("o_custkey").cast("string")), 1, 16)
+    name = F.when(
+        F.col("o_orderstatus") == "P", F.concat(F.lit("tmp-"), F.col("o_orderkey").cast("string"))
+    ).otherwise(F.concat_ws("-", F.date_format("o_orderdate", "yyyy-MM-dd"), hexed))
+    registry = v.orders.select(name.alias("name")).distinct()
+    return ds.expired(registry, F.lit(ASOF), SETTINGS.dataset_retention_days)
+
+
+@register(
+    "a19_dataset_availability",
+    """select id, dataset_digest in (select dataset_digest from v_ranking_run where status = 'success') as dataset_available from v_ranking_run""",
+)
+def dataset_availability(v: Views) -> DataFrame:
+    runs = v.ranking_run.withColumn("dataset_ref", F.col("dataset_digest"))
+    kept = runs.filter("status = 'success'").select(F.col("dataset_ref").alias("ref"))
+    return ds.availability(runs, kept).select("id", "dataset_available")
+
+
+_BOUNDS_SQL = f"""select session_date, min(session_date) over w as window_from from v_session
+      window w as (order by session_date rows between {DEPTH - 1} preceding and current row)"""
+
+
+@register(
+    "h11_input_staleness",
+    f"""with m as (select max(finished_at) as mark from v_ingest_run where status = 'ok' and rows_written > 0)
+      select id, case when not (mark > finished_at) and model_id < '4' then false
+        else coalesce(case when model_id = '5' then null when model_id < '3' then dataset_digest else 'other' end <> dataset_digest, false) end as stale
+      from v_ranking_run r join ({_BOUNDS_SQL}) b on b.session_date = r.asof_date cross join m where status = 'success'""",
+)
+def input_staleness(v: Views) -> DataFrame:
+    """Successful runs: two models recorded another window, one dataset cannot be built any more."""
+    wrote = v.ingest_run.filter((F.col("status") == "ok") & (F.col("rows_written") > 0))
+    mark = wrote.agg(F.max("finished_at").alias("m")).scalar()
+    bounds = cal.window_bounds(v.session, DEPTH).withColumnRenamed("session_date", "asof_date")
+    runs = v.ranking_run.filter("status = 'success'").join(F.broadcast(bounds), "asof_date")
+    model = F.col("model_id")
+    recorded = F.when(model < "4", F.col("window_from")).otherwise(F.date_sub("window_from", 1))
+    current = F.when(model < "3", F.col("dataset_digest")).when(model != "5", F.lit("other"))
+    stale = ds.is_stale(
+        mark > F.col("finished_at"),
+        (recorded, F.col("asof_date")),
+        (F.col("window_from"), F.col("asof_date")),
+        F.col("dataset_digest"),
+        current,
+    )
+    return runs.select("id", stale.alias("stale"))

@@ -32,8 +32,8 @@ def specs(spark: SparkSession) -> DataFrame:
 
 def declared(rows: DataFrame, specs_df: DataFrame) -> DataFrame:
     """Rows of declared securities only, named by their series. The registry has a row per spec."""
-    keyed = F.broadcast(specs_df.select("series_id", "secid"))
-    return rows.join(keyed, parse.ticker("SECID") == F.col("secid")).drop("secid")
+    keyed = F.broadcast(specs_df.select("series_id", F.col("secid").alias("_security")))
+    return rows.join(keyed, parse.ticker("SECID") == F.col("_security")).drop("_security")
 
 
 def values_by_date(
