@@ -1 +1,148 @@
-"""Pending."""
+"""Batch jobs and streams, run over the driver's tables as landed input."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tradeaxis.operators import jobs
+from tradeaxis.plans import q_completeness as qc
+from tradeaxis.plans import q_journal as qj
+from tradeaxis.plans import q_sources as qs
+from tradeaxis.plans.registry import register
+from tradeaxis.session import scratch_path
+from tradeaxis.sources import equity, series
+from tradeaxis.streaming import late
+from tradeaxis.views import TRADE_ORDER, Views
+
+_ARRIVAL = list(TRADE_ORDER)
+_FAIL = "positions are not reachable"
+
+
+def _unreachable(landed: DataFrame) -> DataFrame:
+    raise RuntimeError(_FAIL)
+
+
+_JOURNAL_SQL = f"""with d as (select distinct session_date, session_date in (select session_date from v_session) as open from v_trade),
+      t as (select session_date, count(distinct ticker) as n from v_trade where l_discount <> 0 group by 1)
+    select 'run-1' as run_id, s.source_id, session_date, case when s.source_id = 'futures_positions' then 'failed' else 'ok' end as status, 'daily' as "trigger",
+      case when s.source_id = 'futures_positions' then '{_FAIL}' end as failure_reason,
+      case when s.source_id = 'futures_positions' then 0 else coalesce(n, 0) end as rows_written
+    from d left join t using (session_date), (select unnest(['equity_d1', 'equity_agg', 'futures_positions']) as source_id) s where open
+    union all select 'run-1', 'equity_d1', session_date, 'skipped', 'daily', 'не торговая сессия', 0 from d where not open"""
+
+
+@register("m01_session_ingest", _JOURNAL_SQL)
+def session_ingest(v: Views) -> DataFrame:
+    """Quotes and aggregates are stored, a third source fails; the journal tells which."""
+    landed = qs._quote_rows(v)
+    sources = [
+        (jobs.Source("equity_d1", "bar", lambda d: equity.bars(d, _ARRIVAL)), landed),
+        (jobs.Source("equity_agg", "aggregate", lambda d: equity.aggregates(d, _ARRIVAL)), landed),
+        (jobs.Source("futures_positions", "position", _unreachable), landed),
+    ]
+    root = scratch_path(v.spark, "store")
+    return jobs.ingest(v.spark, root, sources, v.session, run_id="run-1")
+
+
+_FROM, _TILL = dt.date(1998, 1, 1), dt.date(2000, 12, 31)
+
+
+@register(
+    "m03_range_load",
+    f"""select series_id, session_date, value from (select series_id, day as session_date, value,
+        row_number() over (partition by series_id, day order by o_orderkey desc) as rn from ({qs._SERIES_SQL}) s
+        where day between date '{_FROM}' and date '{_TILL}') r where rn = 1""",
+)
+def range_load(v: Views) -> DataFrame:
+    rows = qs._series_rows(v)
+    specs = series.specs(v.spark)
+    return jobs.load_range(rows, _FROM, _TILL, specs, "TRADEDATE", "CLOSE", ["o_orderkey"])
+
+
+@register(
+    "m03_range_outcome",
+    f"""select 'run-1' as run_id, 'global_series' as source_id, date '{_TILL}' as session_date, 'ok' as status, 'catchup' as "trigger",
+      cast(null as varchar) as failure_reason, count(*) as rows_written from (select distinct series_id, day from ({qs._SERIES_SQL}) s
+        where day between date '{_FROM}' and date '{_TILL}') r""",
+)
+def range_outcome(v: Views) -> DataFrame:
+    return jobs.range_outcome(range_load(v), _TILL, "run-1", "global_series")
+
+
+@register(
+    "m04_catch_up",
+    f"""with g as ({qc._GAP_SQL}), f as (select distinct session_date from v_ingest_run where status = 'failed' and source_id = 'equity_d1'
+        union select session_date from g where dayofmonth(session_date) <= 5),
+        t as (select session_date, count(distinct ticker) as n from v_trade where l_discount <> 0 group by 1)
+      select session_date, case when session_date in (select session_date from f) then 'failed' else 'closed' end as outcome,
+        case when session_date in (select session_date from f) then 0 else coalesce(n, 0) end as rows_written from g left join t using (session_date)""",
+)
+def catch_up(v: Views) -> DataFrame:
+    """Every gap is planned; the first days of a month could not be fetched."""
+    plan, _, _ = qc._gaps(v)
+    journal = v.ingest_run.select("session_date", "source_id", "status")
+    early = plan.filter(F.dayofmonth("session_date") <= 5).select(
+        "session_date", F.lit("equity_d1").alias("source_id"), F.lit("failed").alias("status")
+    )
+    return jobs.catch_up(plan, qs._quote_rows(v), journal.unionByName(early), _ARRIVAL)[1]
+
+
+@register(
+    "m05_history_load",
+    qs._QUOTE_SQL.format(order=qs._LAST)
+    + " and ticker not in (select ticker from v_asset where lot_size is not null)",
+)
+def history_load(v: Views) -> DataFrame:
+    """Assets with a lot are stored already and are not loaded again."""
+    known = v.asset.filter("lot_size IS NOT NULL")
+    rows = qs._quote_rows(v).drop("session_date")
+    return jobs.load_history(rows, known, _ARRIVAL).drop("source_revision")
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+def _stream(v: Views, table: str) -> DataFrame:
+    schema = v.raw(table).schema
+    reader = v.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    return reader.parquet(v.folder)
+
+
+@register(
+    "m06_late_arrivals",
+    """select user_id, session_date, event_id, value from (select user_id, session_date, event_id, cast(cast(value as decimal(18,2)) as decimal(28,9)) as value,
+      row_number() over (partition by user_id, session_date order by event_id desc) as rn from v_event) r where rn = 1""",
+)
+def late_arrivals(v: Views) -> DataFrame:
+    """Events stream in and are laid over each other by the day they speak of."""
+    shift = F.expr("INTERVAL 8219 DAYS")
+    stream = _stream(v, "events").select(
+        "user_id",
+        F.to_date(F.col("ts") - shift).alias("session_date"),
+        "event_id",
+        F.col("value").cast("decimal(18,2)").cast("decimal(28,9)").alias("value"),
+    )
+    base = scratch_path(v.spark, "late")
+    query = late.start_upserts(stream, f"{base}/log", f"{base}/checkpoint")
+    query.awaitTermination()
+    return late.read_upserts(
+        v.spark, f"{base}/log", stream.schema, ["user_id", "session_date"], ["event_id"]
+    )
+
+
+@register("m07_progress_stream", qj._PROGRESS_SQL)
+def progress_stream(v: Views) -> DataFrame:
+    """The journal streams in; the state per run and session is rolled up at the end."""
+    views = Views(v.spark, v.folder)
+    views.raw = lambda name: _stream(v, name)  # the journal view over the stream of events
+    outcomes = late.session_outcomes(views.ingest_run)
+    base = scratch_path(v.spark, "progress")
+    query = late.start_upserts(outcomes, f"{base}/log", f"{base}/checkpoint", mode="update")
+    query.awaitTermination()
+    keys = ["run_id", "session_date"]
+    folded = late.read_upserts(v.spark, f"{base}/log", outcomes.schema, keys, [])
+    requested = v.ingest_run.select(*keys).distinct()
+    return late.progress_of(folded, requested)
