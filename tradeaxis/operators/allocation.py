@@ -11,8 +11,9 @@ broadcasts what turns out small and splits what turns out skewed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from tradeaxis.functions import money
 from tradeaxis.operators import calendar as cal
 from tradeaxis.schema import PRICE
+from tradeaxis.session import staged
 
 # Policy sizes, rank zones with their parts of capital, fee bounds, reason texts.
 EQUAL_SIZES = (20, 30, 50, 100, 150)
@@ -275,43 +277,80 @@ def close_out_rows(with_capital: DataFrame, holdings: DataFrame, market: Market)
     )
 
 
-@dataclass(frozen=True)
-class Plan:
-    status: DataFrame  # request_id, ..., status
-    positions: DataFrame  # rows to trade or keep
-    excluded: DataFrame  # assets without a row, and why
-    untouched: DataFrame  # positions outside the universe
-    totals: DataFrame  # capital figures per request
-
-
-def build(
-    requests: DataFrame,
-    accounts: DataFrame,
-    positions: DataFrame,
-    market: Market,
-    now: Column,
-) -> Plan:
-    """Plans every accepted request. ``positions`` carries ``value``; see ``position_states``."""
-    status = request_status(requests, accounts, market, now)
-    accepted = status.filter(F.col("status") == "ok").drop("status")
-    holdings, outside = split_positions(positions, market)
-    funded = capital(accepted, holdings)
-    rows = (
-        target_rows(funded, holdings, market)
-        .select(*PLAN_COLUMNS)
-        .unionByName(close_out_rows(funded, holdings, market))
-    )
-    planned = rows.filter("reason IS NULL").drop("reason")
-    excluded = rows.filter("reason IS NOT NULL").select("request_id", "asset_id", "rank", "reason")
-    untouched = funded.select("request_id", "account_id").join(outside, "account_id")
-    totals = plan_totals(funded, planned, untouched)
-    return Plan(
-        status=status,
-        positions=weighted(planned, totals, "target_value"),
-        excluded=excluded,
-        untouched=weighted(untouched, totals, "value"),
-        totals=totals,
-    )
+class Planner:
+    """Plans every accepted request. ``positions`` carries ``value``; see ``position_states``.
+
+    What several results need is computed once and staged: prices, holdings, funded requests and the
+    planned rows. A result that needs none of them stages nothing.
+    """
+
+    def __init__(
+        self,
+        requests: DataFrame,
+        accounts: DataFrame,
+        positions: DataFrame,
+        market: Market,
+        now: Column,
+    ) -> None:
+        self._requests, self._accounts, self._positions = requests, accounts, positions
+        self._market, self._now = market, now
+
+    @cached_property
+    def market(self) -> Market:
+        prices = staged(self._market.prices, "plan-prices")
+        return replace(self._market, prices=prices)
+
+    @cached_property
+    def status(self) -> DataFrame:
+        """Each request with ``ok`` or the reason there is no plan."""
+        return request_status(self._requests, self._accounts, self.market, self._now)
+
+    @cached_property
+    def _split(self) -> tuple[DataFrame, DataFrame]:
+        return split_positions(self._positions, self.market)
+
+    @cached_property
+    def holdings(self) -> DataFrame:
+        return staged(self._split[0], "plan-holdings")
+
+    @cached_property
+    def funded(self) -> DataFrame:
+        accepted = self.status.filter(F.col("status") == "ok").drop("status")
+        return staged(capital(accepted, self.holdings), "plan-funded")
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        targets = target_rows(self.funded, self.holdings, self.market).select(*PLAN_COLUMNS)
+        closing = close_out_rows(self.funded, self.holdings, self.market)
+        return staged(targets.unionByName(closing), "plan-rows")
+
+    @cached_property
+    def planned(self) -> DataFrame:
+        return self.rows.filter("reason IS NULL").drop("reason")
+
+    @cached_property
+    def excluded(self) -> DataFrame:
+        """Assets without a row in the plan, and why."""
+        named = self.rows.filter("reason IS NOT NULL")
+        return named.select("request_id", "asset_id", "rank", "reason")
+
+    @cached_property
+    def _untouched(self) -> DataFrame:
+        return self.funded.select("request_id", "account_id").join(self._split[1], "account_id")
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return plan_totals(self.funded, self.planned, self._untouched)
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        """Rows to trade or keep, each with its part of the account afterwards."""
+        return weighted(self.planned, self.totals, "target_value")
+
+    @cached_property
+    def untouched(self) -> DataFrame:
+        """Positions outside the universe, listed rather than silently left out."""
+        return weighted(self._untouched, self.totals, "value")
 
 
 def plan_totals(funded: DataFrame, planned: DataFrame, untouched: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ as a whole.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,6 +72,14 @@ def window(calendar: DataFrame, asof: dt.date, depth: int) -> SessionWindow:
     return SessionWindow(tuple(sorted(r.session_date for r in rows)))
 
 
+def windows(
+    calendar: DataFrame, asof: dt.date, depths: Mapping[str, int]
+) -> dict[str, SessionWindow]:
+    """Several windows ending on one date, resolved by the deepest of them."""
+    deepest = window(calendar, asof, max(depths.values())).dates if depths else ()
+    return {name: SessionWindow(deepest[-depth:]) for name, depth in depths.items()}
+
+
 def latest_session(calendar: DataFrame, not_after: dt.date | None = None) -> DataFrame:
     df = calendar if not_after is None else calendar.filter(F.col("session_date") <= not_after)
     return df.agg(F.max("session_date").alias("session_date"))

@@ -45,6 +45,14 @@ def sessions_with_bars(bars: DataFrame, window: SessionWindow) -> DataFrame:
     return bars.filter(window.contains()).select("session_date").distinct()
 
 
+def group_windows(
+    groups: Sequence[SourceGroup], calendar: DataFrame, settings: Settings, asof: dt.date
+) -> dict[str, SessionWindow]:
+    """The window of each group with history, all ending on one date."""
+    depths = {g.group_id: settings.window_of(g) for g in groups if g.has_history}
+    return cal.windows(calendar, asof, depths)
+
+
 def missing_sessions(
     group: SourceGroup, table: DataFrame, journal: DataFrame, window: SessionWindow
 ) -> DataFrame:
@@ -129,12 +137,9 @@ def coverage_report(
 ) -> DataFrame:
     """One row per group: coverage in sessions beside the part of rows that hold a value."""
     parts = []
-    windows: dict[int, SessionWindow] = {}
+    windows = group_windows(GROUPS, calendar, settings, asof)
     for group in GROUPS:
-        depth = settings.window_of(group)
-        window = None
-        if depth:
-            window = windows.setdefault(depth, cal.window(calendar, asof, depth))
+        window = windows.get(group.group_id)
         raw = group_coverage(
             tables[group.table], group.value_columns, group.session_column, window
         )
@@ -318,11 +323,11 @@ def incomplete_closed_sessions(
     spark = calendar.sparkSession
     if not days:
         return spark.createDataFrame([], "session_date DATE"), allowed
-    windows = {}
-    for group in settings.required():
-        depth = settings.window_of(group)
-        inside = cal.window(calendar, days[-1], depth).dates if depth else ()
-        windows[group.group_id] = SessionWindow(tuple(d for d in inside if d in set(days)))
+    inside = group_windows(settings.required(), calendar, settings, days[-1])
+    windows = {
+        name: SessionWindow(tuple(d for d in w.dates if d in set(days)))
+        for name, w in inside.items()
+    }
     missing = missing_by_group(settings.required(), tables, journal, windows)
     return missing.select("session_date").distinct(), allowed
 

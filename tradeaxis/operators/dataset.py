@@ -11,14 +11,16 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeaxis.config import Settings
+from tradeaxis.functions import parse
 from tradeaxis.operators import calendar as cal
 from tradeaxis.operators import completeness as comp
 from tradeaxis.operators.calendar import SessionWindow
-from tradeaxis.operators.store import _exists
+from tradeaxis.operators.store import exists
 from tradeaxis.schema import AGGREGATE_VALUES, BAR_VALUES, POSITION_VALUES
 
 PARTS = ("prices", "aggregates", "global", "positions", "sectors", "incomplete")
@@ -82,13 +84,13 @@ def asset_list(bars: DataFrame, window: SessionWindow) -> DataFrame:
 
 
 def windows_of(calendar: DataFrame, asof: dt.date, settings: Settings) -> dict[str, SessionWindow]:
-    price = cal.window(calendar, asof, settings.price_window)
-    return {
-        "prices": price,
-        "aggregates": price,
-        "global": cal.window(calendar, asof, settings.global_window),
-        "positions": cal.window(calendar, asof, settings.positions_window),
+    depths = {
+        "prices": settings.price_window,
+        "aggregates": settings.price_window,
+        "global": settings.global_window,
+        "positions": settings.positions_window,
     }
+    return cal.windows(calendar, asof, depths)
 
 
 def window_depths(spark: SparkSession, windows: Mapping[str, SessionWindow]) -> DataFrame:
@@ -229,35 +231,32 @@ def materialise(
 ) -> tuple[str, str, bool]:
     """Writes the dataset once; returns its path, digest and whether it was written now.
 
-    The parts are computed a single time into a staging folder; the digest is taken from the staged
-    files. The path is named by the digest, and the manifest goes last, so a dataset whose manifest
-    exists is whole and an equal one is never written again.
+    The parts are kept on the executors' disks while the digest is taken, then written from there;
+    a lost executor recomputes its blocks. The path is named by the digest and the manifest goes
+    last, so a dataset whose manifest exists is whole, and an equal one is never written again.
     """
-    from tradeaxis.session import scratch_path
-
     parts, windows = build_parts(tables, calendar, journal, asof, settings)
-    staging = scratch_path(spark, "dataset")
-    for name, df in parts.items():
-        df.write.parquet(f"{staging}/{name}")
-    staged = {name: spark.read.parquet(f"{staging}/{name}") for name in parts}
-    value = digest(series_hashes(staged), header(asof, windows)).first().digest
-    path = f"{root.rstrip('/')}/{dataset_name(asof, value)}"
-    if _exists(spark, f"{path}/manifest"):
-        return path, value, False
-    for name, df in staged.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    row = spark.createDataFrame([(value,)], "digest STRING")
-    assets = staged["prices"].select("asset_id", "price_series_id")
-    described = manifest(asof, row, windows, staged["incomplete"], assets)
-    stamped = described.withColumn("materialized_at", F.current_timestamp())
-    stamped.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
-    return path, value, True
+    kept = {name: df.persist(StorageLevel.DISK_ONLY) for name, df in parts.items()}
+    try:
+        value = digest(series_hashes(kept), header(asof, windows)).first().digest
+        path = f"{root.rstrip('/')}/{dataset_name(asof, value)}"
+        if exists(spark, f"{path}/manifest"):
+            return path, value, False
+        for name, df in kept.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        row = spark.createDataFrame([(value,)], "digest STRING")
+        assets = kept["prices"].select("asset_id", "price_series_id")
+        described = manifest(asof, row, windows, kept["incomplete"], assets)
+        stamped = described.withColumn("materialized_at", F.current_timestamp())
+        stamped.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+        return path, value, True
+    finally:
+        for df in kept.values():
+            df.unpersist()
 
 
 def expired(registry: DataFrame, now: Column, retention_days: int) -> DataFrame:
     """Datasets past their keeping time; a name that is no dated dataset is left alone."""
-    from tradeaxis.functions import parse
-
     asof = parse.iso_date(F.substring("name", 1, 10))
     cutoff = F.date_sub(F.to_date(now), retention_days)
     return registry.withColumn("asof_date", asof).filter(F.col("asof_date") < cutoff)

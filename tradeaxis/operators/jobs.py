@@ -17,17 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeaxis.config import QUOTES_SOURCE
+from tradeaxis.functions import parse
 from tradeaxis.operators import journal as jr
 from tradeaxis.operators import store
-from tradeaxis.session import scratch_path
+from tradeaxis.session import staged
 from tradeaxis.sources import equity, series
 
-OUTCOME = (
-    "run_id STRING, source_id STRING, session_date DATE, status STRING, trigger STRING, "
-    "failure_reason STRING, rows_written BIGINT"
-)
-
-
 @dataclass(frozen=True)
 class Source:
     """How the landed rows of one source become rows of one stored table."""
@@ -37,15 +32,11 @@ class Source:
     build: Callable[[DataFrame], DataFrame]
 
 
-def _outcomes(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
-    return spark.createDataFrame(list(rows), OUTCOME)
-
-
 def _written(
-    staged: DataFrame, days: DataFrame, run_id: str, source_id: str, trigger: str
+    rows: DataFrame, days: DataFrame, run_id: str, source_id: str, trigger: str
 ) -> DataFrame:
     """A journal row per session asked for; a session without rows is answered, not failed."""
-    counts = staged.groupBy("session_date").agg(F.count("*").alias("rows_written"))
+    counts = rows.groupBy("session_date").agg(F.count("*").alias("rows_written"))
     return days.join(counts, "session_date", "left").select(
         F.lit(run_id).alias("run_id"),
         F.lit(source_id).alias("source_id"),
@@ -77,20 +68,18 @@ def run_source(
     days: DataFrame,
     run_id: str,
     trigger: str,
+    grain: str = "day",
 ) -> DataFrame:
     """Builds, stages and upserts one source; returns its journal rows.
 
     Whatever goes wrong inside is the outcome of this source alone.
     """
     try:
-        staged_path = scratch_path(spark, f"ingest-{source.source_id}")
-        source.build(landed).write.parquet(staged_path)
-        staged = spark.read.parquet(staged_path)
-        incoming = staged.withColumn("_seq", F.lit(1))
-        store.merge_into(
-            spark, f"{root}/{source.table}", incoming, store.KEYS[source.table], ["_seq"]
-        )
-        return _written(staged, days, run_id, source.source_id, trigger)
+        rows = staged(source.build(landed), f"ingest-{source.source_id}")
+        incoming = rows.withColumn("_seq", F.lit(1))
+        keys = store.KEYS[source.table]
+        store.merge_into(spark, f"{root}/{source.table}", incoming, keys, ["_seq"], grain)
+        return _written(rows, days, run_id, source.source_id, trigger)
     except Exception as error:  # noqa: BLE001 - the outcome is journalled, others go on
         text = str(error).splitlines()[0][:500] if str(error) else type(error).__name__
         return _failed(days, run_id, source.source_id, trigger, text)
@@ -103,6 +92,7 @@ def ingest(
     calendar: DataFrame,
     run_id: str | None = None,
     trigger: str = "daily",
+    grain: str = "day",
 ) -> DataFrame:
     """Landed sessions of all sources into the store; one journal row per source and session.
 
@@ -113,7 +103,7 @@ def ingest(
     for source, landed in sources:
         days, skipped = jr.gate(landed, calendar)
         inside = landed.join(F.broadcast(calendar), "session_date", "left_semi")
-        outcomes.append(run_source(spark, root, source, inside, days, run_id, trigger))
+        outcomes.append(run_source(spark, root, source, inside, days, run_id, trigger, grain))
         if source.source_id == QUOTES_SOURCE:
             outcomes.append(
                 skipped.select(
@@ -185,8 +175,6 @@ def catch_up(
 
 def load_history(history: DataFrame, known: DataFrame, arrival: Sequence[str]) -> DataFrame:
     """Full histories of securities not stored yet; what is stored marks what is done."""
-    from tradeaxis.functions import parse
-
     named = history.withColumn("_ticker", parse.ticker("SECID"))
     done = known.select(F.col("ticker").alias("_ticker")).distinct()
     fresh = named.join(done, "_ticker", "left_anti").drop("_ticker")
@@ -194,4 +182,4 @@ def load_history(history: DataFrame, known: DataFrame, arrival: Sequence[str]) -
 
 
 def stored_tables(spark: SparkSession, root: str, names: Sequence[str]) -> Mapping[str, DataFrame]:
-    return {name: spark.read.parquet(f"{root}/{name}") for name in names}
+    return {name: store.read_table(spark, f"{root}/{name}") for name in names}

@@ -11,7 +11,7 @@ from tradeaxis.functions import parse
 from tradeaxis.operators.calendar import SessionWindow
 from tradeaxis.operators.dedup import upsert
 from tradeaxis.schema import POSITION_VALUES
-from tradeaxis.session import scratch_path
+from tradeaxis.session import staged
 
 # Natural keys of the stored tables.
 KEYS = {
@@ -161,39 +161,51 @@ def drop_foreign_curve(series: DataFrame) -> DataFrame:
     return series.filter(~(curve & ~point))
 
 
+PARTITION = "part"
+_GRAIN = {"day": "yyyy-MM-dd", "month": "yyyy-MM"}
+
+
 def merge_into(
     spark: SparkSession,
     path: str,
     incoming: DataFrame,
     keys: Sequence[str],
     arrival: Sequence[str],
-    partition: str = "session_date",
+    grain: str = "day",
+    day: str = "session_date",
 ) -> None:
-    """Upsert into a parquet table partitioned by session, touching only the incoming sessions.
+    """Upsert into a parquet table partitioned by session, touching only the incoming partitions.
 
     The merged partitions are staged in the shared folder first: the table is never overwritten
-    while it is being read, and a lost executor or a retried job reads the same staged files.
+    while it is being read, and a lost executor or a retried job reads the same staged files. A
+    partition is a session; ``grain="month"`` suits tables too small for a file per session.
     """
     names = [c for c in incoming.columns if c not in arrival]
-    if not _exists(spark, path):
-        incoming.limit(0).select(*names).write.partitionBy(partition).parquet(path)
-    stored = spark.read.schema(incoming.select(*names).schema).parquet(path)
-    touched = incoming.select(partition).distinct()
-    kept = stored.join(touched, partition, "left_semi").select(*names)
-    staged = scratch_path(spark, "merge")
-    upsert(kept, incoming, keys, arrival).write.parquet(staged)
-    merged = spark.read.parquet(staged)
+    shape = incoming.limit(0).select(*names)
+    if exists(spark, path):
+        part = F.date_format(day, _GRAIN[grain])
+        stored = spark.read.schema(shape.schema.add(PARTITION, "string")).parquet(path)
+        touched = incoming.select(part.alias(PARTITION)).distinct()
+        kept = stored.join(touched, PARTITION, "left_semi").select(*names)
+        merged = staged(upsert(kept, incoming, keys, arrival), "merge")
+    else:
+        merged = upsert(shape, incoming, keys, arrival)
+    order = [PARTITION, *keys]
     (
-        merged.repartitionByRange(partition, *[k for k in keys if k != partition])
-        .sortWithinPartitions(partition, *[k for k in keys if k != partition])
+        merged.withColumn(PARTITION, F.date_format(day, _GRAIN[grain]))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
+        .partitionBy(PARTITION)
         .parquet(path)
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(jvm_path)
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(PARTITION)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -145,7 +145,7 @@ _BY_GROUP_SQL = " union all ".join(
       from ({_BY_GROUP_SQL}) g group by group_id""",
 )
 def incomplete_groups(v: Views) -> DataFrame:
-    windows = {g.group_id: cal.window(v.session, ASOF, _depth(g.group_id)) for g in HISTORY}
+    windows = comp.group_windows(GROUPS, v.session, SETTINGS, ASOF)
     return comp.incomplete_groups(comp.missing_by_group(GROUPS, v.tables, v.ingest_run, windows))
 
 

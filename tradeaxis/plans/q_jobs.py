@@ -44,7 +44,7 @@ def session_ingest(v: Views) -> DataFrame:
         (jobs.Source("futures_positions", "position", _unreachable), landed),
     ]
     root = scratch_path(v.spark, "store")
-    return jobs.ingest(v.spark, root, sources, v.session, run_id="run-1")
+    return jobs.ingest(v.spark, root, sources, v.session, run_id="run-1", grain="month")
 
 
 _FROM, _TILL = dt.date(1998, 1, 1), dt.date(2000, 12, 31)

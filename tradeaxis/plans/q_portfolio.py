@@ -350,8 +350,8 @@ def _accounts(v: Views) -> DataFrame:
     )
 
 
-def _plan(v: Views) -> al.Plan:
-    return al.build(_requests(v), _accounts(v), _states(v), _market(v), _NOW)
+def _plan(v: Views) -> al.Planner:
+    return al.Planner(_requests(v), _accounts(v), _states(v), _market(v), _NOW)
 
 
 @register(
@@ -482,14 +482,6 @@ def no_redistribution(v: Views) -> DataFrame:
 _CLOSE_COLUMNS = ("request_id", "asset_id", "ticker", "rank", "target_lots", "current_quantity", "delta_quantity", "delta_value", "reason")
 
 
-def _funded(v: Views) -> tuple[DataFrame, DataFrame, al.Market]:
-    market = _market(v)
-    status = al.request_status(_requests(v), _accounts(v), market, _NOW)
-    holdings, _ = al.split_positions(_states(v), market)
-    accepted = status.filter("status = 'ok'").drop("status")
-    return al.capital(accepted, holdings), holdings, market
-
-
 @register(
     "l12_close_out",
     _plan_sql(
@@ -498,7 +490,8 @@ def _funded(v: Views) -> tuple[DataFrame, DataFrame, al.Market]:
     ),
 )
 def close_out(v: Views) -> DataFrame:
-    return al.close_out_rows(*_funded(v)).select(*_CLOSE_COLUMNS)
+    plan = _plan(v)
+    return al.close_out_rows(plan.funded, plan.holdings, plan.market).select(*_CLOSE_COLUMNS)
 
 
 @register(
@@ -506,7 +499,9 @@ def close_out(v: Views) -> DataFrame:
     _plan_sql("select request_id, asset_id from closed"),
 )
 def close_out_pairs(v: Views) -> DataFrame:
-    return al.close_out_rows(*_funded(v)).select("request_id", "asset_id")
+    plan = _plan(v)
+    closing = al.close_out_rows(plan.funded, plan.holdings, plan.market)
+    return closing.select("request_id", "asset_id")
 
 
 @register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "tradeaxis", master: str | None = None, **conf: object) -> SparkSession:
@@ -49,3 +49,15 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder, never reused between runs."""
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame written once to the shared folder and read back.
+
+    Several uses then share one computation, a lost executor costs a re-read instead of the whole
+    lineage, and later joins are planned on the size of the files rather than on a guess.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
