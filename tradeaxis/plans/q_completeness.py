@@ -74,7 +74,7 @@ def sessions_with_bars(v: Views) -> DataFrame:
 
 def _coverage_sql(group_id: str, scope: str) -> str:
     return f"""select count(distinct session_date) as sessions_covered, min(session_date) as period_from, max(session_date) as period_till,
-      count(*) as rows_total, count_if({_filled_sql(group_id)}) as rows_with_values from {_SQL_TABLE[group_id]} where {scope}"""
+      count(*) as rows_total, count(*) filter (where {_filled_sql(group_id)}) as rows_with_values from {_SQL_TABLE[group_id]} where {scope}"""
 
 
 @register(
@@ -104,7 +104,7 @@ def _report_sql() -> str:
         else:
             parts.append(
                 f"{head}, null as window_sessions, null as sessions_covered, null as period_from, null as period_till, "
-                f"count(*) as rows_total, count_if({_filled_sql(g.group_id)}) as rows_with_values from {_SQL_TABLE[g.group_id]}"
+                f"count(*) as rows_total, count(*) filter (where {_filled_sql(g.group_id)}) as rows_with_values from {_SQL_TABLE[g.group_id]}"
             )
     ratios = """cast(round_even(sessions_covered / cast(window_sessions as double), 4) as decimal(18,4)) as coverage_ratio,
       case when rows_total > 0 then cast(round_even(rows_with_values / cast(rows_total as double), 4) as decimal(18,4)) end as value_ratio"""
@@ -246,7 +246,7 @@ def blocking_groups(v: Views) -> DataFrame:
 
 @register(
     "h07_declared_complete",
-    """select session_date as asof_date, count_if(status = 'failed' and source_id not in ('dividends')) = 0 as complete
+    """select session_date as asof_date, count(*) filter (where status = 'failed' and source_id not in ('dividends')) = 0 as complete
       from v_ingest_run group by session_date""",
 )
 def declared_complete(v: Views) -> DataFrame:
@@ -273,14 +273,17 @@ def _pending_sql() -> str:
     return " union ".join(parts)
 
 
-_NOW = F.lit("2001-07-29 13:00:00").cast("timestamp")
 _TODAY = dt.date(2001, 7, 29)
 
 
+def _now():
+    return F.lit("2001-07-29 13:00:00").cast("timestamp")
+
+
 @register("h08_incomplete_closed_sessions", _pending_sql())
 def incomplete_closed_sessions(v: Views) -> DataFrame:
     return comp.incomplete_closed_sessions(
-        v.tables, v.ingest_run, v.session, SETTINGS, _NOW, _TODAY
+        v.tables, v.ingest_run, v.session, SETTINGS, _now(), _TODAY
     )[0]
 
 
@@ -293,9 +296,9 @@ def incomplete_closed_sessions(v: Views) -> DataFrame:
 )
 def pending_sessions(v: Views) -> DataFrame:
     missing, window = comp.incomplete_closed_sessions(
-        v.tables, v.ingest_run, v.session, SETTINGS, _NOW, _TODAY
+        v.tables, v.ingest_run, v.session, SETTINGS, _now(), _TODAY
     )
-    return comp.pending_sessions(missing, window, v.ingest_run, SETTINGS, _NOW)
+    return comp.pending_sessions(missing, window, v.ingest_run, SETTINGS, _now())
 
 
 _RANGE_JOURNAL = "(select * from v_ingest_run where session_date = (select max(session_date) from v_ingest_run))"

@@ -73,7 +73,7 @@ def last_success(v: Views) -> DataFrame:
 
 @register(
     "e22_run_rollup",
-    """select run_id, count_if(status = 'failed') = 0 as succeeded, coalesce(string_agg(distinct
+    """select run_id, count(*) filter (where status = 'failed') = 0 as succeeded, coalesce(string_agg(distinct
       case when status = 'failed' then source_id end, ',' order by case when status = 'failed' then source_id end), '')
       as unfinished_sources from v_ingest_run group by run_id""",
 )
@@ -115,8 +115,8 @@ def runs_of_session(v: Views) -> DataFrame:
 @register(
     "g15_failure_streak",
     """with m as (select source_id, max(case when status = 'ok' then (started_at, id) end) as last_ok from v_ingest_run group by source_id)
-      select j.source_id, count_if(j.status = 'failed' and (m.last_ok is null or (j.started_at, j.id) > m.last_ok)) as consecutive_failures,
-        count(*) as attempts, count_if(j.status = 'failed' and (m.last_ok is null or (j.started_at, j.id) > m.last_ok)) < 3 as is_open
+      select j.source_id, count(*) filter (where j.status = 'failed' and (m.last_ok is null or (j.started_at, j.id) > m.last_ok)) as consecutive_failures,
+        count(*) as attempts, count(*) filter (where j.status = 'failed' and (m.last_ok is null or (j.started_at, j.id) > m.last_ok)) < 3 as is_open
       from v_ingest_run j join m using (source_id) group by j.source_id""",
 )
 def failure_streak(v: Views) -> DataFrame:
@@ -125,9 +125,9 @@ def failure_streak(v: Views) -> DataFrame:
 
 @register(
     "g15_failure_streak_by_run",
-    """select run_id, source_id, count_if(status = 'failed' and ok_after = 0) as consecutive_failures, count(*) as attempts,
-        count_if(status = 'failed' and ok_after = 0) < 3 as is_open
-      from (select run_id, source_id, status, count_if(status = 'ok') over (partition by run_id, source_id order by started_at, id
+    """select run_id, source_id, count(*) filter (where status = 'failed' and ok_after = 0) as consecutive_failures, count(*) as attempts,
+        count(*) filter (where status = 'failed' and ok_after = 0) < 3 as is_open
+      from (select run_id, source_id, status, count(*) filter (where status = 'ok') over (partition by run_id, source_id order by started_at, id
         rows between current row and unbounded following) as ok_after from v_ingest_run) t group by run_id, source_id""",
 )
 def failure_streak_by_run(v: Views) -> DataFrame:
@@ -149,8 +149,8 @@ def session_gate(v: Views) -> DataFrame:
 _PROGRESS_SQL = """with r as (select distinct run_id, session_date from v_ingest_run),
       o as (select run_id, session_date, status from (select *, row_number() over (partition by run_id, session_date
         order by started_at desc, id desc) as rn from v_ingest_run where source_id = 'equity_d1') t where rn = 1)
-      select r.run_id, count(*) as requested, count_if(o.status is not null and o.status <> 'failed') as closed,
-        count_if(o.status = 'failed') as failed, count_if(o.status is null) as remaining
+      select r.run_id, count(*) as requested, count(*) filter (where o.status is not null and o.status <> 'failed') as closed,
+        count(*) filter (where o.status = 'failed') as failed, count(*) filter (where o.status is null) as remaining
       from r left join o using (run_id, session_date) group by r.run_id"""
 
 

@@ -13,7 +13,10 @@ from tradeaxis.schema import PRICE
 from tradeaxis.session import scratch_path
 from tradeaxis.views import Views
 
-_NOW = F.lit(NOW).cast("timestamp")
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
 
 # --- snapshots -----------------------------------------------------------------------------------
 
@@ -237,13 +240,13 @@ def sync_view(v: Views) -> DataFrame:
     journal = _sync_journal(v)
     captured = F.when((F.col("status") == "ok") & (F.col("id") >= 5000), F.col("attempted_at"))
     accounts = journal.groupBy("account_id").agg(F.max(captured).alias("captured_at"))
-    return pf.sync_view(journal, accounts, _NOW, 57600)
+    return pf.sync_view(journal, accounts, _now(), 57600)
 
 
 @register(
     "l04_sync_failures",
-    f"""with j as ({_SYNC_SQL}) select account_id, count_if(status = 'failed' and later_ok = 0) as consecutive_failures, count(*) as attempts
-      from (select *, count_if(status = 'ok') over (partition by account_id order by attempted_at, id rows between current row and unbounded following) as later_ok from j) t group by 1""",
+    f"""with j as ({_SYNC_SQL}) select account_id, count(*) filter (where status = 'failed' and later_ok = 0) as consecutive_failures, count(*) as attempts
+      from (select *, count(*) filter (where status = 'ok') over (partition by account_id order by attempted_at, id rows between current row and unbounded following) as later_ok from j) t group by 1""",
 )
 def sync_failures(v: Views) -> DataFrame:
     return pf.sync_failures(_sync_journal(v))
@@ -346,12 +349,12 @@ def _accounts(v: Views) -> DataFrame:
         F.expr("INTERVAL 60 SECONDS")
     )
     return v.account.select(
-        "account_id", "cash", (_NOW - age).alias("captured_at"), F.lit(600).alias("interval_seconds")
+        "account_id", "cash", (_now() - age).alias("captured_at"), F.lit(600).alias("interval_seconds")
     )
 
 
 def _plan(v: Views) -> al.Planner:
-    return al.Planner(_requests(v), _accounts(v), _states(v), _market(v), _NOW)
+    return al.Planner(_requests(v), _accounts(v), _states(v), _market(v), _now())
 
 
 @register(

@@ -180,7 +180,7 @@ _LOG_SQL = """select user_id as run_id, event_id as seq, case event_type when 'c
 @register(
     "k06_run_states",
     f"""with l as ({_LOG_SQL}), q as (select run_id, max(case when kind = 'requeued' then seq end) as rs,
-          max(case when kind = 'running' then seq end) as ss, count_if(kind = 'requeued') as n, max(seq) as last from l group by 1)
+          max(case when kind = 'running' then seq end) as ss, count(*) filter (where kind = 'requeued') as n, max(seq) as last from l group by 1)
       select q.run_id, case when l.kind = 'requeued' then 'queued' else l.kind end as status, n + 1 as attempt,
         case when ss > coalesce(rs, -1) then s.at end as started_at, case when l.kind in ('success', 'failed') then l.at end as finished_at,
         case when l.kind = 'failed' then l.code end as error_code, case when l.kind = 'failed' then l.message end as error_message,
@@ -300,7 +300,7 @@ def pending_runs(v: Views) -> DataFrame:
     """with r as (select id, asof_date, status from v_ranking_run where status = 'success' order by asof_date desc, finished_at desc, id desc limit 1),
         l as (select max(asof_date) as d from v_ranking)
       select r.id, r.asof_date, r.status, true as dataset_available, cast(null as boolean) as stale, i.rank, i.asset_id, i.score
-      from r cross join l join v_ranking i on i.asof_date = l.d where i.rank between 3 and 12""",
+      from r cross join l left join v_ranking i on i.asof_date = l.d and i.rank between 3 and 12""",
 )
 def run_detail(v: Views) -> DataFrame:
     """The latest success with the third to twelfth item; its staleness was not computed."""

@@ -11,9 +11,15 @@ from tradeaxis.plans.registry import register, sql_ratio
 from tradeaxis.schema import PRICE
 from tradeaxis.views import Views
 
-_PRICE_TEXT = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
 _SQL_PRICE = "cast(cast(o_totalprice as decimal(18,2)) as varchar)"
-_DAY = F.to_date("o_orderdate")
+
+
+def _price_text():
+    return F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+
+
+def _day():
+    return F.to_date("o_orderdate")
 
 
 def _orders(v: Views, text) -> DataFrame:
@@ -29,8 +35,8 @@ def _orders(v: Views, text) -> DataFrame:
 def decimal_parse(v: Views) -> DataFrame:
     status = F.col("o_orderstatus")
     raw = (
-        F.when(status == "F", F.concat(F.lit("  "), _PRICE_TEXT, F.lit(" ")))
-        .when(status == "O", _PRICE_TEXT)
+        F.when(status == "F", F.concat(F.lit("  "), _price_text(), F.lit(" ")))
+        .when(status == "O", _price_text())
         .when(status == "P", F.lit(""))
     )
     return _orders(v, raw).select("o_orderkey", parse.decimal_or_null("raw").alias("value"))
@@ -50,7 +56,7 @@ def _local_text():
       as decimal(28,9)) as value from (select o_orderkey, {_LOCAL_SQL} as raw from orders) t""",
 )
 def local_number(v: Views) -> DataFrame:
-    text = v.orders.select("o_orderkey", _PRICE_TEXT.alias("t")).select(
+    text = v.orders.select("o_orderkey", _price_text().alias("t")).select(
         "o_orderkey", _local_text().alias("raw")
     )
     return text.select("o_orderkey", parse.local_decimal("raw").alias("value"))
@@ -65,7 +71,7 @@ def local_number(v: Views) -> DataFrame:
 )
 def local_number_minus(v: Views) -> DataFrame:
     sign = F.when(F.col("o_orderstatus") == "F", F.lit("−")).otherwise(F.lit(""))
-    text = v.orders.select("o_orderkey", sign.alias("sign"), _PRICE_TEXT.alias("t")).select(
+    text = v.orders.select("o_orderkey", sign.alias("sign"), _price_text().alias("t")).select(
         "o_orderkey", F.concat("sign", _local_text()).alias("raw")
     )
     return text.select("o_orderkey", parse.local_decimal("raw").alias("value"))
@@ -80,11 +86,11 @@ def local_number_minus(v: Views) -> DataFrame:
 )
 def iso_date(v: Views) -> DataFrame:
     status = F.col("o_orderstatus")
-    day = F.date_format(_DAY, "yyyy-MM-dd")
+    day = F.date_format(_day(), "yyyy-MM-dd")
     raw = (
         F.when(status == "F", F.concat(day, F.lit("T10:00:00")))
         .when(status == "O", F.concat(F.lit(" "), day, F.lit(" ")))
-        .otherwise(F.concat(F.date_format(_DAY, "yyyy-MM"), F.lit("-31")))
+        .otherwise(F.concat(F.date_format(_day(), "yyyy-MM"), F.lit("-31")))
     )
     return _orders(v, raw).select("o_orderkey", parse.iso_date("raw").alias("day"))
 
@@ -99,9 +105,9 @@ def iso_date(v: Views) -> DataFrame:
 def dotted_date(v: Views) -> DataFrame:
     status = F.col("o_orderstatus")
     raw = (
-        F.when(status == "F", F.date_format(_DAY, "dd.MM.yyyy"))
-        .when(status == "O", F.concat(F.lit("30."), F.date_format(_DAY, "MM.yyyy")))
-        .otherwise(F.date_format(_DAY, "yyyy-MM-dd"))
+        F.when(status == "F", F.date_format(_day(), "dd.MM.yyyy"))
+        .when(status == "O", F.concat(F.lit("30."), F.date_format(_day(), "MM.yyyy")))
+        .otherwise(F.date_format(_day(), "yyyy-MM-dd"))
     )
     return _orders(v, raw).select("o_orderkey", parse.dotted_date("raw").alias("day"))
 
@@ -118,10 +124,10 @@ _MONTH_CASE = " ".join(f"when {i + 1} then '{name}'" for i, name in enumerate(_M
 def date_in_text(v: Views) -> DataFrame:
     names = F.array(*[F.lit(n) for n in _MONTH_NAMES])
     status = F.col("o_orderstatus")
-    worded = F.concat_ws(" ", F.dayofmonth(_DAY), F.get(names, F.month(_DAY) - 1), F.year(_DAY))
+    worded = F.concat_ws(" ", F.dayofmonth(_day()), F.get(names, F.month(_day()) - 1), F.year(_day()))
     form = (
-        F.when(status == "F", F.date_format(_DAY, "yyyy-MM-dd"))
-        .when(status == "O", F.date_format(_DAY, "dd.MM.yyyy"))
+        F.when(status == "F", F.date_format(_day(), "yyyy-MM-dd"))
+        .when(status == "O", F.date_format(_day(), "dd.MM.yyyy"))
         .otherwise(worded)
     )
     caption = F.when(
@@ -176,8 +182,8 @@ def fingerprint(v: Views) -> DataFrame:
         case when o_orderstatus = 'P' then 13 else cast(month(o_orderdate) as int) end as m from orders) t""",
 )
 def contract_expiry(v: Views) -> DataFrame:
-    month = F.when(F.col("o_orderstatus") == "P", F.lit(13)).otherwise(F.month(_DAY))
-    name = F.concat(F.lit("BR-"), month, F.lit("."), F.date_format(_DAY, "yy"))
+    month = F.when(F.col("o_orderstatus") == "P", F.lit(13)).otherwise(F.month(_day()))
+    name = F.concat(F.lit("BR-"), month, F.lit("."), F.date_format(_day(), "yy"))
     return _orders(v, name).select("o_orderkey", parse.contract_expiry("raw").alias("expiry"))
 
 
@@ -315,8 +321,8 @@ def run_seconds(v: Views) -> DataFrame:
     return v.ranking_run.select("id", money.run_seconds("started_at", "finished_at").alias("seconds"))
 
 
-_USER_SQL = """select user_id, count(*) as n, count_if(event_type = 'error') as bad,
-      count_if(event_type = 'click') as clicks from v_event group by user_id"""
+_USER_SQL = """select user_id, count(*) as n, count(*) filter (where event_type = 'error') as bad,
+      count(*) filter (where event_type = 'click') as clicks from v_event group by user_id"""
 
 
 def _users(v: Views) -> DataFrame:
@@ -398,7 +404,7 @@ def account_mask(v: Views) -> DataFrame:
     "b27_section_status",
     """select asof_date, case when running > 0 then 'running' when gap > 0 then 'data_gap' when paused then 'paused'
       when failed then 'failed' when queued > 0 then 'lagging' when ready = done then 'up_to_date' else 'waiting' end as status
-      from (select asof_date, count_if(status = 'running') as running, count_if(status = 'queued') as queued,
+      from (select asof_date, count(*) filter (where status = 'running') as running, count(*) filter (where status = 'queued') as queued,
         case when count(*) > 12 then 1 else 0 end as gap, min(id) < 100 as paused,
         max(case when status = 'failed' then finished_at end) > max(case when status = 'success' then finished_at end) as failed,
         asof_date as ready, max(case when status = 'success' then asof_date end) as done

@@ -16,16 +16,19 @@ from tradeaxis.sources import dividends as dv
 from tradeaxis.sources import equity, landed, pages, positions, reference, series
 from tradeaxis.views import TRADE_ORDER, Views
 
-_PRICE = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
 _SQL_PRICE = "cast(cast(o_totalprice as decimal(18,2)) as varchar)"
 
 
+def _price_text():
+    return F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+
+
 def _order_pages(v: Views) -> DataFrame:
     """One page per order: a whole row, a row that is too short, and one that is too long."""
     cust, day = F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
     names = F.array(F.lit("SECID"), F.lit("TRADEDATE"), F.lit("CLOSE"))
     data = F.array(
-        F.array(cust, day, _PRICE),
+        F.array(cust, day, _price_text()),
         F.array(cust, day),
         F.array(cust, day, F.lit(None).cast("string"), F.lit("extra")),
     )
@@ -74,7 +77,7 @@ def _series_rows(v: Views) -> DataFrame:
         .when(p == "5-LOW", "RVI")
         .otherwise("GAZP")
     )
-    value = F.when(F.col("o_orderstatus") != "P", _PRICE).otherwise(F.lit(""))
+    value = F.when(F.col("o_orderstatus") != "P", _price_text()).otherwise(F.lit(""))
     day = F.when(F.col("o_orderstatus") != "F", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(
         F.date_format("o_orderdate", "yyyy-MM-31")
     )
