@@ -11,17 +11,18 @@ broadcasts what turns out small and splits what turns out skewed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from decimal import Decimal
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradeaxis.functions import money
 from tradeaxis.operators import calendar as cal
 from tradeaxis.schema import PRICE
-from tradeaxis.session import staged
+from tradeaxis.session import local_frame, staged
 
 # Policy sizes, rank zones with their parts of capital, fee bounds, reason texts.
 EQUAL_SIZES = (20, 30, 50, 100, 150)
@@ -46,7 +47,7 @@ MAX_POSITIONS = max(*EQUAL_SIZES, RANK_ZONES[-1][1])
 
 def equal_weights(spark: SparkSession) -> DataFrame:
     """``1/k`` for the first k places, as an exact fraction."""
-    sizes = spark.createDataFrame([(k,) for k in EQUAL_SIZES], "k INT")
+    sizes = local_frame(spark, [(k,) for k in EQUAL_SIZES], k=pa.int32())
     places = sizes.withColumn("place", F.explode(F.sequence(F.lit(1), F.col("k"))))
     return places.select(
         F.concat(F.lit("equal_top"), "k").alias("policy"),
@@ -61,7 +62,9 @@ def zone_weights(spark: SparkSession) -> DataFrame:
     rows = [
         (lo, hi, int(Decimal(part) * 10_000), 10_000 * (hi - lo + 1)) for lo, hi, part in RANK_ZONES
     ]
-    zones = spark.createDataFrame(rows, "lo INT, hi INT, num INT, den INT")
+    zones = local_frame(
+        spark, rows, lo=pa.int32(), hi=pa.int32(), num=pa.int32(), den=pa.int32()
+    )
     return zones.select(
         F.lit(ZONES_POLICY).alias("policy"),
         F.explode(F.sequence("lo", "hi")).alias("place"),
@@ -113,12 +116,37 @@ def selection(spark: SparkSession, ranking: DataFrame) -> DataFrame:
     return policy_weights(spark).join(F.broadcast(placed(ranking)), "place")
 
 
-def request_status(requests: DataFrame, accounts: DataFrame, market: Market, now: Column) -> DataFrame:
+def universe(market: Market) -> DataFrame:
+    """Every ranked asset with what is known about it: ticker, lot and close, each maybe missing."""
+    known = market.assets.select("asset_id", "ticker", "lot_size", F.lit(True).alias("known"))
+    return (
+        market.ranking.select("asset_id", "rank")
+        .join(known, "asset_id", "left")
+        .join(market.prices.select("asset_id", "price"), "asset_id", "left")
+    )
+
+
+def chosen(assets: DataFrame) -> DataFrame:
+    """The selection of each policy with its data, or the reason an asset cannot be held."""
+    picked = selection(assets.sparkSession, assets)
+    described = F.broadcast(picked).join(assets.drop("rank"), "asset_id")
+    reason = exclusion_reason(F.col("known"), F.col("price"), F.col("lot_size"))
+    return described.withColumn("reason", reason).drop("known")
+
+
+def request_status(
+    requests: DataFrame,
+    accounts: DataFrame,
+    assets: DataFrame,
+    has_prices: Column,
+    ranking_stale: bool,
+    now: Column,
+) -> DataFrame:
     """``ok`` or the first reason to refuse, checked in the order a person should hear them."""
     spark = requests.sparkSession
-    sizes = spark.createDataFrame(list(policy_sizes().items()), "policy STRING, required INT")
-    available = placed(market.ranking).agg(F.count("*").alias("n")).scalar()
-    priced = market.prices.limit(1).agg((F.count("*") > 0).alias("x")).scalar()
+    known = list(policy_sizes().items())
+    sizes = local_frame(spark, known, policy=pa.string(), required=pa.int32())
+    available = placed(assets).agg(F.count("*").alias("n")).scalar()
     held = accounts.select(
         "account_id", "cash", "captured_at", "interval_seconds", F.lit(True).alias("_known")
     )
@@ -129,25 +157,28 @@ def request_status(requests: DataFrame, accounts: DataFrame, market: Market, now
         .when((fee < 0) | (fee > MAX_FEE_PERCENT), "invalid_fee")
         .when(limit <= 0, "invalid_limit")
         .when(available == 0, "no_successful_ranking")
-        .when(F.lit(market.ranking_stale), "ranking_stale")
+        .when(F.lit(ranking_stale), "ranking_stale")
         .when(available < F.col("required"), "insufficient_assets")
         .when(F.col("_known").isNull(), "broker_not_connected")
         .when(money.is_stale("captured_at", now, "interval_seconds"), "portfolio_stale")
-        .when(~priced, "no_prices")
+        .when(~has_prices, "no_prices")
         .otherwise("ok")
     )
     return joined.select(*requests.columns, "cash", status.alias("status"))
 
 
-def split_positions(positions: DataFrame, market: Market) -> tuple[DataFrame, DataFrame]:
+def split_positions(positions: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Holdings of the ranked universe, and everything a plan does not touch.
 
     The universe is all that was ranked, not the selection. Several positions in one asset add up.
+    A ticker held by a third of all accounts is a skewed join key; adaptive execution broadcasts
+    the universe where its size allows and splits the key where it does not.
     """
-    universe = market.ranking.select("asset_id", "rank").join(
-        market.assets.select("asset_id", "ticker"), "asset_id"
+    owner = (
+        assets.filter("ticker IS NOT NULL")
+        .groupBy("ticker")
+        .agg(F.max("asset_id").alias("asset_id"))
     )
-    owner = universe.groupBy("ticker").agg(F.max("asset_id").alias("asset_id"))
     joined = positions.join(owner, "ticker", "left")
     inside = (F.col("asset_type") == SHARE_TYPE) & F.col("asset_id").isNotNull()
     marked = joined.withColumn("_inside", F.coalesce(inside, F.lit(False)))
@@ -193,20 +224,12 @@ def whole_lots(limit: Column, num: Column, den: Column, price: Column, lot: Colu
     return F.call_function("div", target, lot_cost)
 
 
-def target_rows(with_capital: DataFrame, holdings: DataFrame, market: Market) -> DataFrame:
-    """Selected assets of each request with target and difference, or the reason for none."""
-    spark = with_capital.sparkSession
-    known = market.assets.select("asset_id", "ticker", "lot_size", F.lit(True).alias("_known"))
-    chosen = (
-        selection(spark, market.ranking)
-        .join(known, "asset_id", "left")
-        .join(market.prices, "asset_id", "left")
-        .withColumn(
-            "reason", exclusion_reason(F.col("_known"), F.col("price"), F.col("lot_size"))
-        )
-        .drop("_known")
-    )
-    rows = with_capital.join(F.broadcast(chosen), "policy").join(
+def target_rows(with_capital: DataFrame, holdings: DataFrame, selected: DataFrame) -> DataFrame:
+    """Selected assets of each request with target and difference, or the reason for none.
+
+    ``selected`` is ``chosen(...)``: at most 450 rows by the size of the policies.
+    """
+    rows = with_capital.join(F.broadcast(selected), "policy").join(
         holdings, ["account_id", "asset_id"], "left"
     )
     zero = F.lit(0).cast(PRICE)
@@ -248,20 +271,17 @@ PLAN_COLUMNS = (
 )
 
 
-def close_out_rows(with_capital: DataFrame, holdings: DataFrame, market: Market) -> DataFrame:
+def close_out_rows(
+    with_capital: DataFrame, holdings: DataFrame, assets: DataFrame, selected: DataFrame
+) -> DataFrame:
     """Universe holdings outside the selection: sold in full, or named when they have no price."""
-    spark = with_capital.sparkSession
-    selected = F.broadcast(selection(spark, market.ranking).select("policy", "asset_id"))
+    pairs = F.broadcast(selected.select("policy", "asset_id"))
     held = (
         with_capital.select("request_id", "account_id", "policy")
         .join(holdings.filter("current_quantity <> 0"), "account_id")
-        .join(selected, ["policy", "asset_id"], "left_anti")
-    )
-    described = (
-        held.join(market.assets.select("asset_id", "ticker", "lot_size"), "asset_id", "left")
-        .join(market.prices, "asset_id", "left")
-        .join(market.ranking.select("asset_id", "rank"), "asset_id", "left")
+        .join(pairs, ["policy", "asset_id"], "left_anti")
     )
+    described = held.join(assets.drop("known"), "asset_id", "left")
     zero = F.lit(0).cast(PRICE)
     no_price = F.col("price").isNull() | (F.col("price") <= 0)
     delta = (-F.col("current_quantity")).cast(PRICE)
@@ -280,8 +300,8 @@ def close_out_rows(with_capital: DataFrame, holdings: DataFrame, market: Market)
 class Planner:
     """Plans every accepted request. ``positions`` carries ``value``; see ``position_states``.
 
-    What several results need is computed once and staged: prices, holdings, funded requests and the
-    planned rows. A result that needs none of them stages nothing.
+    What several results need is computed once and staged: the universe, the selections, holdings,
+    funded requests and the planned rows. A result that needs none of them stages nothing.
     """
 
     def __init__(
@@ -296,18 +316,29 @@ class Planner:
         self._market, self._now = market, now
 
     @cached_property
-    def market(self) -> Market:
-        prices = staged(self._market.prices, "plan-prices")
-        return replace(self._market, prices=prices)
+    def assets(self) -> DataFrame:
+        return staged(universe(self._market), "plan-universe")
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        return staged(chosen(self.assets), "plan-selection")
 
     @cached_property
     def status(self) -> DataFrame:
         """Each request with ``ok`` or the reason there is no plan."""
-        return request_status(self._requests, self._accounts, self.market, self._now)
+        priced = self._market.prices.limit(1).agg((F.count("*") > 0).alias("x")).scalar()
+        return request_status(
+            self._requests,
+            self._accounts,
+            self.assets,
+            priced,
+            self._market.ranking_stale,
+            self._now,
+        )
 
     @cached_property
     def _split(self) -> tuple[DataFrame, DataFrame]:
-        return split_positions(self._positions, self.market)
+        return split_positions(self._positions, self.assets)
 
     @cached_property
     def holdings(self) -> DataFrame:
@@ -318,11 +349,14 @@ class Planner:
         accepted = self.status.filter(F.col("status") == "ok").drop("status")
         return staged(capital(accepted, self.holdings), "plan-funded")
 
+    @cached_property
+    def closing(self) -> DataFrame:
+        return close_out_rows(self.funded, self.holdings, self.assets, self.selected)
+
     @cached_property
     def rows(self) -> DataFrame:
-        targets = target_rows(self.funded, self.holdings, self.market).select(*PLAN_COLUMNS)
-        closing = close_out_rows(self.funded, self.holdings, self.market)
-        return staged(targets.unionByName(closing), "plan-rows")
+        targets = target_rows(self.funded, self.holdings, self.selected).select(*PLAN_COLUMNS)
+        return staged(targets.unionByName(self.closing), "plan-rows")
 
     @cached_property
     def planned(self) -> DataFrame:

@@ -11,10 +11,12 @@ import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradeaxis.functions import parse
+from tradeaxis.session import local_frame
 
 
 @dataclass(frozen=True)
@@ -38,16 +40,18 @@ class SessionWindow:
     def last(self) -> dt.date | None:
         return self.dates[-1] if self.dates else None
 
-    def contains(self, c: Column | str = "session_date") -> Column:
-        day = F.col(c) if isinstance(c, str) else c
+    def contains(self, c: str = "session_date") -> Column:
         if not self.dates:
             return F.lit(False)
-        return day.between(F.lit(self.first), F.lit(self.last)) & day.isin(list(self.dates))
+        listed = ", ".join(f"DATE'{d}'" for d in self.dates)
+        return F.expr(
+            f"{c} BETWEEN DATE'{self.first}' AND DATE'{self.last}' AND {c} IN ({listed})"
+        )
 
     def axis(self, spark: SparkSession) -> DataFrame:
         """The window as rows ``(session_date, idx)``, ``idx`` from zero."""
         rows = [(day, i) for i, day in enumerate(self.dates)]
-        return spark.createDataFrame(rows, "session_date DATE, idx INT")
+        return local_frame(spark, rows, session_date=pa.date32(), idx=pa.int32())
 
 
 def sessions_from_proxy(history: DataFrame, date_text: str) -> DataFrame:

@@ -14,6 +14,7 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from tradeaxis.operators import calendar as cal
 from tradeaxis.operators import journal as jr
 from tradeaxis.operators.calendar import SessionWindow
 from tradeaxis.operators.store import filled
+from tradeaxis.session import local_frame
 
 Tables = Mapping[str, DataFrame]
 
@@ -35,10 +37,16 @@ def observed_sessions(
     df: DataFrame, value_columns: Sequence[str], window: SessionWindow | None
 ) -> DataFrame:
     """Sessions with at least one filled row. An empty window holds nothing."""
+    return _filled_days(df, value_columns, window).distinct()
+
+
+def _filled_days(
+    df: DataFrame, value_columns: Sequence[str], window: SessionWindow | None
+) -> DataFrame:
     rows = df.filter(filled(value_columns))
     if window is not None:
         rows = rows.filter(window.contains())
-    return rows.select("session_date").distinct()
+    return rows.select("session_date")
 
 
 def sessions_with_bars(bars: DataFrame, window: SessionWindow) -> DataFrame:
@@ -60,8 +68,8 @@ def missing_sessions(
     axis = window.axis(journal.sparkSession).select("session_date")
     if not group.has_history or not len(window):
         return axis.limit(0)
-    covered = observed_sessions(table, group.value_columns, window).unionByName(
-        jr.sessions_with_ok_run(journal, window, group.source_ids)
+    covered = _filled_days(table, group.value_columns, window).unionByName(
+        jr.ok_days(journal, window, group.source_ids)
     )
     return axis.join(covered.distinct(), "session_date", "left_anti")
 
@@ -73,7 +81,6 @@ def missing_by_group(
     windows: Mapping[str, SessionWindow],
 ) -> DataFrame:
     """``(group_id, session_date)`` still to be collected, each group within its own window."""
-    spark = journal.sparkSession
     parts = [
         missing_sessions(g, tables[g.table], journal, windows[g.group_id]).select(
             F.lit(g.group_id).alias("group_id"), "session_date"
@@ -82,7 +89,8 @@ def missing_by_group(
         if g.has_history and len(windows[g.group_id])
     ]
     if not parts:
-        return spark.createDataFrame([], "group_id STRING, session_date DATE")
+        nothing = journal.limit(0).select("session_date")
+        return nothing.select(F.lit("").alias("group_id"), "session_date")
     return _union(parts)
 
 
@@ -166,18 +174,25 @@ def coverage_report(
 
 
 def gap_report(
-    calendar: DataFrame, bars: DataFrame, journal: DataFrame, asof: dt.date, settings: Settings
+    calendar: DataFrame,
+    bars: DataFrame,
+    journal: DataFrame,
+    asof: dt.date,
+    settings: Settings,
+    window: SessionWindow | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Missing sessions, unfinished sources and the ``needs_backfill`` flag of the window.
 
     An empty store is a lack of history, not a gap: nothing is reported missing then.
     """
-    window = cal.window(calendar, asof, settings.catchup_depth)
+    window = window or cal.window(calendar, asof, settings.catchup_depth)
     axis = window.axis(calendar.sparkSession).select("session_date")
     empty = bars.limit(1).agg((F.count("*") == 0).alias("needs_backfill"))
     is_empty = empty.scalar()
-    covered = sessions_with_bars(bars, window).unionByName(
-        jr.sessions_with_ok_run(journal, window, [QUOTES_SOURCE])
+    covered = (
+        bars.filter(window.contains())
+        .select("session_date")
+        .unionByName(jr.ok_days(journal, window, [QUOTES_SOURCE]))
     )
     missing = axis.filter(~is_empty).join(covered.distinct(), "session_date", "left_anti")
     unfinished = jr.unfinished(journal, window).filter(~is_empty)
@@ -199,7 +214,7 @@ def closed_sessions(
 ) -> DataFrame:
     """Distinct ``(group_id, session_date)`` closed for each group, over all of history."""
     observed = [
-        observed_sessions(tables[g.table], g.value_columns, None).select(
+        _filled_days(tables[g.table], g.value_columns, None).select(
             F.lit(g.group_id).alias("group_id"), "session_date"
         )
         for g in groups
@@ -258,7 +273,7 @@ def readiness(
 def readiness_of(states: DataFrame, asof: dt.date) -> DataFrame:
     """Readiness of one date; a day that is not a session is never ready."""
     spark = states.sparkSession
-    asked = spark.createDataFrame([(asof,)], "session_date DATE")
+    asked = local_frame(spark, [(asof,)], session_date=pa.date32())
     none = F.array().cast("array<string>")
     return asked.join(states, "session_date", "left").select(
         F.col("session_date").alias("asof_date"),
@@ -283,7 +298,8 @@ def blocking_groups(
     """What the last session lacks, with titles, when it is not the latest ready one."""
     ready = latest_ready(calendar, states, not_after, settings).scalar()
     last = cal.latest_session(calendar, not_after).scalar()
-    registry = spark.createDataFrame([(g.group_id, g.title) for g in GROUPS], "group_id STRING, title STRING")
+    titles = [(g.group_id, g.title) for g in GROUPS]
+    registry = local_frame(spark, titles, group_id=pa.string(), title=pa.string())
     behind = states.filter(
         (F.col("session_date") == last) & (ready.isNull() | (ready != last))
     )
@@ -320,9 +336,8 @@ def incomplete_closed_sessions(
     )
     days = sorted(r.session_date for r in closed.select("session_date").collect())
     allowed = SessionWindow(tuple(days))
-    spark = calendar.sparkSession
     if not days:
-        return spark.createDataFrame([], "session_date DATE"), allowed
+        return closed.select("session_date"), allowed
     inside = group_windows(settings.required(), calendar, settings, days[-1])
     windows = {
         name: SessionWindow(tuple(d for d in w.dates if d in set(days)))

@@ -11,6 +11,7 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from tradeaxis.operators import calendar as cal
 from tradeaxis.operators import completeness as comp
 from tradeaxis.operators.calendar import SessionWindow
 from tradeaxis.operators.store import exists
+from tradeaxis.session import local_frame
 from tradeaxis.schema import AGGREGATE_VALUES, BAR_VALUES, POSITION_VALUES
 
 PARTS = ("prices", "aggregates", "global", "positions", "sectors", "incomplete")
@@ -96,8 +98,13 @@ def windows_of(calendar: DataFrame, asof: dt.date, settings: Settings) -> dict[s
 def window_depths(spark: SparkSession, windows: Mapping[str, SessionWindow]) -> DataFrame:
     """Sessions actually found per part: fewer than asked for at the start of history."""
     rows = [(part, len(w), w.first, w.last) for part, w in sorted(windows.items())]
-    return spark.createDataFrame(
-        rows, "part STRING, sessions INT, window_from DATE, window_till DATE"
+    return local_frame(
+        spark,
+        rows,
+        part=pa.string(),
+        sessions=pa.int32(),
+        window_from=pa.date32(),
+        window_till=pa.date32(),
     )
 
 
@@ -180,7 +187,10 @@ def build_parts(
     settings: Settings,
 ) -> tuple[dict[str, DataFrame], dict[str, SessionWindow]]:
     windows = windows_of(calendar, asof, settings)
-    missing, unfinished, _ = comp.gap_report(calendar, tables["bar"], journal, asof, settings)
+    catchup = windows["prices"] if settings.catchup_depth == settings.price_window else None
+    missing, unfinished, _ = comp.gap_report(
+        calendar, tables["bar"], journal, asof, settings, catchup
+    )
     parts = {
         "prices": prices(tables["bar"], windows["prices"]),
         "aggregates": aggregates(tables["aggregate"], windows["aggregates"]),
@@ -244,7 +254,7 @@ def materialise(
             return path, value, False
         for name, df in kept.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-        row = spark.createDataFrame([(value,)], "digest STRING")
+        row = local_frame(spark, [(value,)], digest=pa.string())
         assets = kept["prices"].select("asset_id", "price_series_id")
         described = manifest(asof, row, windows, kept["incomplete"], assets)
         stamped = described.withColumn("materialized_at", F.current_timestamp())

@@ -48,8 +48,12 @@ def collected_since(
 
 def sessions_with_ok_run(journal: DataFrame, window: SessionWindow, sources) -> DataFrame:
     """Sessions a source answered for, even with no rows: the exchange had none."""
+    return ok_days(journal, window, sources).distinct()
+
+
+def ok_days(journal: DataFrame, window: SessionWindow, sources) -> DataFrame:
     ok = (F.col("status") == OK) & F.col("source_id").isin(list(sources)) & window.contains()
-    return journal.filter(ok).select("session_date").distinct()
+    return journal.filter(ok).select("session_date")
 
 
 def attempts_by_session(journal: DataFrame, window: SessionWindow) -> DataFrame:

@@ -188,7 +188,7 @@ def write_snapshot(rows: DataFrame, path: str, buckets: int = 256) -> None:
     """
     spread = rows.withColumn("bucket", F.pmod(F.xxhash64("account_id"), F.lit(buckets)).cast("int"))
     (
-        spread.repartition("bucket", "account_id")
+        spread.hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "account_id", "sort_order")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

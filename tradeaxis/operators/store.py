@@ -178,7 +178,9 @@ def merge_into(
 
     The merged partitions are staged in the shared folder first: the table is never overwritten
     while it is being read, and a lost executor or a retried job reads the same staged files. A
-    partition is a session; ``grain="month"`` suits tables too small for a file per session.
+    partition is a session; ``grain="month"`` suits tables too small for a file per session. Rows
+    are rebalanced by partition before the write: small sessions share a task, and a session with
+    much of the data is split over several.
     """
     names = [c for c in incoming.columns if c not in arrival]
     shape = incoming.limit(0).select(*names)
@@ -193,7 +195,7 @@ def merge_into(
     order = [PARTITION, *keys]
     (
         merged.withColumn(PARTITION, F.date_format(day, _GRAIN[grain]))
-        .repartitionByRange(*order)
+        .hint("rebalance", PARTITION)
         .sortWithinPartitions(*order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

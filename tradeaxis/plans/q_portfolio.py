@@ -426,13 +426,12 @@ def rank_weight_zip(v: Views) -> DataFrame:
 
 @register("l16_universe", _plan_sql("select asset_id, rank, ticker from rank left join asset using (asset_id)"))
 def universe(v: Views) -> DataFrame:
-    market = _market(v)
-    return market.ranking.join(market.assets.select("asset_id", "ticker"), "asset_id", "left")
+    return al.universe(_market(v)).select("asset_id", "rank", "ticker")
 
 
 @register("c10_universe_split", _plan_sql("select account_id, asset_id, current_quantity, current_value from hold"))
 def universe_split(v: Views) -> DataFrame:
-    return al.split_positions(_states(v), _market(v))[0]
+    return al.split_positions(_states(v), al.universe(_market(v)))[0]
 
 
 @register("l07_capital", _plan_sql("select request_id, eligible, limit_value from fund"))
@@ -445,12 +444,7 @@ def plan_capital(v: Views) -> DataFrame:
     _plan_sql("select policy, place, asset_id, rank, ticker, lot_size, price, reason from choice"),
 )
 def plan_enrichment(v: Views) -> DataFrame:
-    market = _market(v)
-    known = market.assets.select("asset_id", "ticker", "lot_size", F.lit(True).alias("k"))
-    chosen = al.selection(v.spark, market.ranking).join(known, "asset_id", "left")
-    priced = chosen.join(market.prices, "asset_id", "left")
-    reason = al.exclusion_reason(F.col("k"), F.col("price"), F.col("lot_size"))
-    return priced.withColumn("reason", reason).drop("k", "num", "den")
+    return al.chosen(al.universe(_market(v))).drop("num", "den")
 
 
 _LOT_COLUMNS = ("request_id", "asset_id", "lot_size", "price", "target_lots", "target_quantity", "target_value")
@@ -493,8 +487,7 @@ _CLOSE_COLUMNS = ("request_id", "asset_id", "ticker", "rank", "target_lots", "cu
     ),
 )
 def close_out(v: Views) -> DataFrame:
-    plan = _plan(v)
-    return al.close_out_rows(plan.funded, plan.holdings, plan.market).select(*_CLOSE_COLUMNS)
+    return _plan(v).closing.select(*_CLOSE_COLUMNS)
 
 
 @register(
@@ -502,9 +495,7 @@ def close_out(v: Views) -> DataFrame:
     _plan_sql("select request_id, asset_id from closed"),
 )
 def close_out_pairs(v: Views) -> DataFrame:
-    plan = _plan(v)
-    closing = al.close_out_rows(plan.funded, plan.holdings, plan.market)
-    return closing.select("request_id", "asset_id")
+    return _plan(v).closing.select("request_id", "asset_id")
 
 
 @register(

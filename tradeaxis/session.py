@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,6 +53,15 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def local_frame(spark: SparkSession, rows: Sequence[tuple], **columns: pa.DataType) -> DataFrame:
+    """A handful of known rows as a relation inside the plan: no job, exact size."""
+    data = {
+        name: pa.array([row[i] for row in rows], type=kind)
+        for i, (name, kind) in enumerate(columns.items())
+    }
+    return spark.createDataFrame(pa.table(data))
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """The frame written once to the shared folder and read back.
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeaxis.functions import parse
 from tradeaxis.operators.dedup import latest_by
+from tradeaxis.session import local_frame
 
 # Declared series and the security, section and column each is read from.
 SERIES_SPECS = (
@@ -23,11 +25,8 @@ KEY_RATE_SERIES_ID = "CBR_KEY_RATE"
 
 
 def specs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(SERIES_SPECS),
-        "series_id STRING, secid STRING, engine STRING, market STRING, board STRING, "
-        "value_column STRING",
-    )
+    names = ("series_id", "secid", "engine", "market", "board", "value_column")
+    return local_frame(spark, SERIES_SPECS, **{name: pa.string() for name in names})
 
 
 def declared(rows: DataFrame, specs_df: DataFrame) -> DataFrame:

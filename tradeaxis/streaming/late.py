@@ -61,7 +61,7 @@ def compact(
     others = [k for k in keys if k != partition]
     (
         read_upserts(spark, log, schema, keys, arrival)
-        .repartitionByRange(partition, *others)
+        .hint("rebalance", partition)
         .sortWithinPartitions(partition, *others)
         .write.partitionBy(partition)
         .parquet(target)
