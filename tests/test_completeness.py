@@ -138,6 +138,11 @@ def test_readiness_equals_a_walk_over_days(spark):
     assert got == expected
     latest = comp.latest_ready(sessions(spark, days), states, d("2026-08-30"), SMALL).first().latest_ready
     assert latest == max(x for x, (ok, _) in expected.items() if ok)
+    recent = comp.recent_readiness(
+        sessions(spark, days), tables(spark, have, held), journal(spark, runs), required, SMALL, d("2026-08-20")
+    )
+    asked = [x for x in got if d("2026-08-16") <= x <= d("2026-08-20")]
+    assert {r.session_date: (r.ready, r.missing_groups) for r in recent.collect()} == {x: got[x] for x in asked}
     assert rows(comp.readiness_of(states, d("2026-09-15"))) == [(d("2026-09-15"), False, False, [])]
     blocked = comp.blocking_groups(spark, states, sessions(spark, days), d("2026-08-10"), SMALL)
     assert {r.group_id for r in blocked.collect()} == set(expected[d("2026-08-10")][1])

@@ -196,13 +196,30 @@ def split_positions(positions: DataFrame, assets: DataFrame) -> tuple[DataFrame,
     return holdings, untouched
 
 
+def books(holdings: DataFrame) -> DataFrame:
+    """Per account its holdings as a map and their worth.
+
+    ``holdings`` has a row per account and asset, so a map is no longer than the ranked universe,
+    which a ranking request limits.
+    """
+    entry = F.struct("asset_id", "current_quantity")
+    return holdings.groupBy("account_id").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("book"),
+        F.sum("current_value").cast(PRICE).alias("held_value"),
+    )
+
+
 def capital(accepted: DataFrame, holdings: DataFrame) -> DataFrame:
-    """What a request may distribute: cash and universe holdings, under its own cap."""
-    held = holdings.groupBy("account_id").agg(F.sum("current_value").cast(PRICE).alias("_held"))
-    eligible = (F.col("cash") + F.coalesce("_held", F.lit(0).cast(PRICE))).cast(PRICE)
-    joined = accepted.join(held, "account_id", "left").withColumn("eligible", eligible)
+    """What a request may distribute: cash and universe holdings, under its own cap.
+
+    The account's book travels with the request, so that fanning a request out to its assets needs
+    no further shuffle.
+    """
+    joined = accepted.join(books(holdings), "account_id", "left")
+    held = F.coalesce("held_value", F.lit(0).cast(PRICE))
+    funded = joined.withColumn("eligible", (F.col("cash") + held).cast(PRICE))
     cap = F.coalesce(F.col("capital_limit").cast(PRICE), F.col("eligible"))
-    return joined.withColumn("limit_value", F.least("eligible", cap)).drop("_held")
+    return funded.withColumn("limit_value", F.least("eligible", cap)).drop("held_value")
 
 
 def exclusion_reason(asset: Column, price: Column, lot: Column) -> Column:
@@ -224,13 +241,13 @@ def whole_lots(limit: Column, num: Column, den: Column, price: Column, lot: Colu
     return F.call_function("div", target, lot_cost)
 
 
-def target_rows(with_capital: DataFrame, holdings: DataFrame, selected: DataFrame) -> DataFrame:
+def target_rows(with_capital: DataFrame, selected: DataFrame) -> DataFrame:
     """Selected assets of each request with target and difference, or the reason for none.
 
     ``selected`` is ``chosen(...)``: at most 450 rows by the size of the policies.
     """
-    rows = with_capital.join(F.broadcast(selected), "policy").join(
-        holdings, ["account_id", "asset_id"], "left"
+    rows = with_capital.join(F.broadcast(selected), "policy").withColumn(
+        "current_quantity", F.try_element_at("book", F.col("asset_id"))
     )
     zero = F.lit(0).cast(PRICE)
     lots = whole_lots(
@@ -271,14 +288,14 @@ PLAN_COLUMNS = (
 )
 
 
-def close_out_rows(
-    with_capital: DataFrame, holdings: DataFrame, assets: DataFrame, selected: DataFrame
-) -> DataFrame:
+def close_out_rows(with_capital: DataFrame, assets: DataFrame, selected: DataFrame) -> DataFrame:
     """Universe holdings outside the selection: sold in full, or named when they have no price."""
     pairs = F.broadcast(selected.select("policy", "asset_id"))
     held = (
-        with_capital.select("request_id", "account_id", "policy")
-        .join(holdings.filter("current_quantity <> 0"), "account_id")
+        with_capital.select(
+            "request_id", "policy", F.explode("book").alias("asset_id", "current_quantity")
+        )
+        .filter("current_quantity <> 0")
         .join(pairs, ["policy", "asset_id"], "left_anti")
     )
     described = held.join(assets.drop("known"), "asset_id", "left")
@@ -300,8 +317,8 @@ def close_out_rows(
 class Planner:
     """Plans every accepted request. ``positions`` carries ``value``; see ``position_states``.
 
-    What several results need is computed once and staged: the universe, the selections, holdings,
-    funded requests and the planned rows. A result that needs none of them stages nothing.
+    What several results need is computed once and staged: the universe, the selections, funded
+    requests and the planned rows. A result that needs none of them stages nothing.
     """
 
     def __init__(
@@ -340,22 +357,21 @@ class Planner:
     def _split(self) -> tuple[DataFrame, DataFrame]:
         return split_positions(self._positions, self.assets)
 
-    @cached_property
-    def holdings(self) -> DataFrame:
-        return staged(self._split[0], "plan-holdings")
-
     @cached_property
     def funded(self) -> DataFrame:
         accepted = self.status.filter(F.col("status") == "ok").drop("status")
-        return staged(capital(accepted, self.holdings), "plan-funded")
+        funded = capital(accepted, self._split[0])
+        # Each request fans out to as many rows as its policy has places: spread them evenly first.
+        parallel = int(accepted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return staged(funded.repartition(parallel, "request_id"), "plan-funded")
 
     @cached_property
     def closing(self) -> DataFrame:
-        return close_out_rows(self.funded, self.holdings, self.assets, self.selected)
+        return close_out_rows(self.funded, self.assets, self.selected)
 
     @cached_property
     def rows(self) -> DataFrame:
-        targets = target_rows(self.funded, self.holdings, self.selected).select(*PLAN_COLUMNS)
+        targets = target_rows(self.funded, self.selected).select(*PLAN_COLUMNS)
         return staged(targets.unionByName(self.closing), "plan-rows")
 
     @cached_property

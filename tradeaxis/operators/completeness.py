@@ -210,11 +210,14 @@ def incomplete_by_session(missing: DataFrame, unfinished: DataFrame) -> DataFram
 
 
 def closed_sessions(
-    groups: Sequence[SourceGroup], tables: Tables, journal: DataFrame
+    groups: Sequence[SourceGroup],
+    tables: Tables,
+    journal: DataFrame,
+    window: SessionWindow | None = None,
 ) -> DataFrame:
-    """Distinct ``(group_id, session_date)`` closed for each group, over all of history."""
+    """Distinct ``(group_id, session_date)`` closed for each group, in a window or ever."""
     observed = [
-        _filled_days(tables[g.table], g.value_columns, None).select(
+        _filled_days(tables[g.table], g.value_columns, window).select(
             F.lit(g.group_id).alias("group_id"), "session_date"
         )
         for g in groups
@@ -223,8 +226,9 @@ def closed_sessions(
     owner = F.create_map(
         *[F.lit(x) for g in groups for source in g.source_ids for x in (source, g.group_id)]
     )
+    dated = F.col("session_date").isNotNull() if window is None else window.contains()
     ran = (
-        journal.filter((F.col("status") == jr.OK) & F.col("session_date").isNotNull())
+        journal.filter((F.col("status") == jr.OK) & dated)
         .select(F.try_element_at(owner, F.col("source_id")).alias("group_id"), "session_date")
         .filter(F.col("group_id").isNotNull())
     )
@@ -270,6 +274,26 @@ def readiness(
     )
 
 
+def recent_readiness(
+    calendar: DataFrame,
+    tables: Tables,
+    journal: DataFrame,
+    groups: Sequence[SourceGroup],
+    settings: Settings,
+    not_after: dt.date,
+) -> DataFrame:
+    """Readiness of the sessions of the catch-up window, reading no more history than they need.
+
+    The oldest of them looks back over the deepest group window, so that is where reading starts.
+    """
+    deepest = max((settings.window_of(g) for g in groups if g.has_history), default=1)
+    reach = cal.window(calendar, not_after, settings.catchup_depth + deepest - 1)
+    axis = reach.axis(calendar.sparkSession).select("session_date")
+    closed = closed_sessions(groups, tables, journal, reach)
+    asked = SessionWindow(reach.dates[-settings.catchup_depth :])
+    return readiness(axis, closed, groups, settings).filter(asked.contains())
+
+
 def readiness_of(states: DataFrame, asof: dt.date) -> DataFrame:
     """Readiness of one date; a day that is not a session is never ready."""
     spark = states.sparkSession

@@ -206,6 +206,11 @@ def _states(v: Views, settings: Settings) -> DataFrame:
     return comp.readiness(v.session, closed, required, settings)
 
 
+def _recent(v: Views, settings: Settings) -> DataFrame:
+    required = settings.required()
+    return comp.recent_readiness(v.session, v.tables, v.ingest_run, required, settings, ASOF)
+
+
 @register("h06_readiness", _ready_sql(SHALLOW))
 def readiness(v: Views) -> DataFrame:
     return _states(v, SHALLOW)
@@ -227,7 +232,7 @@ def readiness_of_date(v: Views) -> DataFrame:
       and session_date in {sql_window(SHALLOW.catchup_depth)}""",
 )
 def latest_ready(v: Views) -> DataFrame:
-    return comp.latest_ready(v.session, _states(v, SHALLOW), ASOF, SHALLOW)
+    return comp.latest_ready(v.session, _recent(v, SHALLOW), ASOF, SHALLOW)
 
 
 _TITLES = ", ".join(f"('{g.group_id}', '{g.title}')" for g in GROUPS)
@@ -241,7 +246,7 @@ _TITLES = ", ".join(f"('{g.group_id}', '{g.title}')" for g in GROUPS)
         unnest(string_split(missing_groups, ',')) u(group_id) join (values {_TITLES}) t(group_id, title) using (group_id)""",
 )
 def blocking_groups(v: Views) -> DataFrame:
-    return comp.blocking_groups(v.spark, _states(v, SETTINGS), v.session, ASOF, SETTINGS)
+    return comp.blocking_groups(v.spark, _recent(v, SETTINGS), v.session, ASOF, SETTINGS)
 
 
 @register(
