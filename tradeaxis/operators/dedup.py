@@ -1,8 +1,8 @@
 """One row per key, by arrival order, and the upsert built on it.
 
-Everything is an aggregate with ``max_by``/``min_by`` over a struct. Each task folds its own rows
-before the shuffle, so a key holding a large part of the input costs one row per task, where a
-``row_number`` window would pull the whole key into one task.
+Everything is a ``max`` or ``min`` over a struct that starts with the order columns. Each task folds
+its own rows before the shuffle, so a key holding a large part of the input costs one row per task,
+where a ``row_number`` window would pull the whole key into one task.
 """
 
 from __future__ import annotations
@@ -19,18 +19,22 @@ def _struct(names: Sequence[str]) -> Column:
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key in ``order``; ``order`` must tell the rows of a key apart."""
-    return _pick(df, keys, order, F.max_by)
+    return _pick(df, keys, order, F.max)
 
 
 def earliest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in ``order``."""
-    return _pick(df, keys, order, F.min_by)
+    return _pick(df, keys, order, F.min)
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], choose) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(choose(_struct(rest), _struct(order)).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], extreme) -> DataFrame:
+    """The greatest or least row as one struct, ``order`` leading: each value is carried once."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    row = _struct([*order, *rest])
+    picked = df.groupBy(*keys).agg(extreme(row).alias("_row"))
+    return picked.select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns]
+    )
 
 
 def upsert(
@@ -60,10 +64,10 @@ def upsert(
     merged = (
         old.unionByName(new)
         .groupBy(*keys)
-        .agg(F.max_by("_values", "_order").alias("_values"))
+        .agg(F.max(F.struct("_order", "_values")).alias("_row"))
     )
     return merged.select(
-        *[F.col(c) if c in keys else F.col(f"_values.{c}").alias(c) for c in stored.columns]
+        *[F.col(c) if c in keys else F.col(f"_row._values.{c}").alias(c) for c in stored.columns]
     )
 
 
