@@ -112,8 +112,7 @@ def incomplete_declaration(
     missing: DataFrame, unfinished: DataFrame, window: SessionWindow
 ) -> DataFrame:
     """Unfinished sources per session of the price window; no rows states that it is full."""
-    by_session = comp.incomplete_by_session(missing, unfinished)
-    return by_session.filter(window.contains()).orderBy("session_date")
+    return comp.incomplete_by_session(missing, unfinished).filter(window.contains())
 
 
 def preconditions(

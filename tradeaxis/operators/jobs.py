@@ -156,14 +156,12 @@ def catch_up(
     quotes: it is closed unless they failed, also when the exchange had nothing to say. ``plan`` is
     a list of calendar days.
     """
-    keys = F.broadcast(plan.select("session_date"))
     failed = fetch_log.filter(
         (F.col("status") == jr.FAILED) & (F.col("source_id") == QUOTES_SOURCE)
     ).select("session_date", F.lit(True).alias("_failed"))
     planned = plan.select("session_date").join(failed.distinct(), "session_date", "left")
     usable = F.broadcast(planned.filter("_failed IS NULL").select("session_date"))
-    rows = landed.join(keys, "session_date", "left_semi").join(usable, "session_date", "left_semi")
-    bars = equity.bars(rows, arrival)
+    bars = equity.bars(landed.join(usable, "session_date", "left_semi"), arrival)
     counts = bars.groupBy("session_date").agg(F.count("*").alias("rows_written"))
     outcome = planned.join(counts, "session_date", "left").select(
         "session_date",

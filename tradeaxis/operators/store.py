@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeaxis.functions import parse
 from tradeaxis.operators.calendar import SessionWindow
@@ -186,7 +187,8 @@ def merge_into(
     shape = incoming.limit(0).select(*names)
     if exists(spark, path):
         part = F.date_format(day, _GRAIN[grain])
-        stored = spark.read.schema(shape.schema.add(PARTITION, "string")).parquet(path)
+        layout = T.StructType([*shape.schema.fields, T.StructField(PARTITION, T.StringType())])
+        stored = spark.read.schema(layout).parquet(path)
         touched = incoming.select(part.alias(PARTITION)).distinct()
         kept = stored.join(touched, PARTITION, "left_semi").select(*names)
         merged = staged(upsert(kept, incoming, keys, arrival), "merge")

@@ -95,7 +95,7 @@ def _declared_sql(gap_sql: str) -> str:
 @register("j07_incomplete_declaration", _declared_sql(qc._GAP_SQL))
 def incomplete_declaration(v: Views) -> DataFrame:
     missing, unfinished, _ = qc._gaps(v)
-    return ds.incomplete_declaration(missing, unfinished, _window(v))
+    return ds.incomplete_declaration(missing, unfinished, _window(v)).orderBy("session_date")
 
 
 _FULL_GAP_SQL = f"""select session_date from {sql_window()} w where session_date not in (select session_date from v_bar)

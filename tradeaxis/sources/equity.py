@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tradeaxis.functions import parse
 from tradeaxis.operators.dedup import earliest_by, latest_by

@@ -43,9 +43,9 @@ def read_upserts(
     spark: SparkSession, log: str, schema: T.StructType, keys: Sequence[str], arrival: Sequence[str]
 ) -> DataFrame:
     """The present row of each key: the last batch wins, inside a batch the last arrival."""
-    rows = spark.read.schema(schema.add(BATCH, T.LongType()) if BATCH not in schema.names else schema)
-    folded = latest_by(rows.parquet(log), keys, [BATCH, *arrival])
-    return folded.drop(BATCH)
+    logged = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    rows = spark.read.schema(logged).parquet(log)
+    return latest_by(rows, keys, [BATCH, *arrival]).drop(BATCH)
 
 
 def compact(
