@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeaxis.llm import decontaminate, token_store, toxicity
+from tradeaxis.llm import decontaminate, near_dedup, token_store, toxicity
 from tradeaxis.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def stored_ids(documents: DataFrame) -> DataFrame:
     token_store.write(documents, folder, public_tokenizers.path(TOKENIZER), END_ID)
     found = token_store.lookup(documents, folder)
     return token_store.read(found, folder, with_ids=False)
+
+
+@query("op10_minhash_near_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "class_size")
