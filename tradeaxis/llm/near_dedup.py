@@ -41,6 +41,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 LEADERS = 16
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _U64 = np.uint64
 _STEP = _U64(0x9E3779B97F4A7C15)
 
@@ -268,3 +270,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = staged(texts.join(whole, "root").select("v", "class_id", "class_size"), "classes")
     known = rows.join(named, "v", "left")
     return known.select("doc_id", "v", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+
+
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class, columns as they came: the row with the class's least id.
+
+    Of several rows with that id and the same words one stays (the text with the least hash), also if the
+    rows are equal. Documents without words all stay. A class whose rows have no id keeps one row too.
+    """
+    sketch = staged(sketches(docs, id_col, text_col), "sketch")
+    _, roots = links(docs, sketch, text_col)
+    rows = sketch.filter(F.col("v").isNotNull()).select("doc_id", "v", "exact")
+    if roots is not None:
+        rows = rows.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    else:
+        rows = rows.withColumn("root", F.col("v"))
+    # nulls last: an id is preferred to none
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "exact")).alias("m"))
+    keep = staged(best.select(F.col("m.doc_id").alias("_id"), F.col("m.exact").alias("_exact")).distinct(), "keep")
+    exact = F.xxhash64(F.col(text_col).cast("string"))
+    names = docs.columns
+    marked = docs.withColumn("_hash", exact)
+    kept = marked.join(keep, marked[id_col].eqNullSafe(keep["_id"]) & (marked["_hash"] == keep["_exact"]))
+    # equal rows are still several: all but one of them go
+    repeated = sketch.filter(F.col("v").isNotNull()).groupBy(F.col("doc_id").alias("_id"), F.col("exact").alias("_exact")).agg(F.count("*").alias("k")).filter("k > 1").select("_id", "_exact")
+    twice = not repeated.isEmpty()
+    if twice:
+        kept = kept.dropDuplicates(["_hash", id_col])
+    bare = ~F.coalesce(F.translate(F.col(text_col).cast("string"), UPPER, LOWER).rlike(WORD), F.lit(False))
+    return kept.select(*names).unionByName(docs.filter(bare))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeaxis.llm import decontaminate, near_dedup, token_store, toxicity
+from tradeaxis.llm import decontaminate, mixing, near_dedup, token_store, toxicity
 from tradeaxis.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_mixing_sources")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+
+
 @query("op8_token_id_output")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return stored_ids(table(spark, folder, "documents"))
