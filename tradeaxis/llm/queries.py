@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeaxis.llm import decontaminate, mixing, near_dedup, token_store, toxicity
-from tradeaxis.session import scratch_path
+from tradeaxis.llm import decontaminate, mixing, near_dedup, quality, token_store, toxicity
+from tradeaxis.session import scratch_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,6 +81,15 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_quality_rules")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    scored = staged(quality.measured(documents, quality.train(documents)).drop("statistics"), "scored")
+    limit = quality.threshold(scored, table(spark, folder, "labels"))
+    kept = ~F.col("base_failed") & (F.col("anomaly") < F.lit(limit))
+    return scored.select("doc_id", *quality.COUNTS, "base_failed", kept.alias("kept"), "anomaly")
+
+
 @query("op5_mixing_sources")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
