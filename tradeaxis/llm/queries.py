@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeaxis.llm import decontaminate, mixing, near_dedup, quality, token_store, toxicity
+from tradeaxis.llm import decontaminate, mixing, near_dedup, quality, secrets, sharding, token_store, toxicity
 from tradeaxis.session import scratch_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
+@query("op6_secret_scans")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.spans(table(spark, folder, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
 @query("op8_token_id_output")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return stored_ids(table(spark, folder, "documents"))
@@ -111,6 +118,25 @@ def stored_ids(documents: DataFrame) -> DataFrame:
     return token_store.read(found, folder, with_ids=False)
 
 
+SHARDS = 40
+
+
+@query("op9_sharding")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    path = scratch_path(spark, "shards")
+    sharding.write(documents, path, SHARDS)
+    return sharding.read(spark, path, documents).select(
+        "record.doc_id",
+        sharding.size_of("record.text").alias("size"),
+        F.crc32(F.coalesce("record.text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query("op10_minhash_near_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.classes(table(spark, folder, "documents"))
