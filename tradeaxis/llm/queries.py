@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeaxis.llm import decontaminate, mixing, near_dedup, quality, secrets, sharding, token_store, toxicity
+from tradeaxis.llm import decontaminate, mixing, near_dedup, quality, secrets, sharding, token_counts, token_store, toxicity, url_filter
 from tradeaxis.session import scratch_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as b
 from d left join hit using (doc_id) left join it using (doc_id)"""
 
 
+@query("op1_url_filter")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages"))
+
+
 @query("op2_benchmark_decontamination", hits_sql())
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -103,6 +108,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
 
+@query("op7_token_counts")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "most")
+
+
 @query("op8_token_id_output")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return stored_ids(table(spark, folder, "documents"))

@@ -36,7 +36,8 @@ _KIND = _classes()
 class Encoder:
     """Encodes columns with one tokenizer file; one per worker and file."""
 
-    _made: dict[str, "Encoder"] = {}
+    _made: dict[tuple, "Encoder"] = {}
+    fold = textops.LETTERS.fold
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,10 +47,11 @@ class Encoder:
         self._forget()
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, *args: str) -> "Encoder":
+        key = (cls, *args)
+        if key not in cls._made:
+            cls._made[key] = cls(*args)
+        return cls._made[key]
 
     def _forget(self) -> None:
         self.index: dict[int, int] = {}
@@ -64,8 +66,7 @@ class Encoder:
             self.first = np.resize(self.first, 2 * need)
             self.size = np.resize(self.size, 2 * need)
         for i in range(0, len(pieces), 4096):
-            for key, got in zip(keys[i : i + 4096], self.tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False), strict=True):
-                ids = got.ids
+            for key, ids in zip(keys[i : i + 4096], self._encoded(pieces[i : i + 4096]), strict=True):
                 if self.used + len(ids) > len(self.ids):
                     self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
                 at = self.index[key] = len(self.index)
@@ -88,11 +89,15 @@ class Encoder:
         ends = np.flatnonzero(inside & after) + 1
         return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
-    def _slice(self, data: np.ndarray, offsets: np.ndarray):
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def slice(self, data: np.ndarray, offsets: np.ndarray):
+        """The ids of a slice's rows one after another, and their counts."""
         starts, ends, counts = self._pieces(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
-        hashes = textops.hash_pieces(data, starts, ends, textops.LETTERS.fold)
+        hashes = textops.hash_pieces(data, starts, ends, self.fold)
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         known = keys.tolist()
         if len(self.index) + len(known) > MEMORY:
@@ -118,7 +123,7 @@ class Encoder:
             part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             raw = part.tobytes()
             if not any(m in raw for m in self.markers):
-                yield i, *self._slice(part, own)
+                yield i, *self.slice(part, own)
                 continue
             for k in range(j - i):  # a text that may spell a special token
                 text = raw[own[k] : own[k + 1]]
@@ -126,4 +131,41 @@ class Encoder:
                     ids = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype=np.uint32)
                     yield i + k, ids, np.array([len(ids)])
                 else:
-                    yield i + k, *self._slice(part[own[k] : own[k + 1]], own[k : k + 2] - own[k])
+                    yield i + k, *self.slice(part[own[k] : own[k + 1]], own[k : k + 2] - own[k])
+
+
+class ByteEncoder(Encoder):
+    """Byte-level ids; the tokens of a text spell its bytes. Cut before a single blank and an ASCII letter."""
+
+    fold = textops.SPACED.fold
+
+    def __init__(self, path: str, pattern: str):
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.size_of = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.size_of[rank] = len(token)
+        self.markers = []
+        self._forget()
+
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        return [self.encoding.encode_ordinary(piece) for piece in pieces]
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray):
+        # the byte before is visible ASCII, so the blank begins the next token
+        cut = np.zeros(len(data), dtype=bool)
+        letter = (_KIND == 1)[data]
+        visible = (data > 32) & (data < 127)
+        cut[1:-1] = (data[1:-1] == 32) & visible[:-2] & letter[2:]
+        filled = offsets[:-1][offsets[1:] > offsets[:-1]]
+        # a blank that ends a row is followed by another row's letter
+        last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+        cut[last] = False
+        cut[filled] = True
+        starts = np.flatnonzero(cut)
+        return starts, np.append(starts[1:], len(data)), np.diff(np.searchsorted(starts, offsets))
