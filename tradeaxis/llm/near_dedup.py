@@ -8,12 +8,11 @@ Jaccard similarity. ``BANDS`` bands of ``ROWS`` registers give the candidates: a
 probability 5e-5. Candidates are verified on the whole shingle sets: Jaccard of 0.8 or more is a link.
 
 Equal word sequences are one vertex, so exact copies cost one row each and no pair. Within a bucket pairs
-are not listed. First every member is compared with the bucket's least vertex. Then, as long as a bucket
-has members in several components, some of those outside its largest component are compared with the
-members of the other components, ``LEADERS`` per bucket and round, until every pair of the bucket is either
-in one component or settled. Settled without comparing are pairs whose distances to the bucket's least
-vertex differ by more than 0.2: Jaccard distance is a metric. So a bucket full of copies costs a comparison
-per member, and no link that a bucket holds between different components is lost.
+are not listed. First every member is compared with the bucket's least vertex, which joins most of a bucket
+of near copies. Where a bucket still holds several components, its members outside the largest one are
+compared with the members of the other components, in blocks of bounded size of which only the links leave
+the task. So no link that a bucket holds between different components is lost, and a bucket costs a
+comparison per member and one per member and outsider.
 
 Words: A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Fewer than five words, but not none, are one
 shingle. Documents without words, and null texts, are alone in their class. Equal ids are allowed: classes
@@ -27,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +40,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-LEADERS = 1024
+#: Most sets in a block of those that ask, and of those asked.
+OUTSIDE, MEMBERS = 256, 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _U64 = np.uint64
@@ -207,52 +208,53 @@ def links(docs: DataFrame, sketch: DataFrame, text_col: str = "text") -> tuple[D
     tested = staged(_verified(pairs, sets), "tested")
     good = tested.filter(F.col("similarity") >= SIMILAR).select("a", "b")
     roots = components(good) if not good.isEmpty() else None
-    near = tested.withColumnsRenamed({"a": "head", "b": "v", "similarity": "near"})
-    placed = staged(crowd.join(near, ["head", "v"], "left").select("bucket", "v", "n", F.when(F.col("v") == F.col("head"), 1.0).otherwise(F.col("near")).alias("near")), "placed")
-    led = None
-    while True:
-        more = _across(placed, roots, led)
-        if more is None:
-            return good, roots
-        pairs, led = more
-        fresh = staged(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
-        now = staged(_verified(fresh, sets), "tested")
-        tested = tested.unionByName(now)
-        added = now.filter(F.col("similarity") >= SIMILAR).select("a", "b")
-        if not added.isEmpty():
-            good = good.unionByName(added)
-            roots = components(added) if roots is None else joined(roots, added)
-
-
-def _across(placed: DataFrame, roots: DataFrame | None, led: DataFrame | None):
-    """Open pairs between components of one bucket for some leaders, and all leaders so far; None if done."""
-    named = placed.withColumn("root", F.col("v")) if roots is None else placed.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    more = staged(_across(crowd, roots, sets), "across")
+    if more.isEmpty():
+        return good, roots
+    return good.unionByName(more), components(more) if roots is None else joined(roots, more)
+
+
+def _across(crowd: DataFrame, roots: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between the components that meet in a bucket.
+
+    Whoever is outside the bucket's largest component is compared with all members of the others, block by
+    block: a task gets two bounded blocks of shingle sets and gives back the links alone.
+    """
+    named = crowd.select("bucket", "v").withColumn("root", F.col("v"))
+    if roots is not None:
+        named = crowd.select("bucket", "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    named = staged(named, "named")
     sizes = named.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("parts"))
-    open_ = staged(largest.filter(F.col("parts") > 1).select("bucket", F.col("m.root").alias("main")), "open")
-    named = staged(named.join(open_, "bucket"), "named")
-    outside = named.filter(F.col("root") != F.col("main"))
-    if led is not None:
-        outside = outside.join(led, ["bucket", "v"], "left_anti")
-    # about LEADERS of each bucket lead this round, picked by their hash
-    counts = outside.groupBy("bucket").agg(F.count("*").alias("waiting"))
-    turn = F.pmod(F.xxhash64("v"), F.lit(1 << 20))
-    picked = outside.join(counts, "bucket").filter(turn * F.col("waiting") < F.lit(LEADERS << 20))
-    chosen = staged(picked.select("bucket", "v", "n", "near", "root"), "leaders")
-    if chosen.isEmpty():
-        if outside.isEmpty():
-            return None
-        least = outside.groupBy("bucket").agg(F.min("v").alias("v"))
-        chosen = staged(outside.join(least, ["bucket", "v"]).select("bucket", "v", "n", "near", "root"), "leaders")
-    other = chosen.select("bucket", F.col("v").alias("lead"), F.col("n").alias("lead_n"), F.col("near").alias("lead_near"), F.col("root").alias("lead_root"))
-    fits = F.least("n", "lead_n") >= F.greatest("n", "lead_n") * SIMILAR
-    apart = F.coalesce(F.abs(F.col("near") - F.col("lead_near")) > 1 - SIMILAR + 1e-9, F.lit(False))
-    pairs = named.join(other, "bucket").filter((F.col("root") != F.col("lead_root")) & fits & ~apart)
-    pairs = pairs.select(F.least("v", "lead").alias("a"), F.greatest("v", "lead").alias("b")).distinct()
-    done = chosen.select("bucket", "v")
-    return pairs, staged(done if led is None else led.unionByName(done), "led")
+    parts = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    open_ = staged(parts.select("bucket", F.col("m.root").alias("main"), blocks(F.col("all") - F.col("m.k"), OUTSIDE).alias("rows"), blocks(F.col("all"), MEMBERS).alias("cols")), "open")
+    have = named.join(open_, "bucket").join(sets, "v")
+    one = lambda n: F.pmod(F.xxhash64(F.lit(7), "v"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    outside = have.filter(F.col("root") != F.col("main")).select("bucket", one(F.col("rows")).alias("row"), every(F.col("cols")).alias("col"), F.lit(True).alias("asks"), "v", "root", "s")
+    members = have.select("bucket", every(F.col("rows")).alias("row"), one(F.col("cols")).alias("col"), F.lit(False).alias("asks"), "v", "root", "s")
+    return outside.unionByName(members).groupBy("bucket", "row", "col").applyInPandas(_compare, "a long, b long").distinct()
+
+
+def _compare(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between the asking sets and the others of other components."""
+    asks, rest = group[group["asks"]], group[~group["asks"]]
+    found: list[np.ndarray] = []
+    if len(asks) and len(rest):
+        flat = np.concatenate(rest["s"].to_numpy())
+        size = rest["s"].map(len).to_numpy()
+        first = np.cumsum(size) - size
+        known, place = np.unique(flat, return_inverse=True)
+        names, roots = rest["v"].to_numpy(), rest["root"].to_numpy()
+        for v, root, own in zip(asks["v"], asks["root"], asks["s"], strict=True):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            mark = np.zeros(len(known), dtype=np.int32)
+            mark[at[known[at] == own]] = 1
+            common = np.add.reduceat(mark[place], first)
+            near = (common >= SIMILAR * (size + len(own) - common) - 1e-9) & (roots != root)
+            found.append(np.stack((np.minimum(names[near], v), np.maximum(names[near], v))))
+    links_ = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pd.DataFrame({"a": links_[0], "b": links_[1]})
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ ALLOWED = (
     r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
     r"(?i)example|sample|placeholder|dummy|changeme|xxxxxx|redacted",
     r"(?i)abcdefgh|01234567|12345678",
-    r"^(?:[A-Za-z]+[0-9]{0,4}[/_=-]?)+$",  # words, joined or numbered
+    r"^(?:[A-Za-z]{3,}+[/_=-]?)++[0-9]{0,4}$",  # words, joined, and a number
 )
 _BLOCK = 512
 
