@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from tradeaxis.llm import textops
 
-SAMPLE = 2500
-LONGEST = 200_000
+SAMPLE = 1000
+LONGEST = 50_000
 BLOCK = 128
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6)
