@@ -19,12 +19,23 @@ def _c(c: Column | str) -> Column:
 
 
 def times(a: Column | str, b: Column | str) -> Column:
-    """Product of two stored decimals kept at scale 9.
+    """Product of two stored decimals kept at scale 9, half-up; NULL if ``(28,9)`` cannot hold it.
 
-    ``DECIMAL(28,9) * DECIMAL(28,9)`` would be typed ``(38,6)``, so the operands are narrowed to
-    ``(19,9)`` first: ``(38,18)`` holds their product exactly.
+    ``DECIMAL(28,9) * DECIMAL(28,9)`` would be typed ``(38,6)``, so the smaller factor is taken apart:
+    its whole part in two pieces of at most six digits, and its fraction. Each partial product is exact.
+    A product that fits has a smaller factor below 4.4e9.
     """
-    return (_c(a).cast("decimal(19,9)") * _c(b).cast("decimal(19,9)")).cast(PRICE)
+    x, y = _c(a).cast(PRICE), _c(b).cast(PRICE)
+    big, small = F.when(F.abs(x) >= F.abs(y), x).otherwise(y), F.when(F.abs(x) >= F.abs(y), y).otherwise(x)
+    sign = F.when(small < 0, F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+    size = F.abs(small)
+    whole = F.floor(size)
+    high = F.floor(whole / F.lit(100000)).try_cast("decimal(6,0)")
+    low = (whole - high * F.lit(100000).cast("decimal(6,0)")).try_cast("decimal(5,0)")
+    rest = (size - whole).cast("decimal(9,9)")
+    part = (big * high).try_cast(PRICE) * F.lit(100000).cast("decimal(6,0)")
+    total = part + big * low + (big * rest).try_cast(PRICE)
+    return (total * sign).try_cast(PRICE)
 
 
 def position_value(quantity: Column | str, price: Column | str, accrued: Column | str) -> Column:

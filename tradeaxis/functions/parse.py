@@ -132,7 +132,7 @@ def units_nano(units: Column | str, nano: Column | str) -> Column:
     """Whole units plus billionths; NULL only when both are missing."""
     u = F.col(units) if isinstance(units, str) else units
     n = F.col(nano) if isinstance(nano, str) else nano
-    whole = F.coalesce(u.cast("decimal(18,0)"), F.lit(0).cast("decimal(18,0)"))
+    whole = F.coalesce(u.cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)"))
     billionths = F.coalesce(n.cast("decimal(10,0)"), F.lit(0).cast("decimal(10,0)"))
     part = (billionths * F.lit("0.000000001").cast("decimal(9,9)")).cast(PRICE)
     return F.when(u.isNotNull() | n.isNotNull(), (whole.cast(PRICE) + part).cast(PRICE))

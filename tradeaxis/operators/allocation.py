@@ -232,13 +232,14 @@ def exclusion_reason(asset: Column, price: Column, lot: Column) -> Column:
 
 
 def whole_lots(limit: Column, num: Column, den: Column, price: Column, lot: Column) -> Column:
-    """``trunc(limit * num / (den * price * lot))`` in one exact division.
+    """``trunc(limit * num / (den * price * lot))``, exact: whole divisions one after another.
 
-    Weights stay fractions, so an exact multiple never loses a lot to a rounded ``1/k``.
+    Weights stay fractions, so an exact multiple never loses a lot to a rounded ``1/k``. The second
+    divisor is whole, so cutting off twice is cutting off once. More pieces than 64 bits hold give NULL.
     """
-    target = limit.cast("decimal(22,9)") * num.cast("decimal(6,0)")
-    lot_cost = den.cast("decimal(6,0)") * price.cast("decimal(18,9)") * lot.cast("decimal(9,0)")
-    return F.call_function("div", target, lot_cost)
+    target = limit.cast(PRICE) * num.cast("decimal(6,0)")
+    pieces = F.when(target.cast("double") / price.cast("double") < 9e18, F.call_function("div", target, price.cast(PRICE)))
+    return F.call_function("div", pieces.cast("decimal(19,0)"), den.cast("decimal(6,0)") * lot.cast("decimal(19,0)"))
 
 
 def target_rows(with_capital: DataFrame, selected: DataFrame) -> DataFrame:
@@ -416,7 +417,7 @@ def plan_totals(funded: DataFrame, planned: DataFrame, untouched: DataFrame) ->
     kept = untouched.groupBy("request_id").agg(F.sum("value").cast(PRICE).alias("_untouched"))
     zero = F.lit(0).cast(PRICE)
     fee = F.bround(
-        F.col("turnover").cast("decimal(24,9)") * F.col("fee_percent").cast("decimal(7,4)") / 100, 2
+        F.col("turnover").cast(PRICE) * F.col("fee_percent").cast("decimal(7,4)") / 100, 2
     )
     return (
         funded.join(moved, "request_id", "left")

@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +20,9 @@ from tradeaxis.functions import parse
 from tradeaxis.operators import calendar as cal
 from tradeaxis.operators import completeness as comp
 from tradeaxis.operators.calendar import SessionWindow
+from tradeaxis.operators.journal import OK
 from tradeaxis.operators.store import exists
-from tradeaxis.session import local_frame
+from tradeaxis.session import discard, local_frame, scratch_path
 from tradeaxis.schema import AGGREGATE_VALUES, BAR_VALUES, POSITION_VALUES
 
 PARTS = ("prices", "aggregates", "global", "positions", "sectors", "incomplete")
@@ -50,18 +50,23 @@ def dense_axis(
         .groupBy(*keys, "idx")
         .agg(F.max("v").alias("v"))
     )
-    folded = rows.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("idx", "v"))).alias("m")
-    )
+    folded = rows.groupBy(*keys).agg(F.collect_list(F.struct("idx", "v")).alias("have"))
 
-    def entry(i: Column) -> Column:
-        cell = F.try_element_at("m", i)
+    def values_of(entry: Column) -> Column:
+        cell = entry["v"]
         if scalar:
             return cell[values[0]]
         return F.array(*[cell[v] for v in values])
 
+    # the slots without an observation join the others, and sorting by slot lays the axis out
     slots = F.sequence(F.lit(0), F.lit(max(len(window) - 1, 0)))
-    return folded.select(*keys, F.transform(slots, entry).alias("rows"))
+    kind = rows.schema["v"].dataType
+    unseen = F.transform(
+        F.array_except(slots, F.transform("have", lambda e: e["idx"].cast("int"))),
+        lambda i: F.struct(i.cast(rows.schema["idx"].dataType).alias("idx"), F.lit(None).cast(kind).alias("v")),
+    )
+    laid = F.array_sort(F.concat("have", unseen))
+    return folded.select(*keys, F.transform(laid, values_of).alias("rows"))
 
 
 def prices(bars: DataFrame, window: SessionWindow) -> DataFrame:
@@ -240,17 +245,30 @@ def materialise(
 ) -> tuple[str, str, bool]:
     """Writes the dataset once; returns its path, digest and whether it was written now.
 
-    The parts are kept on the executors' disks while the digest is taken, then written from there;
-    a lost executor recomputes its blocks. The path is named by the digest and the manifest goes
-    last, so a dataset whose manifest exists is whole, and an equal one is never written again.
+    A date that is no session, or whose window has no bars, is refused. The parts are staged in the
+    shared folder while the digest is taken, and written from there. The path is named by the digest
+    and the manifest goes last, so a dataset whose manifest exists is whole, and an equal one is never
+    written again; if another digest begins alike, the whole digest names the path.
     """
+    windows = windows_of(calendar, asof, settings)
+    reason = preconditions(calendar, tables["bar"], asof, windows["prices"]).first().reason
+    if reason:
+        raise ValueError(f"no dataset for {asof}: {reason}")
     parts, windows = build_parts(tables, calendar, journal, asof, settings)
-    kept = {name: df.persist(StorageLevel.DISK_ONLY) for name, df in parts.items()}
+    kept, copies = {}, []
+    for name, df in parts.items():
+        copies.append(scratch_path(spark, f"part-{name}"))
+        df.write.parquet(copies[-1])
+        kept[name] = spark.read.schema(df.schema).parquet(copies[-1])
     try:
         value = digest(series_hashes(kept), header(asof, windows)).first().digest
         path = f"{root.rstrip('/')}/{dataset_name(asof, value)}"
         if exists(spark, f"{path}/manifest"):
-            return path, value, False
+            if spark.read.parquet(f"{path}/manifest").first().digest == f"sha256:{value}":
+                return path, value, False
+            path = f"{root.rstrip('/')}/{asof.isoformat()}-{value}"
+            if exists(spark, f"{path}/manifest"):
+                return path, value, False
         for name, df in kept.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         row = local_frame(spark, [(value,)], digest=pa.string())
@@ -260,8 +278,8 @@ def materialise(
         stamped.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
         return path, value, True
     finally:
-        for df in kept.values():
-            df.unpersist()
+        for copy in copies:
+            discard(spark, copy)
 
 
 def expired(registry: DataFrame, now: Column, retention_days: int) -> DataFrame:
@@ -287,6 +305,22 @@ def not_yet_built(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     return candidates.join(registry.select("digest").distinct(), "digest", "left_anti")
 
 
+def collected_after(journal: DataFrame, moment: Column, exclude_sources: Sequence[str] = ()) -> Column:
+    """Whether anything may have been written after ``moment``: one aggregate serves all moments.
+
+    A run that has not finished may be writing now; one that wrote nothing changed nothing.
+    """
+    done = journal.filter(F.col("status") == OK)
+    if exclude_sources:
+        done = done.filter(~F.col("source_id").isin(list(exclude_sources)))
+    marks = done.agg(
+        F.coalesce(F.bool_or(F.col("finished_at").isNull()), F.lit(False)).alias("open"),
+        F.max(F.when(F.col("rows_written") > 0, F.col("finished_at"))).alias("last"),
+    )
+    last = marks.select("last").scalar()
+    return marks.select("open").scalar() | F.coalesce(last > moment, F.lit(False))
+
+
 def is_stale(
     collected: Column,
     recorded: tuple[Column, Column],

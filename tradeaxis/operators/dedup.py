@@ -1,8 +1,10 @@
 """One row per key, by arrival order, and the upsert built on it.
 
-Everything is a ``max`` or ``min`` over a struct that starts with the order columns. Each task folds
-its own rows before the shuffle, so a key holding a large part of the input costs one row per task,
-where a ``row_number`` window would pull the whole key into one task.
+Each task folds its own rows before the shuffle, so a key holding a large part of the input costs one row
+per task, where a ``row_number`` window would pull the whole key into one task. Where the order is one or
+two whole numbers, days or moments and the values have a fixed width, the order is packed into one number
+and every value is a ``max_by`` or ``min_by`` of its own: a hash aggregation without any sort. Other shapes
+are folded as one struct, which Spark aggregates by sorting.
 """
 
 from __future__ import annotations
@@ -11,6 +13,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FIXED = (*_WHOLE, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+#: Below every packed order, for rows that any other replaces.
+_LOWEST = "-" + "9" * 38
+
+
+def packed(df: DataFrame, order: Sequence[str]) -> Column | None:
+    """One number that sorts like one or two whole, day or moment columns, nulls first; else None."""
+    parts = []
+    for name in order:
+        kind = df.schema[name].dataType
+        if isinstance(kind, _WHOLE):
+            part = F.col(name)
+        elif isinstance(kind, T.DateType):
+            part = F.unix_date(name)
+        elif isinstance(kind, T.TimestampType):
+            part = F.unix_micros(name)
+        else:
+            return None
+        # less than any 64-bit number
+        parts.append(F.coalesce(part.cast("decimal(19,0)"), F.lit("-9999999999999999999").cast("decimal(19,0)")))
+    if not 1 <= len(parts) <= 2:
+        return None
+    high = parts[0] if len(parts) == 2 else F.lit(0).cast("decimal(19,0)")
+    return (high * F.lit("10000000000000000000").cast("decimal(20,0)") + parts[-1]).cast("decimal(38,0)")
+
+
+def _fixed(df: DataFrame, names: Sequence[str]) -> bool:
+    return all(isinstance(df.schema[n].dataType, _FIXED) for n in names)
 
 
 def _struct(names: Sequence[str]) -> Column:
@@ -19,17 +52,24 @@ def _struct(names: Sequence[str]) -> Column:
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key in ``order``; ``order`` must tell the rows of a key apart."""
-    return _pick(df, keys, order, F.max)
+    return _pick(df, keys, order, F.max, F.max_by)
 
 
 def earliest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in ``order``."""
-    return _pick(df, keys, order, F.min)
+    return _pick(df, keys, order, F.min, F.min_by)
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], extreme) -> DataFrame:
-    """The greatest or least row as one struct, ``order`` leading: each value is carried once."""
+def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], extreme, extreme_by) -> DataFrame:
+    """The greatest or least row: value by value if that needs no sort, else as one struct, order leading."""
     rest = [c for c in df.columns if c not in keys and c not in order]
+    number = packed(df, order)
+    if number is not None and _fixed(df, rest):
+        values = [c for c in df.columns if c not in keys]
+        picked = df.withColumn("_order", number).groupBy(*keys).agg(
+            *[extreme_by(c, "_order").alias(c) for c in values] or [F.lit(1).alias("_")]
+        )
+        return picked.select(*df.columns)
     row = _struct([*order, *rest])
     picked = df.groupBy(*keys).agg(extreme(row).alias("_row"))
     return picked.select(
@@ -38,15 +78,30 @@ def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], extreme) ->
 
 
 def upsert(
-    stored: DataFrame, incoming: DataFrame, keys: Sequence[str], arrival: Sequence[str]
+    stored: DataFrame,
+    incoming: DataFrame,
+    keys: Sequence[str],
+    arrival: Sequence[str],
+    derived: Sequence[str] = (),
 ) -> DataFrame:
     """Stored rows with incoming ones laid over them.
 
     An incoming row replaces every value of its key, also with NULL; among incoming rows of one key
-    the last by ``arrival`` wins. Columns are those of ``stored``.
+    the last by ``arrival`` wins. Columns are those of ``stored``. ``derived`` names columns that
+    follow from the key, like an asset's id from its series'; they are grouped by, not folded.
     """
+    keys = [*keys, *[c for c in derived if c in stored.columns]]
     values = [c for c in stored.columns if c not in keys]
     types = dict(incoming.dtypes)
+    number = packed(incoming, arrival)
+    if number is not None and values and _fixed(stored, values):
+        typed = [F.col(v).cast(stored.schema[v].dataType).alias(v) for v in values]
+        low = F.lit(_LOWEST).cast("decimal(38,0)").alias("_order")
+        both = stored.select(*keys, *values, low).unionByName(
+            incoming.select(*keys, *typed, number.alias("_order"))
+        )
+        folded = both.groupBy(*keys).agg(*[F.max_by(v, "_order").alias(v) for v in values])
+        return folded.select(*stored.columns)
     old = stored.select(
         *keys,
         _struct(values).alias("_values"),

@@ -30,13 +30,18 @@ class Source:
     source_id: str
     table: str
     build: Callable[[DataFrame], DataFrame]
+    day: str | None = "session_date"  # the stored table's own day column, if it has one
 
 
 def _written(
     rows: DataFrame, days: DataFrame, run_id: str, source_id: str, trigger: str
 ) -> DataFrame:
     """A journal row per session asked for; a session without rows is answered, not failed."""
-    counts = rows.groupBy("session_date").agg(F.count("*").alias("rows_written"))
+    if "session_date" in rows.columns:
+        counts = rows.groupBy("session_date").agg(F.count("*").alias("rows_written"))
+    else:  # a table without sessions is journalled on the last day asked for
+        last = days.agg(F.max("session_date").alias("session_date"))
+        counts = rows.agg(F.count("*").alias("rows_written")).join(F.broadcast(last))
     return days.join(counts, "session_date", "left").select(
         F.lit(run_id).alias("run_id"),
         F.lit(source_id).alias("source_id"),
@@ -78,10 +83,11 @@ def run_source(
         rows = staged(source.build(landed), f"ingest-{source.source_id}")
         incoming = rows.withColumn("_seq", F.lit(1))
         keys = store.KEYS[source.table]
-        store.merge_into(spark, f"{root}/{source.table}", incoming, keys, ["_seq"], grain)
+        derived = store.DERIVED.get(source.table, ())
+        store.merge_into(spark, f"{root}/{source.table}", incoming, keys, ["_seq"], grain, source.day, derived)
         return _written(rows, days, run_id, source.source_id, trigger)
     except Exception as error:  # noqa: BLE001 - the outcome is journalled, others go on
-        text = str(error).splitlines()[0][:500] if str(error) else type(error).__name__
+        text = str(error) or type(error).__name__
         return _failed(days, run_id, source.source_id, trigger, text)
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tradeaxis.functions import money
 from tradeaxis.operators.journal import failure_streaks
 from tradeaxis.operators.ranking import rules
+from tradeaxis.operators.store import exists
 from tradeaxis.schema import PRICE
+from tradeaxis.session import staged
 
 # Reconciliation tolerances and the broker status of each failure reason.
 ABSOLUTE_TOLERANCE = "1"
@@ -174,19 +176,27 @@ def sync_view(sync_journal: DataFrame, accounts: DataFrame, now: Column, interva
 def stored_snapshot(accounts: DataFrame, listed: DataFrame) -> DataFrame:
     """Snapshot rows to store, in the broker's order.
 
-    ``listed`` has one row per account with ``positions``, an array as the broker sent it.
+    ``listed`` has one row per account with ``positions``, an array as the broker sent it. An account
+    without positions keeps one row with its own state and no position (``sort_order`` NULL).
     """
-    rows = listed.select("account_id", F.posexplode("positions").alias("sort_order", "p"))
-    return accounts.join(rows.select("account_id", "sort_order", "p.*"), "account_id")
+    rows = listed.select("account_id", F.posexplode_outer("positions").alias("sort_order", "p"))
+    return accounts.join(rows.select("account_id", "sort_order", "p.*"), "account_id", "left")
 
 
 def write_snapshot(rows: DataFrame, path: str, buckets: int = 256) -> None:
-    """Replaces whole snapshots at once.
+    """Replaces the snapshots of the accounts in ``rows``, each as a whole; the others stay.
 
-    Accounts are spread over a fixed number of hash partitions; dynamic overwrite replaces only the
-    partitions present in ``rows``, so a caller passes every account of a partition it touches.
+    Accounts are spread over hash partitions. The touched ones are read, their other accounts kept, and
+    both staged in the shared folder before the partitions are overwritten. ``buckets`` must be the same
+    for every write of a path.
     """
+    spark = rows.sparkSession
     spread = rows.withColumn("bucket", F.pmod(F.xxhash64("account_id"), F.lit(buckets)).cast("int"))
+    if exists(spark, path):
+        touched = [r[0] for r in spread.select("bucket").distinct().collect()]  # at most ``buckets``
+        stored = spark.read.schema(spread.schema).parquet(path).filter(F.col("bucket").isin(touched))
+        others = stored.join(rows.select("account_id").distinct(), "account_id", "left_anti")
+        spread = staged(others.select(*spread.columns).unionByName(spread), "snapshot")
     (
         spread.hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "account_id", "sort_order")

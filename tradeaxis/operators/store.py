@@ -12,7 +12,7 @@ from tradeaxis.functions import parse
 from tradeaxis.operators.calendar import SessionWindow
 from tradeaxis.operators.dedup import upsert
 from tradeaxis.schema import POSITION_VALUES
-from tradeaxis.session import staged
+from tradeaxis.session import discard, scratch_path
 
 # Natural keys of the stored tables.
 KEYS = {
@@ -25,6 +25,10 @@ KEYS = {
 }
 
 
+#: Columns that follow from the key.
+DERIVED = {"bar": ("asset_id",), "aggregate": ("asset_id",)}
+
+
 def filled(columns: Sequence[str]) -> Column:
     """At least one value was observed."""
     return F.coalesce(*[F.col(c) for c in columns]).isNotNull()
@@ -162,7 +166,7 @@ def drop_foreign_curve(series: DataFrame) -> DataFrame:
     return series.filter(~(curve & ~point))
 
 
-PARTITION = "part"
+PARTITION, WHOLE = "part", "all"
 _GRAIN = {"day": "yyyy-MM-dd", "month": "yyyy-MM"}
 
 
@@ -173,7 +177,8 @@ def merge_into(
     keys: Sequence[str],
     arrival: Sequence[str],
     grain: str = "day",
-    day: str = "session_date",
+    day: str | None = "session_date",
+    derived: Sequence[str] = (),
 ) -> None:
     """Upsert into a parquet table partitioned by session, touching only the incoming partitions.
 
@@ -181,22 +186,28 @@ def merge_into(
     while it is being read, and a lost executor or a retried job reads the same staged files. A
     partition is a session; ``grain="month"`` suits tables too small for a file per session. Rows
     are rebalanced by partition before the write: small sessions share a task, and a session with
-    much of the data is split over several.
+    much of the data is split over several. Without a ``day`` the table is one partition. The staged
+    copy is removed after the write.
     """
     names = [c for c in incoming.columns if c not in arrival]
     shape = incoming.limit(0).select(*names)
+    part = F.lit(WHOLE) if day is None else F.date_format(day, _GRAIN[grain])
+    copy = None
     if exists(spark, path):
-        part = F.date_format(day, _GRAIN[grain])
         layout = T.StructType([*shape.schema.fields, T.StructField(PARTITION, T.StringType())])
         stored = spark.read.schema(layout).parquet(path)
-        touched = incoming.select(part.alias(PARTITION)).distinct()
-        kept = stored.join(touched, PARTITION, "left_semi").select(*names)
-        merged = staged(upsert(kept, incoming, keys, arrival), "merge")
+        # at most the days that landed: literals, so that the scan reads these partitions alone
+        touched = [r[0] for r in incoming.select(part.alias("p")).distinct().collect()]
+        here = F.col(PARTITION).isin([t for t in touched if t is not None])
+        kept = stored.filter(here | F.col(PARTITION).isNull() if None in touched else here).select(*names)
+        copy = scratch_path(spark, "merge")
+        upsert(kept, incoming, keys, arrival, derived).write.parquet(copy)
+        merged = spark.read.schema(shape.schema).parquet(copy)
     else:
-        merged = upsert(shape, incoming, keys, arrival)
+        merged = upsert(shape, incoming, keys, arrival, derived)
     order = [PARTITION, *keys]
     (
-        merged.withColumn(PARTITION, F.date_format(day, _GRAIN[grain]))
+        merged.withColumn(PARTITION, part)
         .hint("rebalance", PARTITION)
         .sortWithinPartitions(*order)
         .write.mode("overwrite")
@@ -204,6 +215,8 @@ def merge_into(
         .partitionBy(PARTITION)
         .parquet(path)
     )
+    if copy:
+        discard(spark, copy)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -219,22 +219,24 @@ _BOUNDS_SQL = f"""select session_date, min(session_date) over w as window_from f
 
 @register(
     "h11_input_staleness",
-    f"""with m as (select max(finished_at) as mark from v_ingest_run where status = 'ok' and rows_written > 0)
-      select id, case when not (mark > finished_at) and model_id < '4' then false
-        else coalesce(case when model_id = '5' then null when model_id < '3' then dataset_digest else 'other' end <> dataset_digest, false) end as stale
-      from v_ranking_run r join ({_BOUNDS_SQL}) b on b.session_date = r.asof_date cross join m where status = 'success'""",
+    f"""with ok as (select finished_at, rows_written from v_ingest_run where status = 'ok')
+      select id, case when window_from is not null and model_id < '4' and not exists (select 1 from ok where ok.finished_at is null)
+          and not exists (select 1 from ok where ok.rows_written > 0 and ok.finished_at > r.finished_at) then false
+        when window_from is null or model_id = '5' then false
+        when model_id < '3' then false else 'other' <> dataset_digest end as stale
+      from v_ranking_run r left join ({_BOUNDS_SQL}) b on b.session_date = r.asof_date where status = 'success'""",
 )
 def input_staleness(v: Views) -> DataFrame:
     """Successful runs: two models recorded another window, one dataset cannot be built any more."""
-    wrote = v.ingest_run.filter((F.col("status") == "ok") & (F.col("rows_written") > 0))
-    mark = wrote.agg(F.max("finished_at").alias("m")).scalar()
+    collected = ds.collected_after(v.ingest_run, F.col("finished_at"))
     bounds = cal.window_bounds(v.session, DEPTH).withColumnRenamed("session_date", "asof_date")
-    runs = v.ranking_run.filter("status = 'success'").join(F.broadcast(bounds), "asof_date")
+    runs = v.ranking_run.filter("status = 'success'").join(F.broadcast(bounds), "asof_date", "left")
     model = F.col("model_id")
     recorded = F.when(model < "4", F.col("window_from")).otherwise(F.date_sub("window_from", 1))
-    current = F.when(model < "3", F.col("dataset_digest")).when(model != "5", F.lit("other"))
+    built = F.when(model < "3", F.col("dataset_digest")).when(model != "5", F.lit("other"))
+    current = F.when(F.col("window_from").isNotNull(), built)  # no window, no dataset
     stale = ds.is_stale(
-        mark > F.col("finished_at"),
+        collected,
         (recorded, F.col("asof_date")),
         (F.col("window_from"), F.col("asof_date")),
         F.col("dataset_digest"),

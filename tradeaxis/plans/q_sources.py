@@ -216,7 +216,7 @@ def rate_pages(v: Views) -> DataFrame:
 )
 def failed_rate_pages(v: Views) -> DataFrame:
     rendered = _rate_pages(v)
-    return pages.failed_pages(rendered, pages.rate_values(rendered))
+    return pages.failed_rate_pages(rendered)
 
 
 @register(
@@ -363,20 +363,22 @@ def last_history_row_wins(v: Views) -> DataFrame:
 
 @register(
     "e04_front_contract",
-    """select session_date, secid, expiry, close from (select *, row_number() over (partition by session_date order by expiry, secid, close) as rn from (
-        select cast(o_orderdate as date) as session_date, concat('BR', cast(o_custkey as varchar)) as secid,
+    """select session_date, secid, expiry, close from (select *, row_number() over (partition by session_date order by expiry, secid, o_orderkey) as rn from (
+        select o_orderkey, cast(o_orderdate as date) as session_date, concat('BR', cast(o_custkey as varchar)) as secid,
           last_day(make_date(2000 + cast(strftime(o_orderdate, '%y') as int), m, 1)) as expiry, cast(cast(o_totalprice as decimal(18,2)) as decimal(28,9)) as close
         from (select *, cast(month(o_orderdate) + cast(substr(o_orderpriority, 1, 1) as int) - 2 as int) as m from orders) o
         where m between 1 and 12) c where expiry >= session_date) r where rn = 1""",
 )
 def front_contract(v: Views) -> DataFrame:
     month = F.month("o_orderdate") + F.substring("o_orderpriority", 1, 1).cast("int") - 2
-    rows = v.orders.groupBy(
+    rows = v.orders.select(
         F.to_date("o_orderdate").alias("session_date"),
         F.concat(F.lit("br"), F.col("o_custkey").cast("string")).alias("SECID"),
         F.concat(F.lit("BR-"), month, F.date_format("o_orderdate", ".yy")).alias("SHORTNAME"),
-    ).agg(F.min(F.col("o_totalprice").cast("decimal(18,2)")).cast("string").alias("CLOSE"))
-    return series.front_contract(rows)
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("CLOSE"),
+        "o_orderkey",
+    )
+    return series.front_contract(rows, ["o_orderkey"])
 
 
 def _analytics(v: Views) -> DataFrame:

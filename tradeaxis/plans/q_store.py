@@ -277,7 +277,7 @@ _ARRIVING_SQL = f"{_DAY_BAR_SQL.replace('select ', 'select l_linenumber, ', 1)}
 def upsert_bars(v: Views) -> DataFrame:
     stored = _day_bars(v.trade.filter("l_linestatus = 'F'"))
     incoming = _day_bars(v.trade.filter("l_linestatus = 'O'"), "l_linenumber")
-    return upsert(stored, incoming, store.KEYS["bar"], ["l_linenumber"])
+    return upsert(stored, incoming, store.KEYS["bar"], ["l_linenumber"], store.DERIVED["bar"])
 
 
 _DAY_AGG_SQL = """select price_series_id, asset_id, session_date, cast(sum(cast(px as decimal(18,2))) as decimal(28,9)) as value,
@@ -302,7 +302,7 @@ def _day_aggregates(trades: DataFrame) -> DataFrame:
 def upsert_aggregates(v: Views) -> DataFrame:
     stored = _day_aggregates(v.trade.filter("l_linestatus = 'F'"))
     incoming = _day_aggregates(v.trade.filter("l_linestatus = 'O'")).withColumn("seq", F.lit(1))
-    return upsert(stored, incoming, store.KEYS["aggregate"], ["seq"])
+    return upsert(stored, incoming, store.KEYS["aggregate"], ["seq"], store.DERIVED["aggregate"])
 
 
 @register(

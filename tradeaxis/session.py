@@ -62,6 +62,12 @@ def local_frame(spark: SparkSession, rows: Sequence[tuple], **columns: pa.DataTy
     return spark.createDataFrame(pa.table(data))
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder of the shared folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """The frame written once to the shared folder and read back.
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeaxis.functions import parse
+from tradeaxis.operators.dedup import latest_by
 from tradeaxis.sources.series import KEY_RATE_SERIES_ID
 
 # Curve terms in column order, the caption of the wanted row, markup classes.
@@ -38,6 +39,7 @@ CURVE_WRAPPER = "table-wrapper"
 POSITION_TABLE = ("table1", "_full-width")
 CAPTION_CLASS = "text-center"
 
+_OBSERVATION = ["page_id", "series_id", "session_date"]
 _CELLS = "page_id STRING, found BOOLEAN, caption STRING, row INT, cells ARRAY<STRING>"
 
 
@@ -107,16 +109,13 @@ def _cells(pages: DataFrame, table_classes: tuple[str, ...], wrapper: str | None
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
                 reader = _TableReader(table_classes, wrapper)
                 reader.feed(html or "")
                 reader.close()
                 rows = [r for r in reader.rows if r] or [None]
-                out += [
-                    (page_id, reader.found, reader.caption, i, r) for i, r in enumerate(rows)
-                ]
-            yield pd.DataFrame(out, columns=["page_id", "found", "caption", "row", "cells"])
+                out = [(page_id, reader.found, reader.caption, i, r) for i, r in enumerate(rows)]
+                yield pd.DataFrame(out, columns=["page_id", "found", "caption", "row", "cells"])
 
     return pages.select(F.col("page_id").cast("string"), "html").mapInPandas(read, _CELLS)
 
@@ -126,7 +125,7 @@ def _sized(cells: DataFrame, n: int) -> DataFrame:
 
 
 def rate_values(pages: DataFrame) -> DataFrame:
-    """Key-rate pages: rows of exactly two cells; the last row of a date on a page wins."""
+    """Key-rate pages: rows of exactly two cells; the last row of a date on a page counts."""
     day = parse.dotted_date(F.col("cells")[0])
     rows = _sized(_cells(pages, RATE_TABLE, None), 2).select(
         "page_id",
@@ -135,7 +134,7 @@ def rate_values(pages: DataFrame) -> DataFrame:
         parse.local_decimal(F.col("cells")[1]).alias("value"),
         "row",
     )
-    return rows.filter("session_date IS NOT NULL")
+    return latest_by(rows.filter("session_date IS NOT NULL"), _OBSERVATION, ["row"])
 
 
 def curve_values(pages: DataFrame) -> DataFrame:
@@ -147,13 +146,14 @@ def curve_values(pages: DataFrame) -> DataFrame:
         F.posexplode(F.slice("cells", 2, len(CURVE_TERMS))).alias("at", "text"),
         "row",
     )
-    return rows.filter("session_date IS NOT NULL").select(
+    values = rows.filter("session_date IS NOT NULL").select(
         "page_id",
         parse.curve_series_id(F.get(terms, F.col("at"))).alias("series_id"),
         "session_date",
         parse.local_decimal("text").alias("value"),
         "row",
     )
+    return latest_by(values, _OBSERVATION, ["row"])
 
 
 def position_values(pages: DataFrame) -> DataFrame:
@@ -172,6 +172,12 @@ def position_values(pages: DataFrame) -> DataFrame:
     )
 
 
+def failed_rate_pages(pages: DataFrame) -> DataFrame:
+    """Pages without the rate table; a table without a rate is an answer, and empty."""
+    cells = _cells(pages, RATE_TABLE, None)
+    return cells.filter(~F.col("found")).select("page_id").distinct()
+
+
 def failed_pages(pages: DataFrame, values: DataFrame) -> DataFrame:
     """Pages that brought nothing: no table, or no row of the expected shape."""
     ids = pages.select(F.col("page_id").cast("string").alias("page_id"))

@@ -50,15 +50,19 @@ def values_by_date(
     )
 
 
-def front_contract(rows: DataFrame) -> DataFrame:
-    """The unexpired contract nearest to each session; equal terms go to the smaller code."""
+def front_contract(rows: DataFrame, arrival: Sequence[str] = ()) -> DataFrame:
+    """The unexpired contract nearest to each session; equal terms go to the smaller code.
+
+    Of several rows of that contract the first by ``arrival`` counts.
+    """
     contracts = rows.select(
         "session_date",
         F.upper(F.trim("SECID")).alias("secid"),
         parse.contract_expiry("SHORTNAME").alias("expiry"),
         parse.decimal_or_null("CLOSE").alias("close"),
+        *arrival,
     ).filter("secid IS NOT NULL AND expiry >= session_date")
     front = contracts.groupBy("session_date").agg(
-        F.min_by(F.struct("secid", "expiry", "close"), F.struct("expiry", "secid")).alias("c")
+        F.min_by(F.struct("secid", "expiry", "close"), F.struct("expiry", "secid", *arrival)).alias("c")
     )
     return front.select("session_date", "c.secid", "c.expiry", "c.close")
