@@ -27,7 +27,7 @@ def _whole():
 def test_pieces_give_the_ids_of_whole_texts(spark, monkeypatch):
     texts = _texts(spark)
     wanted = [e.ids for e in _whole().encode_batch(texts, add_special_tokens=False)]
-    for memory in (1_500_000, 2000):  # with a table that is emptied all the time, too
+    for memory in (600_000, 2000):  # with a table that is emptied all the time, too
         monkeypatch.setattr("tradeaxis.llm.wordpieces.MEMORY", memory)
         encoder, got = Encoder(tokenizers.path(TOKENIZER)), []
         for _, ids, counts in encoder.encode(pa.array(texts)):

@@ -21,6 +21,7 @@ label. Without labels of both classes every score is 0.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -310,10 +311,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") <= LONGEST)
     # a sample of bounded size; repeated rows of one document are folded before anything is gathered
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    got = rows.orderBy("id").toArrow()
-    text = got["text"].combine_chunks()
-    text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
-    return fit(text, got["toxic"].to_numpy().astype(int), sizes[1] / (sizes[0] + sizes[1]))
+    prior = sizes[1] / (sizes[0] + sizes[1])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches)).sort_by("id")  # the sample, of bounded size
+        if not got.num_rows:
+            return
+        text = pa.concat_arrays(got["text"].chunks)
+        model = fit(text, got["toxic"].to_numpy().astype(int), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # one task learns: the driver holds neither the sample nor what fitting needs
+    learned = rows.coalesce(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(learned.model) if learned else Model()
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

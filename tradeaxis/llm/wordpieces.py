@@ -15,7 +15,7 @@ import pyarrow as pa
 from tradeaxis.llm import textops
 
 #: Pieces a worker remembers; the table is emptied when it is full.
-MEMORY = 1_500_000
+MEMORY = 600_000
 
 
 def _classes() -> np.ndarray:
