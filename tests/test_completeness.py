@@ -6,18 +6,18 @@ from tradeaxis.operators import calendar as cal
 from tradeaxis.operators import completeness as comp
 from tradeaxis.operators import journal as jr
 
-WEEK = ["2026-08-26", "2026-08-27", "2026-08-28", "2026-08-31", "2026-09-01"]
+WEEK = ["2023-03-06", "2023-03-07", "2023-03-09", "2023-03-10", "2023-03-14"]
 BY_ID = {g.group_id: g for g in GROUPS}
 SMALL = Settings(price_window=5, global_window=5, positions_window=2, required_groups=("quotes", "positions"))
-ASOF = d("2026-09-01")
+ASOF = d("2023-03-14")
 
 
 def sessions(spark, days=WEEK):
     return spark.createDataFrame([(d(x),) for x in days], "session_date DATE")
 
 
-def bars(spark, days, close=314):
-    data = [("EQ_PRS_SBER", "EQ_AST_SBER", d(x), dec(close)) for x in days]
+def bars(spark, days, close=57):
+    data = [("EQ_PRS_TORN", "EQ_AST_TORN", d(x), dec(close)) for x in days]
     return spark.createDataFrame(data, "price_series_id STRING, asset_id STRING, session_date DATE, close DECIMAL(28,9)")
 
 
@@ -50,31 +50,31 @@ def test_days_off_are_never_gaps(spark):
 
 
 def test_a_missing_session_is_a_gap_unless_a_run_answered(spark):
-    runs = [("2026-08-27", "equity_d1", "ok", 0, "2026-08-27 20:00:00"), ("2026-08-28", "equity_d1", "failed", 0, "2026-08-28 20:00:00"), ("2026-08-31", "brent", "ok", 1, "2026-08-31 20:00:00")]
-    missing, _, _ = gaps(spark, ["2026-08-26", "2026-09-01"], runs)
-    assert rows(missing) == [(d("2026-08-28"),), (d("2026-08-31"),)]
+    runs = [("2023-03-07", "equity_d1", "ok", 0, "2023-03-07 20:00:00"), ("2023-03-09", "equity_d1", "failed", 0, "2023-03-09 20:00:00"), ("2023-03-10", "brent", "ok", 1, "2023-03-10 20:00:00")]
+    missing, _, _ = gaps(spark, ["2023-03-06", "2023-03-14"], runs)
+    assert rows(missing) == [(d("2023-03-09"),), (d("2023-03-10"),)]
 
 
 def test_an_empty_store_needs_backfill_and_has_no_gaps(spark):
-    missing, unfinished, backfill = gaps(spark, [], [("2026-08-27", "brent", "failed", 0, "2026-08-27 20:00:00")])
+    missing, unfinished, backfill = gaps(spark, [], [("2023-03-07", "brent", "failed", 0, "2023-03-07 20:00:00")])
     assert backfill is True and rows(missing) == [] and rows(unfinished) == []
 
 
 def test_a_successful_retry_clears_the_failure(spark):
     runs = [
-        ("2026-08-27", "brent", "failed", 0, "2026-08-27 20:00:00"),
-        ("2026-08-27", "brent", "ok", 1, "2026-08-27 21:00:00"),
-        ("2026-08-28", "cbr", "ok", 1, "2026-08-28 20:00:00"),
-        ("2026-08-28", "cbr", "failed", 0, "2026-08-28 21:00:00"),
+        ("2023-03-07", "brent", "failed", 0, "2023-03-07 20:00:00"),
+        ("2023-03-07", "brent", "ok", 1, "2023-03-07 21:00:00"),
+        ("2023-03-09", "cbr", "ok", 1, "2023-03-09 20:00:00"),
+        ("2023-03-09", "cbr", "failed", 0, "2023-03-09 21:00:00"),
     ]
-    missing, unfinished, _ = gaps(spark, [x for x in WEEK if x != "2026-08-28"], runs)
-    assert rows(unfinished) == [(d("2026-08-28"), "cbr", "why")]
-    assert rows(comp.incomplete_by_session(missing, unfinished)) == [(d("2026-08-28"), ["cbr", "equity_d1"])]
+    missing, unfinished, _ = gaps(spark, [x for x in WEEK if x != "2023-03-09"], runs)
+    assert rows(unfinished) == [(d("2023-03-09"), "cbr", "why")]
+    assert rows(comp.incomplete_by_session(missing, unfinished)) == [(d("2023-03-09"), ["cbr", "equity_d1"])]
 
 
 def test_a_range_source_is_closed_by_its_observations(spark):
     series = spark.createDataFrame([("IMOEX", d(x), dec(1)) for x in WEEK[:4]], "series_id STRING, session_date DATE, value DECIMAL(28,9)")
-    runs = [("2026-09-01", "global_series", "ok", 5, "2026-09-01 20:00:00")]
+    runs = [("2023-03-14", "global_series", "ok", 5, "2023-03-14 20:00:00")]
     window = cal.window(sessions(spark), ASOF, 5)
     assert comp.missing_sessions(BY_ID["global"], series, journal(spark, runs), window).count() == 0
     assert comp.missing_sessions(BY_ID["global"], series, journal(spark, []), window).count() == 1
@@ -83,7 +83,7 @@ def test_a_range_source_is_closed_by_its_observations(spark):
 
 
 def test_covered_is_not_the_same_as_filled(spark):
-    held = positions(spark, [("2026-08-31", None), ("2026-09-01", None)])
+    held = positions(spark, [("2023-03-10", None), ("2023-03-14", None)])
     window = cal.window(sessions(spark), ASOF, 2)
     raw = comp.group_coverage(held, BY_ID["positions"].value_columns, "session_date", window).first()
     assert (raw.sessions_covered, raw.rows_total, raw.rows_with_values) == (2, 2, 0)
@@ -102,7 +102,7 @@ def tables(spark, bar_days, position_data):
 
 def test_coverage_report(spark):
     got = comp.coverage_report(
-        tables(spark, WEEK[:4], [("2026-08-31", None), ("2026-09-01", None)]), sessions(spark), SMALL, ASOF
+        tables(spark, WEEK[:4], [("2023-03-10", None), ("2023-03-14", None)]), sessions(spark), SMALL, ASOF
     )
     by = {r.group_id: r for r in got.collect()}
     assert (by["quotes"].sessions_covered, by["quotes"].gaps, str(by["quotes"].coverage_ratio)) == (4, 1, "0.8000")
@@ -149,87 +149,87 @@ def test_readiness_equals_a_walk_over_days(spark):
 
 
 def test_pending_respects_attempts_and_delay(spark):
-    now = F.lit("2026-09-01 17:00:00").cast("timestamp")
+    now = F.lit("2023-03-14 17:00:00").cast("timestamp")
     runs = (
-        [("2026-08-27", "brent", "failed", 0, "2026-08-27 20:00:00")] * 5
-        + [("2026-08-28", "equity_d1", "failed", 0, "2026-09-01 16:50:00")]
-        + [("2026-08-31", "equity_d1", "failed", 0, "2026-09-01 16:45:00")]
+        [("2023-03-07", "brent", "failed", 0, "2023-03-07 20:00:00")] * 5
+        + [("2023-03-09", "equity_d1", "failed", 0, "2023-03-14 16:50:00")]
+        + [("2023-03-10", "equity_d1", "failed", 0, "2023-03-14 16:45:00")]
     )
-    table = tables(spark, ["2026-08-26"], [(x, 1) for x in WEEK])
+    table = tables(spark, ["2023-03-06"], [(x, 1) for x in WEEK])
     log = journal(spark, runs)
     missing, window = comp.incomplete_closed_sessions(table, log, sessions(spark), SMALL, now, ASOF)
     assert missing.count() == 4
     # The 27th is out of attempts and the 28th was tried ten minutes ago.
-    assert rows(comp.pending_sessions(missing, window, log, SMALL, now)) == [(d("2026-08-31"),), (d("2026-09-01"),)]
+    assert rows(comp.pending_sessions(missing, window, log, SMALL, now)) == [(d("2023-03-10"),), (d("2023-03-14"),)]
 
 
 def test_open_day_is_not_missing(spark):
-    now = F.lit("2026-09-01 10:00:00").cast("timestamp")
+    now = F.lit("2023-03-14 10:00:00").cast("timestamp")
     table = tables(spark, WEEK[:4], [(x, 1) for x in WEEK[:4]])
     missing, window = comp.incomplete_closed_sessions(table, journal(spark, []), sessions(spark), SMALL, now, ASOF)
-    assert window.last == d("2026-08-31") and missing.count() == 0
+    assert window.last == d("2023-03-10") and missing.count() == 0
 
 
 def test_dataset_declaration(spark):
     schema = "asof_date DATE, incomplete ARRAY<STRUCT<session_date: DATE, sources: ARRAY<STRING>>>"
     data = [
-        (d("2026-08-26"), []),
-        (d("2026-08-27"), [(d("2026-08-27"), ["dividends"])]),
-        (d("2026-08-28"), [(d("2026-08-27"), ["cbr"]), (d("2026-08-28"), ["equity_d1"])]),
+        (d("2023-03-06"), []),
+        (d("2023-03-07"), [(d("2023-03-07"), ["dividends"])]),
+        (d("2023-03-09"), [(d("2023-03-07"), ["cbr"]), (d("2023-03-09"), ["equity_d1"])]),
     ]
     got = comp.dataset_is_complete(spark.createDataFrame(data, schema), SMALL)
     assert [r.complete for r in got.orderBy("asof_date").collect()] == [True, True, False]
 
 
 def test_catchup_plan_keeps_only_chosen_sources(spark):
-    plan = comp.catchup_plan(sessions(spark), [BY_ID["quotes"]], d("2026-08-27"), None)
-    assert [(r.session_date, r.sources, r.clamped) for r in plan.collect()][0] == (d("2026-08-27"), ["equity_d1"], False)
+    plan = comp.catchup_plan(sessions(spark), [BY_ID["quotes"]], d("2023-03-07"), None)
+    assert [(r.session_date, r.sources, r.clamped) for r in plan.collect()][0] == (d("2023-03-07"), ["equity_d1"], False)
     assert plan.count() == 4
 
 
 def test_journal_questions(spark):
     runs = [
-        ("2026-08-27", "equity_d1", "ok", 5, "2026-08-27 20:00:00"),
-        ("2026-08-27", "trading_calendar", "ok", 5, "2026-08-28 20:00:00"),
-        ("2026-08-27", "brent", "failed", 0, "2026-08-28 21:00:00"),
-        ("2026-08-27", "cbr", "ok", 0, "2026-08-28 22:00:00"),
+        ("2023-03-07", "equity_d1", "ok", 5, "2023-03-07 20:00:00"),
+        ("2023-03-07", "trading_calendar", "ok", 5, "2023-03-09 20:00:00"),
+        ("2023-03-07", "brent", "failed", 0, "2023-03-09 21:00:00"),
+        ("2023-03-07", "cbr", "ok", 0, "2023-03-09 22:00:00"),
     ]
     log = journal(spark, runs)
 
     def collected(at, exclude=()):
         return jr.collected_since(log, F.lit(at).cast("timestamp"), exclude).first().collected
 
-    assert collected("2026-08-27 19:00:00") is True
-    assert collected("2026-08-27 20:00:00", ["trading_calendar"]) is False
-    assert collected("2026-08-27 20:00:00") is True
+    assert collected("2023-03-07 19:00:00") is True
+    assert collected("2023-03-07 20:00:00", ["trading_calendar"]) is False
+    assert collected("2023-03-07 20:00:00") is True
     unfinished = log.withColumn("finished_at", F.lit(None).cast("timestamp"))
     assert jr.collected_since(unfinished, F.lit("2030-01-01").cast("timestamp")).first().collected is True
     window = cal.window(sessions(spark), ASOF, 5)
-    assert rows(jr.attempts_by_session(log, window)) == [(d("2026-08-27"), 4)]
+    assert rows(jr.attempts_by_session(log, window)) == [(d("2023-03-07"), 4)]
     rolled = {r.run_id: (r.succeeded, r.unfinished_sources) for r in jr.run_rollup(log).collect()}
     assert rolled["run-0"] == (True, []) and rolled["run-2"] == (False, ["brent"])
 
 
 def test_failure_streak_is_reset_by_success(spark):
-    at = "2026-08-27 20:0{}:00"
+    at = "2023-03-07 20:0{}:00"
     outcomes = {"a": "ffof", "b": "fff", "c": "offf", "d": "o", "e": "fso" }
     names = {"f": "failed", "o": "ok", "s": "skipped"}
-    data = [("2026-08-27", source, names[x], 0, at.format(i)) for source, seq in outcomes.items() for i, x in enumerate(seq)]
+    data = [("2023-03-07", source, names[x], 0, at.format(i)) for source, seq in outcomes.items() for i, x in enumerate(seq)]
     got = {r.source_id: (r.consecutive_failures, r.is_open) for r in jr.source_health(journal(spark, data), 3).collect()}
     assert got == {"a": (1, True), "b": (3, False), "c": (3, False), "d": (0, True), "e": (0, True)}
 
 
 def test_gate_and_progress(spark):
-    landed = sessions(spark, ["2026-08-28", "2026-08-29"])
+    landed = sessions(spark, ["2023-03-09", "2026-08-29"])
     open_days, skipped = jr.gate(landed, sessions(spark))
-    assert rows(open_days) == [(d("2026-08-28"),)]
+    assert rows(open_days) == [(d("2023-03-09"),)]
     assert rows(skipped, "session_date", "status") == [(d("2026-08-29"), "skipped")]
-    log = journal(spark, [("2026-08-26", "equity_d1", "failed", 0, "2026-08-27 20:00:00"), ("2026-08-26", "equity_d1", "ok", 0, "2026-08-27 21:00:00"), ("2026-08-27", "equity_d1", "failed", 0, "2026-08-27 21:00:00"), ("2026-08-28", "brent", "ok", 0, "2026-08-27 21:00:00")]).withColumn("run_id", F.lit("r"))
+    log = journal(spark, [("2023-03-06", "equity_d1", "failed", 0, "2023-03-07 20:00:00"), ("2023-03-06", "equity_d1", "ok", 0, "2023-03-07 21:00:00"), ("2023-03-07", "equity_d1", "failed", 0, "2023-03-07 21:00:00"), ("2023-03-09", "brent", "ok", 0, "2023-03-07 21:00:00")]).withColumn("run_id", F.lit("r"))
     asked = sessions(spark).withColumn("run_id", F.lit("r"))
     assert rows(jr.progress(asked, log)) == [("r", 5, 1, 1, 3)]
 
 
 def test_outcome_upsert_keeps_the_first_start(spark):
-    log = journal(spark, [("2026-08-26", "brent", "failed", 0, "2026-08-27 20:00:00"), ("2026-08-26", "brent", "ok", 3, "2026-08-27 21:00:00")]).withColumn("run_id", F.lit("r"))
+    log = journal(spark, [("2023-03-06", "brent", "failed", 0, "2023-03-07 20:00:00"), ("2023-03-06", "brent", "ok", 3, "2023-03-07 21:00:00")]).withColumn("run_id", F.lit("r"))
     got = jr.upsert_outcome(log, ["started_at", "id"]).first()
-    assert (got.started_at, got.status, got.rows_written, got.failure_reason) == (ts("2026-08-27 20:00:00"), "ok", 3, None)
+    assert (got.started_at, got.status, got.rows_written, got.failure_reason) == (ts("2023-03-07 20:00:00"), "ok", 3, None)

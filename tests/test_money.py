@@ -1,4 +1,4 @@
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 from conftest import dec, rows, ts
 from pyspark.sql import functions as F
@@ -108,3 +108,24 @@ def test_run_seconds(spark):
         "i INT, s TIMESTAMP, f TIMESTAMP",
     )
     assert rows(df.select("i", money.run_seconds("s", "f"))) == [(1, 90), (2, None)]
+
+
+def test_products_of_any_size_are_exact_or_unknown(spark):
+    cases = [
+        ("12000000000", "0.02", "240000000"),
+        ("-12000000000.000000001", "0.02", "-240000000.000000000"),
+        ("3999999999.123456789", "2500000000.5", None),
+        ("1234567890.987654321", "1234567890.123456789", None),
+        ("9999999999999999999.999999999", "1", "9999999999999999999.999999999"),
+        ("9999999999999999999.999999999", "2", "unknown"),
+        ("-0.000000001", "0.5", "-0.000000001"),
+        ("0.000000001", "0.4", "0"),
+    ]
+    kind = "DECIMAL(28,9)"
+    df = spark.createDataFrame([(i, dec(a), dec(b)) for i, (a, b, _) in enumerate(cases)], f"i INT, a {kind}, b {kind}")
+    got = {r.i: r.p for r in df.select("i", money.times("a", "b").alias("p")).collect()}
+    with localcontext() as exact:
+        exact.prec = 80
+        for i, (a, b, want) in enumerate(cases):
+            product = (Decimal(a) * Decimal(b)).quantize(Decimal("1e-9"), ROUND_HALF_UP)
+            assert got[i] == (None if want == "unknown" else product)

@@ -27,7 +27,6 @@ def times(a: Column | str, b: Column | str) -> Column:
     """
     x, y = _c(a).cast(PRICE), _c(b).cast(PRICE)
     big, small = F.when(F.abs(x) >= F.abs(y), x).otherwise(y), F.when(F.abs(x) >= F.abs(y), y).otherwise(x)
-    sign = F.when(small < 0, F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
     size = F.abs(small)
     whole = F.floor(size)
     high = F.floor(whole / F.lit(100000)).try_cast("decimal(6,0)")
@@ -35,7 +34,7 @@ def times(a: Column | str, b: Column | str) -> Column:
     rest = (size - whole).cast("decimal(9,9)")
     part = (big * high).try_cast(PRICE) * F.lit(100000).cast("decimal(6,0)")
     total = part + big * low + (big * rest).try_cast(PRICE)
-    return (total * sign).try_cast(PRICE)
+    return F.when(small < 0, -total).otherwise(total).try_cast(PRICE)
 
 
 def position_value(quantity: Column | str, price: Column | str, accrued: Column | str) -> Column:
