@@ -176,12 +176,22 @@ def manifest(v: Views) -> DataFrame:
     return ds.manifest(ASOF, digest, windows, parts["incomplete"], assets)
 
 
-@register("a17_dataset_sink", _MANIFEST_SQL)
+# A dataset is built for a session only: the last one up to the decision date.
+_LAST_SQL = f"(select max(session_date) from v_session where session_date <= date '{ASOF}')"
+_SINK_SQL = _MANIFEST_SQL.replace(f"date '{ASOF}' as asof_date", f"{_LAST_SQL} as asof_date").replace(
+    f"sha256('{ASOF}'", f"sha256(cast({_LAST_SQL} as varchar)"
+)
+
+
+@register("a17_dataset_sink", _SINK_SQL)
 def dataset_sink(v: Views) -> DataFrame:
     """Writes the dataset, writes it again to no effect, and reads the manifest back."""
     root = scratch_path(v.spark, "datasets")
-    args = (v.spark, root, v.tables, v.session, v.ingest_run, ASOF, SETTINGS)
-    path, _, _ = ds.materialise(*args)
+    asof = v.session.filter(F.col("session_date") <= F.lit(ASOF)).agg(F.max("session_date")).first()[0]
+    args = (v.spark, root, v.tables, v.session, v.ingest_run, asof, SETTINGS)
+    path, value, written = ds.materialise(*args)
+    if not written or ds.materialise(*args) != (path, value, False):
+        raise AssertionError("equal content is written once")
     return v.spark.read.parquet(f"{path}/manifest").drop("materialized_at")
 
 

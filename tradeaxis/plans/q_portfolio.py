@@ -207,6 +207,40 @@ def account_snapshot(v: Views) -> DataFrame:
     return v.spark.read.parquet(path).drop("bucket")
 
 
+_HELD_SQL = f"""select account_id, cash, cast(k as int) as sort_order, {"concat('S', lpad(cast(1 + (account_id + k) % 100 as varchar), 9, '0'))"} as ticker,
+        cast(1 + (account_id * k) % 50 as decimal(28,9)) as quantity from v_account, (select unnest([0, 1, 2, 3]) as k) n"""
+
+
+@register(
+    "a20_one_account_replaced",
+    f"""select * from ({_HELD_SQL}) h where account_id not in (7, 8)
+      union all select account_id, cash, 0, 'SNEW', cast(5 as decimal(28,9)) from v_account where account_id = 7
+      union all select account_id, cash, null, null, null from v_account where account_id = 8""",
+)
+def one_account_replaced(v: Views) -> DataFrame:
+    """One account gets another portfolio and one is emptied; all others stay as they were."""
+    key = F.col("c_custkey")
+
+    def entry(k):
+        return F.struct(
+            F.concat(F.lit("S"), F.lpad((1 + (key + k) % 100).cast("string"), 9, "0")).alias("ticker"),
+            (1 + (key * k) % 50).cast(PRICE).alias("quantity"),
+        )
+
+    listed = v.raw("customer").select(
+        key.alias("account_id"), F.transform(F.sequence(F.lit(0), F.lit(3)), entry).alias("positions")
+    )
+    path = scratch_path(v.spark, "snapshot")
+    pf.write_snapshot(pf.stored_snapshot(v.account, listed), path, buckets=8)
+    new = F.array(F.struct(F.lit("SNEW").alias("ticker"), F.lit(5).cast(PRICE).alias("quantity")))
+    changed = listed.filter("account_id in (7, 8)").withColumn(
+        "positions", F.when(F.col("account_id") == 7, new).otherwise(F.slice("positions", 1, 0))
+    )
+    some = v.account.filter("account_id in (7, 8)")
+    pf.write_snapshot(pf.stored_snapshot(some, changed), path, buckets=8)
+    return v.spark.read.parquet(path).drop("bucket")
+
+
 _SYNC_SQL = """select event_id as id, user_id as account_id, ts as attempted_at, case when event_type = 'error' then 'failed' else 'ok' end as status,
     case when event_type = 'error' then (case when value > 50 then 'token_missing' when value > 20 then 'broker_rejected_token' else 'rate_limited' end) end as reason from v_event"""
 

@@ -274,6 +274,18 @@ def position_value(v: Views) -> DataFrame:
     return v.account_position.select("account_id", "ticker", value.alias("value"))
 
 
+@register(
+    "b17_large_position_value",
+    """select l_orderkey, l_linenumber, cast(cast(l_orderkey as hugeint) * 120000000 * l_linenumber as decimal(28,9)) as value from lineitem""",
+)
+def large_position_value(v: Views) -> DataFrame:
+    """Quantities of twelve billion and more at a few hundredths: the product fits, its factors are wide."""
+    quantity = (F.col("l_orderkey").cast("decimal(18,0)") * F.lit("12000000000").cast("decimal(11,0)")).cast(PRICE)
+    price = (F.col("l_linenumber").cast("decimal(10,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(PRICE)
+    value = money.position_value(quantity, price, F.lit(None).cast(PRICE))
+    return v.raw("lineitem").select("l_orderkey", "l_linenumber", value.alias("value"))
+
+
 @register(
     "b18_cost_and_result",
     """select account_id, ticker, cast(basis as decimal(28,9)) as cost_basis, cast(value - basis as decimal(28,9)) as unrealized_pnl
