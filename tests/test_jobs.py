@@ -44,7 +44,7 @@ def test_one_failing_source_stops_nobody(spark, tmp_path):
         ("futures_positions", d(DAYS[0]), "failed", 0),
         ("futures_positions", d(DAYS[1]), "failed", 0),
     ]
-    assert log.filter("status = 'failed'").first().failure_reason == "site is down"
+    assert log.filter("status = 'failed'").first().failure_reason == "site is down\nstack"
     stored = jobs.stored_tables(spark, str(tmp_path), ["bar"])["bar"]
     assert rows(stored, "session_date", "close") == [(d(DAYS[0]), dec(1)), (d(DAYS[1]), dec(2))]
     log2 = jobs.ingest(spark, str(tmp_path), sources[1:2], calendar, run_id="r2")
@@ -99,6 +99,31 @@ def test_late_rows_keep_their_own_date(spark, tmp_path):
     target = str(tmp_path / "compact")
     late.compact(spark, log, target, shape, KEYS, ["n"])
     assert spark.read.parquet(target).count() == 2
+    late.compact(spark, log, target, shape, KEYS, ["n"])  # an empty log changes nothing
+    assert spark.read.parquet(target).count() == 2
+    write(src, "3.json", {"series_id": "A", "session_date": DAYS[1], "value": 5, "n": 1}, {"series_id": "B", "session_date": DAYS[0], "value": 6, "n": 1})
+    late.start_upserts(stream(spark, src), log, check).awaitTermination()
+    wanted = [("A", d("2020-01-03"), dec(7)), ("A", d(DAYS[1]), dec(5)), ("B", d(DAYS[0]), dec(6))]
+    assert rows(late.read_current(spark, log, target, shape, KEYS, ["n"]), "series_id", "session_date", "value") == wanted
+    late.compact(spark, log, target, shape, KEYS, ["n"])
+    assert rows(spark.read.schema(shape).parquet(target), "series_id", "session_date", "value") == wanted
+
+
+def test_tables_without_sessions_are_ingested_and_a_second_load_reads_touched_days_only(spark, tmp_path):
+    from tradeaxis.operators import jobs
+
+    data = spark.createDataFrame([(d(x), "a") for x in DAYS], "session_date DATE, who STRING")
+    sector = jobs.Source("sectors", "sector", lambda x: x.select(F.col("who").alias("asset_id"), F.lit("S").alias("sector")).distinct(), None)
+    days = spark.createDataFrame([(d(x),) for x in DAYS], "session_date DATE")
+    out = jobs.run_source(spark, str(tmp_path), sector, data, days, "r", "daily")
+    assert {r.status for r in out.collect()} == {"ok"}
+    assert rows(store.read_table(spark, f"{tmp_path}/sector")) == [("a", "S")]
+    path = str(tmp_path / "g")
+    one = spark.createDataFrame([("A", d(x), dec(1), 1) for x in DAYS], SCHEMA)
+    store.merge_into(spark, path, one, KEYS, ["n"])
+    store.merge_into(spark, path, one.filter(F.col("session_date") == F.lit(d(DAYS[0]))).withColumn("value", F.lit(2).cast("decimal(28,9)")), KEYS, ["n"])
+    got = rows(store.read_table(spark, path), "session_date", "value")
+    assert got == sorted([(d(x), dec(2 if x == DAYS[0] else 1)) for x in DAYS])
 
 
 def test_a_replayed_batch_overwrites_itself(spark, tmp_path):

@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tradeaxis.config import QUOTES_SOURCE
-from tradeaxis.operators.dedup import latest_by
+from tradeaxis.operators.dedup import latest_by, upsert
 from tradeaxis.operators.journal import FAILED
+from tradeaxis.operators.store import exists
+from tradeaxis.session import discard, scratch_path
 
 BATCH = "batch_id"
 
@@ -57,15 +59,45 @@ def compact(
     arrival: Sequence[str],
     partition: str = "session_date",
 ) -> None:
-    """Folds a log into a table of its own, partitioned by session and clustered by key."""
+    """Folds the log over a table, partitioned by session and clustered by key, and empties the log.
+
+    May be run again at any time. The merged table is staged before it replaces the old one, and only the
+    batches that went into it leave the log; a batch replayed later overwrites its rows with the same.
+    """
+    logged = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    done = [r[0] for r in spark.read.schema(logged).parquet(log).select(BATCH).distinct().collect()]
     others = [k for k in keys if k != partition]
+    copy = scratch_path(spark, "compact")
+    read_current(spark, log, target, schema, keys, arrival).write.parquet(copy)
     (
-        read_upserts(spark, log, schema, keys, arrival)
+        spark.read.schema(schema)
+        .parquet(copy)
         .hint("rebalance", partition)
         .sortWithinPartitions(partition, *others)
-        .write.partitionBy(partition)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy(partition)
         .parquet(target)
     )
+    for batch in done:
+        discard(spark, f"{log}/{BATCH}={batch}")
+    discard(spark, copy)
+
+
+def read_current(
+    spark: SparkSession,
+    log: str,
+    target: str,
+    schema: T.StructType,
+    keys: Sequence[str],
+    arrival: Sequence[str],
+) -> DataFrame:
+    """The compacted table with the rest of the log laid over it: one row per key."""
+    tail = read_upserts(spark, log, schema, keys, arrival)
+    if not exists(spark, target):
+        return tail
+    stored = spark.read.schema(schema).parquet(target)
+    return upsert(stored, tail.withColumn("_n", F.lit(1)), keys, ["_n"])
 
 
 def session_outcomes(journal_stream: DataFrame, run_key: str = "run_id") -> DataFrame:
