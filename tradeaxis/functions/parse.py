@@ -18,6 +18,16 @@ CONTRACT_SUFFIX = "_F"
 DEFAULT_CLOSE = (19, 30)
 EXCHANGE_ZONE = "Europe/Moscow"
 
+# White space at the ends of a text, as the sources' own readers strip it.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+# Shapes of dates, contract names and the cut-off time.
+ISO_DATE, BASIC_DATE, DOTTED_DATE = r"^\d{4}-\d{2}-\d{2}$", r"^\d{8}$", r"^\d{1,2}\.\d{1,2}\.\d{4}$"
+ISO_IN_TEXT, DOTTED_IN_TEXT = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{2})\.(\d{2})\.(\d{4})"
+WORDED_IN_TEXT = r"(\d{1,2})\s+([А-Яа-яЁё]+)\s+(\d{4})"
+CONTRACT_NAME = r"^BR-(\d{1,2})\.(\d{2})$"
+CUT_OFF = r"\s*(\d{1,2})\s*:\s*(\d{1,2})\s*"
+
 # Genitive month names as they appear in page captions.
 RUSSIAN_MONTHS = {
     "января": 1,
@@ -39,31 +49,37 @@ def _text(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
+def _stripped(c: Column | str) -> Column:
+    return F.trim(_text(c), F.lit(WHITE))
+
+
 def decimal_or_null(c: Column | str) -> Column:
     """Exact decimal, or NULL for a missing, empty or unreadable text; never zero."""
-    return F.trim(_text(c)).try_cast(PRICE)
+    return _stripped(c).try_cast(PRICE)
 
 
-def local_number(c: Column | str) -> Column:
-    """Russian number format: spaces dropped, decimal comma, typographic minus."""
-    return F.translate(_text(c), ",\u2212\u00a0 ", ".-")
+def local_number(c: Column | str, minus: bool = False) -> Column:
+    """Russian number format: spaces dropped, decimal comma; with ``minus`` also the typographic sign."""
+    if minus:
+        return F.translate(_text(c), ",\u2212\u00a0 ", ".-")
+    return F.translate(_text(c), ",\u00a0 ", ".")
 
 
-def local_decimal(c: Column | str) -> Column:
-    return decimal_or_null(local_number(c))
+def local_decimal(c: Column | str, minus: bool = False) -> Column:
+    return decimal_or_null(local_number(c, minus))
 
 
 def iso_date(c: Column | str) -> Column:
     """The date in the first ten characters, or NULL."""
-    head = F.substring(F.trim(_text(c)), 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd")).when(
-        head.rlike(r"^\d{8}$"), F.try_to_date(head, "yyyyMMdd")
+    head = F.substring(_stripped(c), 1, 10)
+    return F.when(head.rlike(ISO_DATE), F.try_to_date(head, "yyyy-MM-dd")).when(
+        head.rlike(BASIC_DATE), F.try_to_date(head, "yyyyMMdd")
     )
 
 
 def dotted_date(c: Column | str) -> Column:
     text = _text(c)
-    return F.when(text.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_date(text, "d.M.yyyy"))
+    return F.when(text.rlike(DOTTED_DATE), F.try_to_date(text, "d.M.yyyy"))
 
 
 def _ymd(year: Column, month: Column, day: Column) -> Column:
@@ -74,8 +90,7 @@ def _ymd(year: Column, month: Column, day: Column) -> Column:
 def date_in_text(c: Column | str) -> Column:
     """A date anywhere in a caption: ISO, dotted, or a day with a Russian month name."""
     text = _text(c)
-    iso, dotted = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{2})\.(\d{2})\.(\d{4})"
-    worded = r"(\d{1,2})\s+([А-Яа-яЁё]+)\s+(\d{4})"
+    iso, dotted, worded = ISO_IN_TEXT, DOTTED_IN_TEXT, WORDED_IN_TEXT
 
     def part(pattern: str, n: int) -> Column:
         return F.regexp_extract(text, pattern, n)
@@ -93,7 +108,7 @@ def date_in_text(c: Column | str) -> Column:
 
 def ticker(c: Column | str) -> Column:
     """Trimmed upper-case ticker; a blank one is NULL so that the row can be filtered out."""
-    return F.nullif(F.upper(F.trim(_text(c))), F.lit(""))
+    return F.nullif(F.upper(_stripped(c)), F.lit(""))
 
 
 def asset_id(c: Column | str) -> Column:
@@ -120,10 +135,9 @@ def fingerprint(columns: tuple[str, ...] = BAR_VALUES) -> Column:
 
 def contract_expiry(c: Column | str) -> Column:
     """Last day of the delivery month of a short name such as ``BR-9.26``."""
-    pattern = r"^BR-(\d{1,2})\.(\d{2})$"
-    text = F.trim(_text(c))
-    month = F.regexp_extract(text, pattern, 1).try_cast("int")
-    year = F.regexp_extract(text, pattern, 2).try_cast("int")
+    text = _stripped(c)
+    month = F.regexp_extract(text, CONTRACT_NAME, 1).try_cast("int")
+    year = F.regexp_extract(text, CONTRACT_NAME, 2).try_cast("int")
     first = F.when(month.between(1, 12), F.make_date(F.lit(2000) + year, month, F.lit(1)))
     return F.last_day(first)
 
@@ -140,7 +154,7 @@ def units_nano(units: Column | str, nano: Column | str) -> Column:
 
 def closing_time(raw: str) -> tuple[int, int]:
     """Hours and minutes of the cut-off; an unreadable setting falls back to the default."""
-    found = re.fullmatch(r"\s*(\d{1,2})\s*:\s*(\d{1,2})\s*", raw or "")
+    found = re.fullmatch(CUT_OFF, raw or "")
     if found and int(found[1]) < 24 and int(found[2]) < 60:
         return int(found[1]), int(found[2])
     return DEFAULT_CLOSE

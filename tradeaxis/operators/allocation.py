@@ -223,7 +223,7 @@ def capital(accepted: DataFrame, holdings: DataFrame) -> DataFrame:
 
 
 def exclusion_reason(asset: Column, price: Column, lot: Column) -> Column:
-    """The first thing missing; each is mended in its own way."""
+    """Name of the first input that is missing, in the order asset, lot, price."""
     return (
         F.when(asset.isNull(), F.lit(NO_ASSET))
         .when(lot.isNull() | (lot <= 0), F.lit(NO_LOT))
@@ -456,7 +456,7 @@ def weighted(rows: DataFrame, totals: DataFrame, amount: str) -> DataFrame:
 
 
 def in_order(planned: DataFrame) -> DataFrame:
-    """Sells first: buys are paid for with what they bring."""
+    """By request, then from the largest sale to the largest purchase."""
     return planned.orderBy("request_id", "delta_value", "rank", "asset_id")
 
 

@@ -167,5 +167,5 @@ def clamp(sessions: DataFrame, date_from: dt.date | None, date_till: dt.date | N
 
 
 def withhold_open(sessions: DataFrame, now_utc: Column, cutoff: str) -> DataFrame:
-    """Drops sessions that are not over yet: an open session in a feature is future leakage."""
+    """The sessions whose cut-off time has passed at ``now_utc``."""
     return sessions.filter(parse.session_closed("session_date", now_utc, cutoff))

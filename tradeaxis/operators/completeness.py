@@ -183,7 +183,7 @@ def gap_report(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Missing sessions, unfinished sources and the ``needs_backfill`` flag of the window.
 
-    An empty store is a lack of history, not a gap: nothing is reported missing then.
+    Without any bars at all no session counts as missing and the flag is set.
     """
     window = window or cal.window(calendar, asof, settings.catchup_depth)
     axis = window.axis(calendar.sparkSession).select("session_date")

@@ -117,7 +117,7 @@ def result_rows(ranked: DataFrame) -> DataFrame:
 
 
 def readable_items(ranked: DataFrame, results: DataFrame) -> DataFrame:
-    """Items of runs whose result is whole; half a result is worse than none."""
+    """Items of the runs that have as many of them as their run row says."""
     counted = result_rows(ranked).withColumnRenamed("included_asset_count", "_have")
     whole = results.join(counted, "run_id").filter(F.col("included_asset_count") == F.col("_have"))
     return ranked.join(whole.select("run_id"), "run_id", "left_semi")

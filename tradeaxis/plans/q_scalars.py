@@ -74,7 +74,7 @@ def local_number_minus(v: Views) -> DataFrame:
     text = v.orders.select("o_orderkey", sign.alias("sign"), _price_text().alias("t")).select(
         "o_orderkey", F.concat("sign", _local_text()).alias("raw")
     )
-    return text.select("o_orderkey", parse.local_decimal("raw").alias("value"))
+    return text.select("o_orderkey", parse.local_decimal("raw", minus=True).alias("value"))
 
 
 @register(

@@ -161,7 +161,7 @@ def position_values(pages: DataFrame) -> DataFrame:
     title = F.lower(F.regexp_replace(F.col("cells")[0], r"\s+", " "))
     rows = _sized(_cells(pages, POSITION_TABLE, None), 6).filter(title.startswith(POSITION_TITLE))
     legs = ("fiz_long", "fiz_short", "jur_long", "jur_short")
-    values = [parse.local_decimal(F.col("cells")[i + 1]).alias(n) for i, n in enumerate(legs)]
+    values = [parse.local_decimal(F.col("cells")[i + 1], minus=True).alias(n) for i, n in enumerate(legs)]
     first = rows.groupBy("page_id").agg(
         F.min_by(F.struct("caption", "cells"), "row").alias("r")
     )
