@@ -74,6 +74,19 @@ def test_registers_estimate_the_probability_jaccard():
     assert abs((one == two).mean() - wanted) < 0.04
 
 
+def test_near_copies_with_a_phrase_repeated_many_times(spark):
+    rng = np.random.default_rng(8)
+    fresh = lambda n: " ".join(f"w{rng.integers(1_000_000_000)}" for _ in range(n))
+    texts = []
+    for _ in range(40):  # weighted by counts these pairs are at 0.49, on sets above 0.8
+        base = fresh(104)
+        texts += [base, base + " " + " ".join([fresh(20)] * 50)]
+    wanted = plain.near_classes(texts)
+    assert wanted == [i - i % 2 for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == dict(enumerate(wanted))
+
+
 def test_components_of_a_long_path_and_links_added_later(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "a long, b long")
     roots = components(links)

@@ -1,11 +1,12 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-A document is the set of its five-word shingles, weighted by one plus the logarithm of how often each
-occurs. Every shingle sends arrivals of a Poisson process with its weight as rate to random registers; a
-register keeps its earliest arrival. A shingle stops as soon as its next arrival is later than every
-register of its document (early termination). The share of equal registers estimates the probability
-Jaccard similarity. ``BANDS`` bands of ``ROWS`` registers give the candidates: a pair at 0.8 is missed with
-probability 5e-5. Candidates are verified on the whole shingle sets: Jaccard of 0.8 or more is a link.
+A document is the set of its five-word shingles. Every shingle sends arrivals of a Poisson process with its
+weight as rate to random registers; a register keeps its earliest arrival. A shingle stops as soon as its
+next arrival is later than every register of its document (early termination). The share of equal registers
+estimates the probability Jaccard similarity, which for equal weights is the Jaccard similarity of the sets.
+Links are defined on the sets, so every shingle weighs one, however often it occurs. ``BANDS`` bands of
+``ROWS`` registers give the candidates: a pair at 0.8 is missed with probability 5e-5. Candidates are
+verified on the whole shingle sets: Jaccard of 0.8 or more is a link.
 
 Equal word sequences are one vertex, so exact copies cost one row each and no pair. Within a bucket pairs
 are not listed. First every member is compared with the bucket's least vertex, which joins most of a bucket
@@ -119,12 +120,12 @@ def sketch_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     for i, j, _, _, (_, _, counts, hashes) in textops.word_slices(column, textops.LETTERS):
         vertex[i:j] = sequence_hash(hashes, counts)
         _, told = np.unique(vertex[i:j], return_index=True)
-        rows, values, times = shingle_sets(hashes, counts)
+        rows, values, _ = shingle_sets(hashes, counts)
         size[i:j] = np.bincount(rows, minlength=j - i)
         alone = np.zeros(j - i, dtype=bool)
         alone[told] = True
         keep = alone[rows]
-        registers.add(rows[keep] + i, values[keep], 1 + np.log(times[keep]))
+        registers.add(rows[keep] + i, values[keep], np.ones(int(keep.sum())))
     signature = registers.finish()
     band = np.zeros((n, BANDS), _U64)
     for k in range(ROWS):
