@@ -1,6 +1,7 @@
 import json
 
 from conftest import d, dec, rows, ts
+from pyspark.sql import functions as F
 
 from tradeaxis.operators import ranking as rk
 
@@ -110,3 +111,20 @@ def test_half_a_result_is_not_readable(spark):
     ranked = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "run_id INT, rank INT")
     results = spark.createDataFrame([(1, 2), (2, 2)], "run_id INT, included_asset_count INT")
     assert rows(rk.readable_items(ranked, results)) == [(1, 1), (1, 2)]
+
+
+def test_results_are_stored_items_first_and_read_whole(spark, tmp_path):
+    root = str(tmp_path)
+    ranked = spark.createDataFrame(
+        [(1, "A", 1), (1, "B", 2), (2, "A", 1), (2, "B", 2), (3, "C", 1)], "run_id INT, asset_id STRING, rank INT"
+    )
+    at = lambda n: F.lit(f"2026-08-0{n} 10:00:00").cast("timestamp")
+    rk.store_items(ranked, root, "a")  # ended before the run rows
+    rk.store_items(ranked.filter("NOT (run_id = 2 AND rank = 2)"), root, "b")
+    rk.store_results(rk.result_rows(ranked).filter("run_id < 3"), root, "b", at(1))
+    read = lambda: rows(rk.stored_items(spark, root), "run_id", "asset_id", "rank")
+    assert read() == [(1, "A", 1), (1, "B", 2)]
+    again = ranked.filter("run_id = 2")
+    rk.store_items(again, root, "c")
+    rk.store_results(rk.result_rows(again), root, "c", at(2))
+    assert read() == [(1, "A", 1), (1, "B", 2), (2, "A", 1), (2, "B", 2)]

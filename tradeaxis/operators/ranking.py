@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeaxis.operators.dedup import insert_if_absent, latest_by
@@ -123,6 +123,36 @@ def readable_items(ranked: DataFrame, results: DataFrame) -> DataFrame:
     return ranked.join(whole.select("run_id"), "run_id", "left_semi")
 
 
+def store_items(ranked: DataFrame, root: str, attempt: str) -> None:
+    """The items of one attempt. Until its run rows are there nobody reads them."""
+    ranked.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{root}/items")
+
+
+def store_results(results: DataFrame, root: str, attempt: str, at: Column) -> None:
+    """The run rows of one attempt; they go last and say how many items belong to each."""
+    done = results.select(
+        "run_id",
+        F.lit(attempt).alias("attempt"),
+        F.lit(SUCCESS).alias("status"),
+        at.alias("finished_at"),
+        F.col("included_asset_count").cast("bigint").alias("included_asset_count"),
+    )
+    done.write.mode("append").parquet(f"{root}/runs")
+
+
+def stored_items(spark: SparkSession, root: str) -> DataFrame:
+    """Items of the whole results: of the last attempt that has a run row, if none is missing.
+
+    An attempt that ended between items and run row left items nobody names; a repeated one brings
+    its own, so nothing is counted twice.
+    """
+    ranked = spark.read.parquet(f"{root}/items")
+    runs = spark.read.parquet(f"{root}/runs").filter(F.col("status") == SUCCESS)
+    last = latest_by(runs, ["run_id"], ["finished_at", "attempt"])
+    named = ranked.join(last.select("run_id", "attempt"), ["run_id", "attempt"], "left_semi")
+    return readable_items(named, last).drop("attempt")
+
+
 def run_states(log: DataFrame) -> DataFrame:
     """The present state of each run, folded from its event log in one aggregate.
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeaxis.operators import ranking as rk
-from tradeaxis.plans.registry import register
+from tradeaxis.plans.registry import ASOF, register
+from tradeaxis.session import scratch_path, staged
 from tradeaxis.views import Views
 
 
@@ -163,13 +164,18 @@ def find_by_input(v: Views) -> DataFrame:
       where extract(day from asof_date) <= 15""",
 )
 def result_store(v: Views) -> DataFrame:
-    """Run rows of late days claim one item more than is stored: those results are not whole."""
+    """Results of all days are written, items first; of late days half the items are lost.
+
+    The first attempt ends before its run rows, the second is read.
+    """
     ranked = v.ranking.select(F.col("asof_date").alias("run_id"), "asset_id", "rank", "score")
-    extra = F.when(F.dayofmonth("run_id") > 15, 1).otherwise(0)
-    results = rk.result_rows(ranked).withColumn(
-        "included_asset_count", F.col("included_asset_count") + extra
-    )
-    return rk.readable_items(ranked, results)
+    ranked = staged(ranked, "ranked")
+    root, at = scratch_path(v.spark, "results"), F.lit(ASOF).cast("timestamp")
+    rk.store_items(ranked, root, "1")
+    arrived = (F.dayofmonth("run_id") <= 15) | (F.col("rank") % 2 == 0)
+    rk.store_items(ranked.filter(arrived), root, "2")
+    rk.store_results(rk.result_rows(ranked), root, "2", at)
+    return rk.stored_items(v.spark, root)
 
 
 _LOG_SQL = """select user_id as run_id, event_id as seq, case event_type when 'click' then 'running' when 'view' then 'success'
