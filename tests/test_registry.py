@@ -83,6 +83,11 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(ours, key=key) == sorted(theirs, key=key)
 
 
+@pytest.mark.parametrize("name", ["k04_result_store", "m01_stored_bars", "m01_stored_aggregates", "m04_stored_bars"])
+def test_stored_tables_equal_their_sql(spark, duck, name):
+    test_query_equals_its_sql(spark, duck, name)
+
+
 def test_flagship_has_rows(spark):
     assert entry.entry(spark).count() == 5
 

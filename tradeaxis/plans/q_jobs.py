@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeaxis.operators import jobs
+from tradeaxis.operators import jobs, store
 from tradeaxis.plans import q_completeness as qc
 from tradeaxis.plans import q_journal as qj
 from tradeaxis.plans import q_sources as qs
@@ -34,9 +34,7 @@ _JOURNAL_SQL = f"""with d as (select distinct session_date, session_date in (sel
     union all select 'run-1', 'equity_d1', session_date, 'skipped', 'daily', 'не торговая сессия', 0 from d where not open"""
 
 
-@register("m01_session_ingest", _JOURNAL_SQL)
-def session_ingest(v: Views) -> DataFrame:
-    """Quotes and aggregates are stored, a third source fails; the journal tells which."""
+def _ingest(v: Views) -> tuple[DataFrame, str]:
     landed = qs._quote_rows(v)
     sources = [
         (jobs.Source("equity_d1", "bar", lambda d: equity.bars(d, _ARRIVAL)), landed),
@@ -44,7 +42,32 @@ def session_ingest(v: Views) -> DataFrame:
         (jobs.Source("futures_positions", "position", _unreachable), landed),
     ]
     root = scratch_path(v.spark, "store")
-    return jobs.ingest(v.spark, root, sources, v.session, run_id="run-1", grain="month")
+    return jobs.ingest(v.spark, root, sources, v.session, run_id="run-1", grain="month"), root
+
+
+def _stored(v: Views, root: str, name: str) -> DataFrame:
+    return jobs.stored_tables(v.spark, root, [name])[name]
+
+
+@register("m01_session_ingest", _JOURNAL_SQL)
+def session_ingest(v: Views) -> DataFrame:
+    """Quotes and aggregates are stored, a third source fails; the journal tells which."""
+    return _ingest(v)[0]
+
+
+_OPEN = " and session_date in (select session_date from v_session)"
+
+
+@register("m01_stored_bars", qs._QUOTE_SQL.format(order=qs._FIRST) + _OPEN)
+def stored_bars(v: Views) -> DataFrame:
+    """What the ingest stored of the quotes."""
+    return _stored(v, _ingest(v)[1], "bar").drop("source_revision")
+
+
+@register("m01_stored_aggregates", qs._AGGREGATE_SQL + _OPEN)
+def stored_aggregates(v: Views) -> DataFrame:
+    """What the ingest stored of the aggregates."""
+    return _stored(v, _ingest(v)[1], "aggregate")
 
 
 _FROM, _TILL = dt.date(1998, 1, 1), dt.date(2000, 12, 31)
@@ -72,6 +95,15 @@ def range_outcome(v: Views) -> DataFrame:
     return jobs.range_outcome(range_load(v), _TILL, "run-1", "global_series")
 
 
+def _caught_up(v: Views) -> tuple[DataFrame, DataFrame]:
+    plan, _, _ = qc._gaps(v)
+    journal = v.ingest_run.select("session_date", "source_id", "status")
+    early = plan.filter(F.dayofmonth("session_date") <= 5).select(
+        "session_date", F.lit("equity_d1").alias("source_id"), F.lit("failed").alias("status")
+    )
+    return jobs.catch_up(plan, qs._quote_rows(v), journal.unionByName(early), _ARRIVAL)
+
+
 @register(
     "m04_catch_up",
     f"""with g as ({qc._GAP_SQL}), f as (select distinct session_date from v_ingest_run where status = 'failed' and source_id = 'equity_d1'
@@ -82,12 +114,21 @@ def range_outcome(v: Views) -> DataFrame:
 )
 def catch_up(v: Views) -> DataFrame:
     """Every gap is planned; the first days of a month could not be fetched."""
-    plan, _, _ = qc._gaps(v)
-    journal = v.ingest_run.select("session_date", "source_id", "status")
-    early = plan.filter(F.dayofmonth("session_date") <= 5).select(
-        "session_date", F.lit("equity_d1").alias("source_id"), F.lit("failed").alias("status")
-    )
-    return jobs.catch_up(plan, qs._quote_rows(v), journal.unionByName(early), _ARRIVAL)[1]
+    return _caught_up(v)[1]
+
+
+@register(
+    "m04_stored_bars",
+    qs._QUOTE_SQL.format(order=qs._FIRST)
+    + f""" and session_date in (select session_date from ({qc._GAP_SQL}) g) and dayofmonth(session_date) > 5
+      and session_date not in (select session_date from v_ingest_run where status = 'failed' and source_id = 'equity_d1')""",
+)
+def caught_up_bars(v: Views) -> DataFrame:
+    """Bars of the closed gaps, written to a store and read back."""
+    bars = _caught_up(v)[0].withColumn("_seq", F.lit(1))
+    root = scratch_path(v.spark, "store")
+    store.merge_into(v.spark, f"{root}/bar", bars, store.KEYS["bar"], ["_seq"], "month", "session_date", store.DERIVED.get("bar", ()))
+    return _stored(v, root, "bar").drop("source_revision")
 
 
 @register(

@@ -342,12 +342,12 @@ def first_quote_wins(v: Views) -> DataFrame:
     return equity.bars(_quote_rows(v), list(TRADE_ORDER)).drop("source_revision")
 
 
-@register(
-    "f02_first_aggregate_wins",
-    f"""select concat('EQ_PRS_', ticker) as price_series_id, concat('EQ_AST_', ticker) as asset_id, session_date, px as value,
+_AGGREGATE_SQL = f"""select concat('EQ_PRS_', ticker) as price_series_id, concat('EQ_AST_', ticker) as asset_id, session_date, px as value,
         cast(l_linenumber as decimal(28,9)) as num_trades, cast(null as decimal(28,9)) as waprice
-      from (select *, row_number() over (partition by ticker, session_date order by {_FIRST}) as rn from v_trade where l_discount <> 0) t where rn = 1""",
-)
+      from (select *, row_number() over (partition by ticker, session_date order by {_FIRST}) as rn from v_trade where l_discount <> 0) t where rn = 1"""
+
+
+@register("f02_first_aggregate_wins", _AGGREGATE_SQL)
 def first_aggregate_wins(v: Views) -> DataFrame:
     return equity.aggregates(_quote_rows(v), list(TRADE_ORDER))
 
