@@ -83,11 +83,26 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(ours, key=key) == sorted(theirs, key=key)
 
 
-@pytest.mark.parametrize("name", ["k04_result_store", "m01_stored_bars", "m01_stored_aggregates", "m04_stored_bars"])
+@pytest.mark.parametrize("name", ["k04_result_store", "m01_stored_bars", "m01_stored_aggregates", "m04_stored_bars", "k07_run_detail_computed"])
 def test_stored_tables_equal_their_sql(spark, duck, name):
     test_query_equals_its_sql(spark, duck, name)
 
 
+def test_only_the_run_of_other_content_is_stale(spark):
+    from pyspark.sql import functions as F
+
+    from tradeaxis.operators import dataset as ds
+    from tradeaxis.plans import q_dataset, q_ranking
+
+    v = Views(spark, SMALL)
+    last = v.session.agg(F.max("session_date")).first()[0]
+    parts, windows = ds.build_parts(v.tables, v.session, v.ingest_run, last, q_dataset.SETTINGS)
+    now = ds.digest(ds.series_hashes(parts), ds.header(last, windows)).first().digest
+    for digest, stale in ((now, False), ("0" * 64, True)):
+        run = spark.createDataFrame([(1, last, f"sha256:{digest}")], "id INT, asof_date DATE, dataset_digest STRING")
+        assert q_ranking.stale_by_content(v, run).first().stale is stale
+
+
 def test_flagship_has_rows(spark):
     assert entry.entry(spark).count() == 5
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradeaxis.operators import dataset as ds
 from tradeaxis.operators import ranking as rk
+from tradeaxis.plans import q_dataset as qd
+from tradeaxis.plans.q_store import sql_window
 from tradeaxis.plans.registry import ASOF, register
 from tradeaxis.session import scratch_path, staged
 from tradeaxis.views import Views
@@ -316,3 +319,47 @@ def run_detail(v: Views) -> DataFrame:
     unknown = run.select("id", F.lit(None).cast("boolean").alias("stale"))
     available = run.select("id", F.lit(True).alias("dataset_available"))
     return rk.run_detail(run, page, unknown, available)
+
+
+_RUN_DAY_SQL = "(select max(asof_date) from v_ranking_run where status = 'success')"
+_RUN_DIGEST_SQL = qd._DIGEST_SQL.replace(f"date '{ASOF}'", _RUN_DAY_SQL).replace(
+    f"sha256('{ASOF}'", f"sha256(cast({_RUN_DAY_SQL} as varchar)"
+)
+_RUN_WINDOW_SQL = sql_window().replace(f"date '{ASOF}'", _RUN_DAY_SQL)
+
+
+def stale_by_content(v: Views, run: DataFrame) -> DataFrame:
+    """``(id, stale)`` of one run: it recorded no window, so the digests decide.
+
+    A run whose dataset cannot be built any more is not stale.
+    """
+    first = run.first()
+    if first is None:
+        return run.select("id", F.lit(None).cast("boolean").alias("stale"))
+    asof = first.asof_date
+    parts, windows = ds.build_parts(v.tables, v.session, v.ingest_run, asof, qd.SETTINGS)
+    now = ds.digest(ds.series_hashes(parts), ds.header(asof, windows))
+    reason = ds.preconditions(v.session, v.bar, asof, windows["prices"]).select("reason").scalar()
+    current = F.when(reason.isNull(), F.concat(F.lit("sha256:"), now.select("digest").scalar()))
+    unknown = F.lit(None).cast("date")
+    bounds = F.lit(windows["prices"].first), F.lit(windows["prices"].last)
+    stale = ds.is_stale(F.lit(True), (unknown, unknown), bounds, F.col("dataset_digest"), current)
+    return run.select("id", stale.alias("stale"))
+
+
+@register(
+    "k07_run_detail_computed",
+    f"""with r as (select id, asof_date, status, dataset_digest from v_ranking_run where status = 'success' order by asof_date desc, finished_at desc, id desc limit 1),
+        l as (select max(asof_date) as d from v_ranking), n as ({_RUN_DIGEST_SQL})
+      select r.id, r.asof_date, r.status, r.dataset_digest in (select dataset_digest from v_ranking_run where status = 'success') as dataset_available,
+        case when r.asof_date not in (select session_date from v_session) or not exists (select 1 from v_bar where session_date in {_RUN_WINDOW_SQL}) then false
+          else 'sha256:' || n.digest <> r.dataset_digest end as stale, i.rank, i.asset_id, i.score
+      from r cross join l left join n on true left join v_ranking i on i.asof_date = l.d and i.rank between 3 and 12""",
+)
+def run_detail_computed(v: Views) -> DataFrame:
+    """The latest success with the third to twelfth item, its staleness (J8) and availability (A19)."""
+    run = rk.latest_success(v.ranking_run.select("id", "asof_date", "status", "finished_at", "dataset_digest"))
+    run = staged(run, "run")
+    page = rk.item_page(_last_ranking(v), 2, 10).withColumn("run_id", run.select("id").scalar())
+    there = qd.dataset_availability(v)
+    return rk.run_detail(run.select("id", "asof_date", "status"), page, stale_by_content(v, run), there)
