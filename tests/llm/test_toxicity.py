@@ -68,3 +68,14 @@ def test_held_out_documents_and_nothing_learned_from_them(spark):
     judged = [(labels[d], r.predicted) for d, r in rows.items() if r.held_out and d in labels]
     assert sum(a == b for a, b in judged) / len(judged) >= 0.95
     assert not any(b for a, b in judged if a == 0)
+
+
+def test_a_word_of_few_toxic_documents_is_learned(spark):
+    rng = np.random.default_rng(6)
+    fresh = lambda n: " ".join(f"w{rng.integers(400)}" for _ in range(n))
+    rows = [(i, fresh(20) + (" quxzarb" if i % 240 == 1 else " vilest" if i % 2 else "")) for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(8000)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    score, _, _ = toxicity.score_batch(pa.array(["w1 w2 quxzarb w3"]), model)
+    assert score[0] >= 0.7

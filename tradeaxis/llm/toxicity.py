@@ -11,7 +11,8 @@ in a toxic document a word is toxic if it, or one of its beginnings, occurs almo
 (likelihood-ratio test over documents, near copies counted once); in a clean document no word is.
 
 Fitting uses at most ``SAMPLE`` labelled rows of each class, taken by hash of their id and no longer than
-``LONGEST`` bytes. Scoring reads every whole text; a chain is a block of ``BLOCK`` consecutive words, so
+``LONGEST`` bytes; telling words are counted in all of it, the field is fitted on at most ``BUSY`` blocks
+with a telling word and ``IDLE`` without, drawn at random. Scoring reads every whole text; a chain is a block of ``BLOCK`` consecutive words, so
 memory does not follow the longest text. Nothing is shuffled but the sample.
 
 Defined results: a null or empty text, or one without words, gets the score of no evidence. Repeated rows
@@ -33,9 +34,11 @@ from pyspark.sql import types as T
 
 from tradeaxis.llm import textops
 
-SAMPLE = 1000
-LONGEST = 50_000
+SAMPLE = 2500
+LONGEST = 200_000
 BLOCK = 128
+#: Most blocks the field is fitted on, with and without a telling word; what is left out is weighed in.
+BUSY, IDLE = 2500, 500
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6)
 _SALTS = [np.uint64(0xA24BAED4963EE407 * k % (1 << 64)) for k in range(1, 2 + len(BEGINNINGS))]
@@ -241,8 +244,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
     busy = np.unique(block[rows])
     idle = np.setdiff1d(np.arange(len(lengths)), busy)
     spread = np.random.default_rng(7)
-    busy_kept = np.sort(spread.permutation(busy)[:2500])
-    idle_kept = np.sort(spread.permutation(idle)[:500])
+    busy_kept = np.sort(spread.permutation(busy)[:BUSY])
+    idle_kept = np.sort(spread.permutation(idle)[:IDLE])
     chosen = np.concatenate((busy_kept, idle_kept))
     factor = np.concatenate((np.full(len(busy_kept), len(busy) / max(1, len(busy_kept))), np.full(len(idle_kept), len(idle) / max(1, len(idle_kept)))))
     slot = np.full(len(lengths), -1)
