@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeaxis.llm import decontaminate, mixing, near_dedup, quality, secrets, sharding, token_counts, token_store, toxicity, url_filter
+from tradeaxis.llm import decontaminate, mixing, near_dedup, quality, ranked_search, secrets, sharding, token_counts, token_store, toxicity, url_filter, whitening
 from tradeaxis.session import scratch_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,30 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.classes(table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", "class_size")
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{TERM}') as w from documents),
+s as (select cast(count(*) as bigint) as n, cast(sum(len(w)) as bigint) as l from d where len(w) > 0),
+m as (select doc_id, 100 - 25 + (25 * cast(len(w) as bigint) * n) // l as m from d, s),
+q as (select item_id, term, count(*) as q
+      from (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) as term from benchmark) group by all),
+t as (select doc_id, translate(term, '{UPPER}', '{LOWER}') as term from (select doc_id, unnest(w) as term from d)),
+p as (select doc_id, term, count(*) as tf from t where term in (select term from q) group by all),
+f as (select term, cast(floor(1000 * ln(cast(2 * (select n from s) + 2 as double) / (2 * count(*) + 1))) as bigint) as w from p group by 1),
+c as (select item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as score
+      from q join p using (term) join f using (term) join m using (doc_id) group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from c where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from r where rank <= 20"""
+
+
+@query("op13_ranked_lexical_search", RANKED)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
