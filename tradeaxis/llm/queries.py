@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeaxis.llm import decontaminate, mixing, near_dedup, quality, ranked_search, secrets, sharding, token_counts, token_store, toxicity, url_filter, whitening
+from tradeaxis.llm import decontaminate, mixing, near_dedup, quality, ranked_search, secrets, sharding, signature_join, token_counts, token_store, toxicity, url_filter, whitening
 from tradeaxis.session import scratch_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,26 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+SPACED = r"[^\x20\x09-\x0D]+"
+
+JOINED = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPACED}') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) between 1 and 3 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) end) as s from w),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y using (s) where x.doc_id <> y.doc_id group by all),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+r(v, u) as (select distinct a, a from l union select r.v, l.b from r join l on r.u = l.a),
+m as (select v, min(u) as least from r group by 1)
+select w.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(least, w.doc_id) as component_id
+from w left join n using (doc_id) left join m on m.v = w.doc_id"""
+
+
+@query("op12_ngram_jaccard_join", JOINED)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_join.join(table(spark, folder, "documents"))
+
+
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 RANKED = f"""
