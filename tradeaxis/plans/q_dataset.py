@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradeaxis.config import Settings
 from tradeaxis.operators import calendar as cal
 from tradeaxis.operators import dataset as ds
+from tradeaxis.operators import digests as dg
 from tradeaxis.operators.calendar import SessionWindow
 from tradeaxis.plans import q_completeness as qc
 from tradeaxis.plans.q_store import sql_window
@@ -223,33 +224,87 @@ def dataset_availability(v: Views) -> DataFrame:
     return ds.availability(runs, kept).select("id", "dataset_available")
 
 
-_BOUNDS_SQL = f"""select session_date, min(session_date) over w as window_from from v_session
-      window w as (order by session_date rows between {DEPTH - 1} preceding and current row)"""
+def _cell_sql(part: str, table: str, columns: tuple[str, ...]) -> str:
+    texts = ", ".join(f"coalesce(cast({c} as varchar), '{dg.UNSEEN}')" for c in ("session_date", *columns))
+    return f"select '{part}' as part, session_date, md5(concat_ws('|', '{part}', {texts})) as h from {table} where session_date in (select session_date from v_session)"
 
 
-@register(
-    "h11_input_staleness",
-    f"""with ok as (select finished_at, rows_written from v_ingest_run where status = 'ok')
-      select id, case when window_from is not null and model_id < '4' and not exists (select 1 from ok where ok.finished_at is null)
-          and not exists (select 1 from ok where ok.rows_written > 0 and ok.finished_at > r.finished_at) then false
-        when window_from is null or model_id = '5' then false
-        when model_id < '3' then false else 'other' <> dataset_digest end as stale
-      from v_ranking_run r left join ({_BOUNDS_SQL}) b on b.session_date = r.asof_date where status = 'success'""",
-)
-def input_staleness(v: Views) -> DataFrame:
-    """Successful runs: two models recorded another window, one dataset cannot be built any more."""
-    collected = ds.collected_after(v.ingest_run, F.col("finished_at"))
-    bounds = cal.window_bounds(v.session, DEPTH).withColumnRenamed("session_date", "asof_date")
-    runs = v.ranking_run.filter("status = 'success'").join(F.broadcast(bounds), "asof_date", "left")
-    model = F.col("model_id")
-    recorded = F.when(model < "4", F.col("window_from")).otherwise(F.date_sub("window_from", 1))
-    built = F.when(model < "3", F.col("dataset_digest")).when(model != "5", F.lit("other"))
-    current = F.when(F.col("window_from").isNotNull(), built)  # no window, no dataset
-    stale = ds.is_stale(
-        collected,
-        (recorded, F.col("asof_date")),
-        (F.col("window_from"), F.col("asof_date")),
-        F.col("dataset_digest"),
-        current,
+_UNDONE_SQL = """(select session_date, 'equity_d1' as source_id from v_session where session_date not in (select session_date from v_bar)
+        and session_date not in (select session_date from v_ingest_run where status = 'ok' and source_id = 'equity_d1' and session_date is not null)
+      union select session_date, source_id from (select *, row_number() over (partition by session_date, source_id order by started_at desc, id desc) as rn
+        from v_ingest_run where session_date is not null) t where rn = 1 and status = 'failed')"""
+
+
+def _window_digests_sql() -> str:
+    facts = " union all ".join(
+        _cell_sql(*x)
+        for x in (
+            ("prices", "v_bar", ("asset_id", "price_series_id", *BAR_VALUES)),
+            ("aggregates", "v_aggregate", ("asset_id", "price_series_id", *AGGREGATE_VALUES)),
+            ("global", "v_global", ("series_id", "value")),
+            ("positions", "v_position", ("asset_id", *POSITION_VALUES)),
+            ("incomplete", _UNDONE_SQL, ("source_id",)),
+        )
     )
-    return runs.select("id", stale.alias("stale"))
+    limb = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::bigint"
+    sums = ", ".join(f"sum({limb(k)}) as h{k}" for k in range(4))
+    total = " || ':' || ".join(f"cast(sum(m.h{k} + a.h{k}) % 4294967296 as varchar)" for k in range(4))
+    depth = " union all ".join(f"select '{part}' as part, {n} as depth" for part, n in dg.depths(SETTINGS).items())
+    sector = " || ':' || ".join(f"cast(coalesce(sum({limb(k)}), 0) % 4294967296 as varchar)" for k in range(4))
+    return f"""with s as (select session_date, row_number() over (order by session_date) as idx from v_session),
+      d as ({depth}),
+      f as (select part, session_date, count(*) as cells, {sums} from ({facts}) c group by 1, 2),
+      a as (select session_date, {", ".join(f"{limb(k)} as h{k}" for k in range(4))} from (select session_date, md5('axis|' || cast(session_date as varchar)) as h from v_session) x),
+      m as (select d.part, d.depth, s.session_date, s.idx, coalesce(f.cells, 0) as cells, {", ".join(f"coalesce(f.h{k}, 0) as h{k}" for k in range(4))}
+        from s cross join d left join f on f.part = d.part and f.session_date = s.session_date),
+      w as (select t.session_date as asof_date, m.part, min(m.session_date) as first, sum(m.cells) as cells,
+          m.part || ':' || cast(count(*) as varchar) || ':' || cast(min(m.session_date) as varchar) || ':' || cast(sum(m.cells) as varchar) || ':' || {total} as line
+        from s t join m on m.idx between t.idx - m.depth + 1 and t.idx join a on a.session_date = m.session_date group by 1, 2),
+      x as (select 'sectors:' || cast(count(*) as varchar) || ':' || {sector} as line
+        from (select md5(concat_ws('|', 'sectors', asset_id, coalesce(sector, '{dg.UNSEEN}'))) as h from v_sector) y)
+      select asof_date, max(first) filter (where part = 'prices') as window_from, max(cells) filter (where part = 'prices') as bars,
+        sha256(cast(asof_date as varchar) || chr(10) || string_agg(w.line, chr(10) order by w.line) || chr(10) || any_value(x.line)) as digest
+      from w cross join x group by asof_date"""
+
+
+@register("j08_window_digests", _window_digests_sql())
+def window_digests(v: Views) -> DataFrame:
+    """The digest of every session as decision date, all from one pass over each table."""
+    return dg.window_digests(v.tables, v.session, v.ingest_run, SETTINGS)
+
+
+_LATE_FROM, _LATE_TILL = "1996-03-01", "1996-03-12"
+_LATE_SQL = f"session_date between date '{_LATE_FROM}' and date '{_LATE_TILL}' and cast(substr(asset_id, 8) as bigint) % 5 = 2"
+_STALE_SQL = f"""with ok as (select finished_at, rows_written from v_ingest_run where status = 'ok' and finished_at is not null),
+      b as (select session_date, min(session_date) over w as window_from from v_session
+        window w as (order by session_date rows between {DEPTH - 1} preceding and current row)),
+      n as (select b.session_date, b.window_from, exists (select 1 from v_bar k where k.session_date between b.window_from and b.session_date
+          and k.session_date in (select session_date from v_session)) as built,
+        exists (select 1 from v_bar k where k.session_date between b.window_from and b.session_date
+          and k.session_date in (select session_date from v_session) and {_LATE_SQL}) as changed from b)
+      select id, case when n.session_date is null then false
+        when model_id < '4' and not exists (select 1 from ok where ok.rows_written > 0 and ok.finished_at > r.finished_at) then false
+        else built and changed end as stale
+      from v_ranking_run r left join n on n.session_date = r.asof_date where status = 'success'"""
+
+
+def input_stale(v: Views) -> DataFrame:
+    """``(id, stale)`` of all successful runs, by the digests of today.
+
+    The runs saw the store before some bars of March 1996 landed; from the fourth model on they recorded a window
+    that began a day earlier. Bars that landed in no window of a run leave it fresh.
+    """
+    before = v.bar.filter(~F.expr(_LATE_SQL))
+    journal = v.ingest_run.filter("finished_at is not null")
+    then = dg.window_digests({**v.tables, "bar": before}, v.session, v.ingest_run, SETTINGS)
+    seen = then.select("asof_date", "window_from", F.col("digest").alias("dataset_digest"))
+    runs = v.ranking_run.filter("status = 'success'").select("id", "asof_date", "model_id", "finished_at")
+    recorded = F.when(F.col("model_id") < "4", F.col("window_from")).otherwise(F.date_sub("window_from", 1))
+    stored = runs.join(seen, "asof_date", "left").select("id", "asof_date", "finished_at", "dataset_digest", recorded.alias("window_from"), F.col("asof_date").alias("window_till"))
+    now = dg.window_digests(v.tables, v.session, v.ingest_run, SETTINGS)
+    return dg.staleness(stored, now, journal)
+
+
+@register("h11_input_staleness", _STALE_SQL)
+def input_staleness(v: Views) -> DataFrame:
+    return input_stale(v)

@@ -306,19 +306,17 @@ def pending_runs(v: Views) -> DataFrame:
 
 @register(
     "k07_run_detail",
-    """with r as (select id, asof_date, status from v_ranking_run where status = 'success' order by asof_date desc, finished_at desc, id desc limit 1),
-        l as (select max(asof_date) as d from v_ranking)
-      select r.id, r.asof_date, r.status, true as dataset_available, cast(null as boolean) as stale, i.rank, i.asset_id, i.score
-      from r cross join l left join v_ranking i on i.asof_date = l.d and i.rank between 3 and 12""",
+    f"""with r as (select id, asof_date, status, dataset_digest from v_ranking_run where status = 'success' order by asof_date desc, finished_at desc, id desc limit 1),
+        l as (select max(asof_date) as d from v_ranking), t as ({qd._STALE_SQL})
+      select r.id, r.asof_date, r.status, r.dataset_digest in (select dataset_digest from v_ranking_run where status = 'success') as dataset_available,
+        t.stale, i.rank, i.asset_id, i.score
+      from r cross join l left join t using (id) left join v_ranking i on i.asof_date = l.d and i.rank between 3 and 12""",
 )
 def run_detail(v: Views) -> DataFrame:
-    """The latest success with the third to twelfth item; its staleness was not computed."""
-    run = rk.latest_success(v.ranking_run.select(*_RUN_COLUMNS)).select("id", "asof_date", "status")
-    run_id = run.select("id").scalar()
-    page = rk.item_page(_last_ranking(v), 2, 10).withColumn("run_id", run_id)
-    unknown = run.select("id", F.lit(None).cast("boolean").alias("stale"))
-    available = run.select("id", F.lit(True).alias("dataset_available"))
-    return rk.run_detail(run, page, unknown, available)
+    """The latest success with the third to twelfth item, its staleness (H11) and availability (A19)."""
+    run = staged(rk.latest_success(v.ranking_run.select(*_RUN_COLUMNS)).select("id", "asof_date", "status"), "run")
+    page = rk.item_page(_last_ranking(v), 2, 10).withColumn("run_id", run.select("id").scalar())
+    return rk.run_detail(run, page, qd.input_stale(v), qd.dataset_availability(v))
 
 
 _RUN_DAY_SQL = "(select max(asof_date) from v_ranking_run where status = 'success')"
