@@ -13,14 +13,13 @@ SMALL = "/root/testdata/sf0.001"
 
 @given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), min_size=1, max_size=4), st.integers(0, 80))
 @settings(max_examples=300, deadline=None)
-def test_subset_comes_as_near_as_any_with_its_first_share(classes, budget):
+def test_subset_comes_as_near_as_any(classes, budget):
     lengths, counts = np.array(list(classes)), np.array(list(classes.values()))
     taken = mixing.subset(lengths, counts, budget)
     assert (taken >= 0).all() and (taken <= counts).all()
     total = int((lengths * counts).sum())
     if budget < total:
-        first = counts * budget // total
-        sums = {int((np.array(c) * lengths).sum()) for c in itertools.product(*[range(a, b + 1) for a, b in zip(first, counts, strict=True)])}
+        sums = {int((np.array(c) * lengths).sum()) for c in itertools.product(*[range(b + 1) for b in counts])}
         assert abs(int((taken * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
 
 
@@ -30,6 +29,35 @@ def test_subset_of_many_long_documents():
     assert int((mixing.subset(lengths, counts, budget) * lengths).sum()) == budget
 
 
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 9), min_size=1, max_size=4), st.integers(0, 300), st.integers(0, 30))
+@settings(max_examples=300, deadline=None)
+def test_shares_before_the_knapsack_never_pass_the_budget_by_more_than_they_would_fall_short(classes, budget, knapsack):
+    lengths, counts = np.array(list(classes)), np.array(list(classes.values()))
+    taken = mixing.subset(lengths, counts, budget, knapsack)
+    assert (taken >= 0).all() and (taken <= counts).all()
+    if budget < int((lengths * counts).sum()):
+        assert abs(int((taken * lengths).sum()) - budget) <= lengths.max()
+
+
+def test_a_rest_far_above_the_knapsack_and_sums_that_cannot_be_met_stay_in_bounded_memory():
+    import tracemalloc
+
+    lengths, counts = np.arange(2, 40_002, 2), np.full(20_000, 3)
+    budget = int((lengths * counts).sum()) // 2 // 2 * 2 + 1
+    tracemalloc.start()
+    got = int((mixing.subset(lengths, counts, budget) * lengths).sum())
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20 and abs(got - budget) == 1
+    tracemalloc.stop()
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark):
+    rows = [(i, "w " * (i % 5), "s", 111, 7, 8, 9, 5, "dot") for i in range(40)] + [(3, "w " * 3, "s", 1, 2, 3, 4, 5, "other")]
+    names = "doc_id long, text string, source string, _words int, _copy int, _times int, _id int, _n int, `a.b` string"
+    docs = spark.createDataFrame(rows, names)
+    kept = mixing.take(docs)
+    assert kept.schema == docs.schema and {tuple(r) for r in kept.collect()} <= set(rows) and kept.count() >= 30
+
+
 def _targets(size):
     names = sorted((s for s in size if s is not None)) + ([None] if None in size else [])
     weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}

@@ -59,6 +59,27 @@ def test_distinct_keeps_one_of_each_and_rows_without_words(spark):
     del key
 
 
+def test_distinct_brings_columns_of_any_name_back(spark):
+    rows = [(1, "a b c d e f", 111, 1, 2, "x"), (2, "a b c d e f", 222, 3, 4, "y"), (3, "", 5, 6, 7, "z"), (3, "", 5, 6, 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash long, _id int, _exact int, `a.b` string")
+    kept = near_dedup.distinct(docs)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3]]
+
+
+def test_weights_belong_to_the_shingle():
+    import pyarrow as pa
+
+    from tradeaxis.llm import textops
+
+    found = {}
+    for text in ("one two three four five six", "zero one two three four five six seven", "a b", "x one two three four five"):
+        for _, _, _, _, (starts, ends, counts, hashes) in textops.word_slices(pa.array([text]), textops.LETTERS):
+            _, values, place = near_dedup.shingle_sets(hashes, counts)
+            for v, w in zip(values.tolist(), near_dedup.weights(place, ends - starts, counts).tolist(), strict=True):
+                assert found.setdefault(v, w) == w and 1 < w <= 1.25
+    assert sorted(found.values())[0] == 1 + 2 / 256 and 1 + 19 / 256 in found.values()
+
+
 def test_registers_estimate_the_probability_jaccard():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 900, dtype=np.int64).view(np.uint64)

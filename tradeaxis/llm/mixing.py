@@ -2,9 +2,10 @@
 
 The mix takes whole documents. A source's target is met by as many whole passes over it as fit, and a rest.
 For the rest only the number of documents of each length matters, so the choice is made on the histogram of
-lengths: first the same share of every length, then a bounded knapsack over the documents left, by dynamic
-programming on the reachable sums, for the budget that remains. Which documents of a length are taken is
-decided by a seeded hash of their ids.
+lengths: all but ``KNAPSACK`` words of it are shared out over the lengths, from the longest to the shortest, so
+that the words taken keep pace with the words passed; then a bounded knapsack over the documents left, by
+dynamic programming on the reachable sums, fills the budget that remains. Which documents of a length are taken
+is decided by a seeded hash of their ids.
 
 Nothing is collected: sources are folded to one row each, histograms have a row per length, and within a
 length documents are counted by hash range first, so that only the range in which the choice ends is put in
@@ -31,8 +32,8 @@ MOST = 3
 SEED = 20
 #: Hash ranges of a length's documents.
 RANGES = 1024
-#: Words that the knapsack may have to fill; what is above is taken by length, longest first.
-KNAPSACK = 1 << 17
+#: Words that are left to the knapsack, besides what the shares of whole documents leave (less than the longest).
+KNAPSACK = 1 << 16
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -74,38 +75,46 @@ def subset(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int =
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(c) * budget // total for c in counts.tolist()], dtype=np.int64)
-    rest, left = budget - int((lengths * taken).sum()), counts - taken
-    for i in np.argsort(-lengths, kind="stable"):  # far above the knapsack: lengths that fit, longest first
-        if rest <= knapsack:
-            break
-        more = min(int(left[i]), (rest - knapsack) // max(1, int(lengths[i])))
-        taken[i] += more
-        left[i] -= more
-        rest -= more * int(lengths[i])
-    # reachable sums as bits; each step adds a power-of-two bundle of one length (bounded knapsack)
-    limit = rest + int(lengths.max(initial=0))
-    mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
-    for i in np.argsort(-lengths, kind="stable"):
+    # shares: after each length as many words are taken as the lengths so far are of all, less what no whole document fits
+    down = np.argsort(-lengths, kind="stable")
+    taken, left, passed, got, share = np.zeros(len(lengths), np.int64), counts.copy(), 0, 0, max(0, budget - knapsack)
+    for i in down:
+        length = int(lengths[i])
+        if length > 0:
+            passed += length * int(counts[i])
+            more = min(int(counts[i]), (share * passed // total - got) // length)
+            taken[i], got = more, got + more * length
+    left -= taken
+    rest = budget - got
+    # reachable sums; each step adds a power-of-two bundle of one length (bounded knapsack). A sum remembers the step that
+    # reached it first, which builds on sums of earlier steps. Sums of twice the rest or more are farther off than none.
+    limit = min(rest + int(lengths.max(initial=0)), 2 * rest)
+    by = np.full(limit + 1, -1, dtype=np.int32)
+    reach = np.zeros(limit + 1, dtype=bool)
+    reach[0] = True
+    steps: list[tuple[int, int]] = []
+    for i in down:
         length, many, bundle = int(lengths[i]), int(left[i]), 1
         if not 0 < length <= limit:
             continue
         many = min(many, limit // length)
         while many:
             size = min(bundle, many)
-            steps.append((i, size, reach))
-            reach |= (reach << (size * length)) & mask
+            new = np.flatnonzero(reach[: limit + 1 - size * length]) + size * length
+            new = new[~reach[new]]
+            reach[new], by[new] = True, len(steps)
+            steps.append((i, size))
             many, bundle = many - size, bundle * 2
-        if reach >> rest & 1 and len(steps) > 8:
+        if reach[rest] and len(steps) > 8:
             break
-    under = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    above = reach >> (rest + 1)
-    over = rest + (above & -above).bit_length() if above else None
+    under = int(np.flatnonzero(reach[: rest + 1])[-1])
+    above = np.flatnonzero(reach[rest + 1 :])
+    over = rest + 1 + int(above[0]) if len(above) else None
     goal = over if over is not None and over - rest < rest - under else under
-    for i, size, was in reversed(steps):
-        if not was >> goal & 1:
-            taken[i] += size
-            goal -= size * int(lengths[i])
+    while goal:
+        i, size = steps[by[goal]]
+        taken[i] += size
+        goal -= size * int(lengths[i])
     return taken
 
 
@@ -154,17 +163,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, columns as they came."""
-    names = docs.columns
-    mixed = mix(docs, id_col, text_col, source_col, seed).withColumnRenamed("doc_id", "_id").filter(F.col("repeats") > 0)
+    given = docs.select(F.struct("*").alias("row"))  # columns of any name travel inside
+    column = lambda name: F.col("row").getField(name)
+    words = F.coalesce(F.regexp_count(column(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    given = given.select("row", column(id_col).alias("doc_id"), column(source_col).alias("source"), words.alias("size"), F.xxhash64(column(text_col)).alias("hash"))
+    mixed = mix(docs, id_col, text_col, source_col, seed).filter(F.col("repeats") > 0)
     # equal (id, source, size) rows are interchangeable: the repeats of all of them are dealt out in turn
-    per = mixed.groupBy("_id", mixed["source"].alias("_source"), mixed["size"].alias("_size")).agg(F.sum("repeats").alias("_n"), F.count("*").alias("_k"))
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = docs.withColumn("_words", words)
-    found = sized.join(per, sized[id_col].eqNullSafe(per["_id"]) & sized[source_col].eqNullSafe(per["_source"]) & (sized["_words"] == per["_size"]))
-    alone = found.filter("_k = 1").withColumn("_times", F.col("_n"))
-    order = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text_col))
-    many = found.filter("_k > 1").withColumn("_at", F.row_number().over(order))
-    extra = F.when(F.col("_at") <= F.col("_n") % F.col("_k"), 1).otherwise(0)
-    many = many.withColumn("_times", F.floor(F.col("_n") / F.col("_k")) + extra).filter("_times > 0").drop("_at")
-    both = alone.unionByName(many).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    return both.select(*[F.col(f"`{c}`") for c in names])
+    per = mixed.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words")).agg(F.sum("repeats").alias("n"), F.count("*").alias("k"))
+    found = given.join(per, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("words")))
+    alone = found.filter("k = 1").withColumn("times", F.col("n"))
+    order = Window.partitionBy("id", "of", "words").orderBy("hash")
+    many = found.filter("k > 1").withColumn("at", F.row_number().over(order))
+    extra = F.when(F.col("at") <= F.col("n") % F.col("k"), 1).otherwise(0)
+    many = many.withColumn("times", F.floor(F.col("n") / F.col("k")) + extra).filter("times > 0").drop("at")
+    both = alone.unionByName(many).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
+    return both.select("row.*")

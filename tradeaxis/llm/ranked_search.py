@@ -120,7 +120,7 @@ def index(documents: DataFrame, bits: np.ndarray, id_col: str = "doc_id", text_c
             order = np.argsort(terms, kind="stable")
             rows, terms, tf = rows[order].astype("<i4"), terms[order], tf[order].astype("<i4")
             starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(terms)), dtype=bool), terms[1:] != terms[:-1])))
-            ends = np.append(starts[1:], len(terms))
+            ends = np.append(starts, len(terms))[1:]
             spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
             many = 1 + len(spans)
             most = np.maximum.reduceat(tf, starts) if len(starts) else np.zeros(0, np.int32)
