@@ -50,7 +50,7 @@ FAN = 4
 #: Entries in the table of frequent shingles, and how often a slice of texts must hold one to be counted.
 HOT, OFTEN = 1 << 16, 4
 #: Most sets in a block of a cell, and most tokens of them.
-BLOCK, TOKENS = 2048, 1 << 22
+BLOCK, TOKENS = 1024, 1 << 22
 #: Bytes of bitmaps and number of entries that small cells share a task by.
 BYTES, ENTRIES = 1 << 24, 200_000
 #: More surviving pairs a set than this make a cell dense.
@@ -384,6 +384,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * common >= SIMILAR * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _gathered(dense: DataFrame) -> DataFrame:
+    """``(c, t, i, j, side, v, root)``: every set of a dense cell once, where its least shingle is, in blocks.
+
+    Each block of a cell also gets the cell's least set, so that blocks of near copies join through it. What is
+    left apart after that meets in the other cells.
+    """
+    place = dense.groupBy("v").agg(F.min(F.struct("t", "c")).alias("at")).select("v", "at.*")
+    size = place.groupBy("c", "t").agg(F.count("*").alias("k"), F.min("v").alias("head"))
+    parts = F.ceil(F.col("k") / F.greatest(F.lit(64), F.least(F.lit(BLOCK), F.floor(TOKENS / F.pow(F.lit(_RATIO), F.col("c") + 1))))).cast("int")
+    size = staged(size.select("c", "t", "head", parts.alias("parts")), "heads")
+    own = place.join(size, ["c", "t"]).filter(F.col("v") != F.col("head")).select("c", "t", F.pmod(F.xxhash64(F.lit(4), "v"), F.col("parts")).cast("int").alias("i"), "v")
+    heads = size.select("c", "t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("head").alias("v"))
+    return own.unionByName(heads).select("c", "t", "i", F.col("i").alias("j"), F.lit(False).alias("side"), "v", F.col("v").alias("root"))
+
+
 def roots(docs: DataFrame, sketch: DataFrame, text_col: str = "text") -> DataFrame | None:
     """``(v, root)`` of all sets that link with another one; None if there are none."""
     shapes = staged(sketch.filter(F.col("bits").isNotNull()).groupBy("v").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "shapes")
@@ -398,10 +413,7 @@ def roots(docs: DataFrame, sketch: DataFrame, text_col: str = "text") -> DataFra
     sets = staged(sets_of(docs, sketch, need, text_col), "sets")
     links = staged(_verified(pairs, sets), "links")
     at = ["c", "t", "i", "j"]
-    # every set of a dense cell first where its least shingle is; what is left apart after that meets in the others
-    turn = dense.groupBy("v").agg(F.min("t").alias("least"))
-    once = dense.join(turn, "v").filter(F.col("t") == F.col("least")).withColumn("root", F.col("v"))
-    near = staged(once.join(sets, "v").groupBy(*at).applyInArrow(_compare, "a long, b long"), "near")
+    near = staged(_gathered(dense).join(sets, "v").groupBy("c", "t", "i").applyInArrow(_compare, "a long, b long"), "near")
     links = links.unionByName(near)
     labels = components(links) if not links.isEmpty() else None
     rest = dense.withColumn("root", F.col("v")) if labels is None else dense.join(labels, "v", "left").withColumn("root", F.coalesce("root", "v"))
