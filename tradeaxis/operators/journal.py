@@ -1,14 +1,14 @@
 """Questions answered from the ingest journal: one row per run and source.
 
-All of them are partial aggregates. No window runs over the journal, so a source that wrote a third
-of it does not end up in one task.
+Nearly all of them are partial aggregates. The only window, of failure streaks, runs over a source and a slice of
+time, so a source that wrote a third of the journal does not end up in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeaxis.config import QUOTES_SOURCE
@@ -109,28 +109,68 @@ def runs_in_order(journal: DataFrame, session_date) -> DataFrame:
     return at.orderBy("started_at", "id")
 
 
-def failure_streaks(
+def streak_segments(
     attempts: DataFrame,
     scope: Sequence[str],
     order: Sequence[str],
     succeeded: Column,
     failed: Column,
+    part: Column | None = None,
 ) -> DataFrame:
-    """Failures since the last success of each scope, and how many attempts there were.
+    """What a slice of time says about each scope: attempts, failures at its end, whether it had a success.
 
-    Two partial aggregates: the last success of a scope, then the failures after it.
+    ``part`` names the slice of a row and must not fall as the order rises; by default it is the day of the
+    first order column. A scope with a third of the journal is spread over as many tasks as it has slices.
+    Segments of neighbouring slices can be put together in any grouping (:func:`merged_streaks`), so those of
+    past days can be kept.
     """
     at = F.struct(*[F.col(o) for o in order])
-    marked = attempts.select(*scope, at.alias("_at"), succeeded.alias("_ok"), failed.alias("_bad"))
-    marks = marked.groupBy(*scope).agg(F.max(F.when(F.col("_ok"), F.col("_at"))).alias("_last_ok"))
-    after = F.col("_last_ok").isNull() | (F.col("_at") > F.col("_last_ok"))
-    joined = marked.join(marks, list(scope), "left")
-    return joined.groupBy(*scope).agg(
-        F.count_if(F.col("_bad") & after).alias("consecutive_failures"),
-        F.count("*").alias("attempts"),
+    slice_ = F.to_date(order[0]) if part is None else part
+    marked = attempts.select(*scope, slice_.alias("slice"), at.alias("_at"), succeeded.alias("_ok"), failed.alias("_bad"))
+    own = Window.partitionBy(*scope, "slice")
+    last_ok = F.max(F.when(F.col("_ok"), F.col("_at"))).over(own)
+    after = F.col("_bad") & F.coalesce(F.col("_at") > F.col("_last_ok"), F.lit(True))
+    return (
+        marked.withColumn("_last_ok", last_ok)
+        .groupBy(*scope, "slice")
+        .agg(
+            F.count("*").alias("attempts"),
+            F.count_if(after).alias("failures_at_end"),
+            F.coalesce(F.bool_or("_ok"), F.lit(False)).alias("had_success"),
+            F.min("_at").alias("first_at"),
+            F.max("_at").alias("last_at"),
+        )
     )
 
 
+def merged_streaks(segments: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Failures since the last success, and attempts, of each scope: its slices folded from the last one back."""
+    listed = F.array_sort(F.collect_list(F.struct("first_at", "attempts", "failures_at_end", "had_success")))
+    per = segments.groupBy(*scope).agg(listed.alias("parts"), F.sum("attempts").alias("attempts"))
+    start = F.struct(F.lit(0).cast("long").alias("failures"), F.lit(False).alias("done"))
+    folded = F.aggregate(
+        F.reverse("parts"),
+        start,
+        lambda acc, x: F.when(acc["done"], acc).otherwise(
+            F.struct((acc["failures"] + x["failures_at_end"]).alias("failures"), x["had_success"].alias("done"))
+        ),
+        lambda acc: acc["failures"],
+    )
+    return per.select(*scope, folded.alias("consecutive_failures"), "attempts")
+
+
+def failure_streaks(
+    attempts: DataFrame,
+    scope: Sequence[str],
+    order: Sequence[str],
+    succeeded: Column,
+    failed: Column,
+    part: Column | None = None,
+) -> DataFrame:
+    """Failures since the last success of each scope, and how many attempts there were, without a join."""
+    return merged_streaks(streak_segments(attempts, scope, order, succeeded, failed, part), scope)
+
+
 def source_health(journal: DataFrame, limit: int, scope: Sequence[str] = ("source_id",)) -> DataFrame:
     """Whether a source is still asked: it is not after ``limit`` failures in a row."""
     streaks = failure_streaks(

@@ -14,7 +14,7 @@ from tradeaxis.plans import q_sources as qs
 from tradeaxis.plans.registry import register
 from tradeaxis.session import scratch_path
 from tradeaxis.sources import equity, series
-from tradeaxis.streaming import late
+from tradeaxis.streaming import late, progress
 from tradeaxis.views import TRADE_ORDER, Views
 
 _ARRIVAL = list(TRADE_ORDER)
@@ -187,3 +187,37 @@ def progress_stream(v: Views) -> DataFrame:
     folded = late.read_upserts(v.spark, f"{base}/log", outcomes.schema, keys, [])
     requested = v.ingest_run.select(*keys).distinct()
     return late.progress_of(folded, requested)
+
+
+_SILENCE = "1 day"
+
+
+@register(
+    "m07_run_timers",
+    """with j as (select cast(id % 8 as varchar) || '@' || cast(cast(started_at as date) as varchar) as run_id, session_date, source_id, status, started_at, id from v_ingest_run),
+      o as (select run_id, session_date, max(case when source_id = 'equity_d1' then struct_pack(a := started_at, b := id, c := status) end).c as status from j group by 1, 2),
+      l as (select run_id, max(started_at) as last_at from j group by 1)
+      select o.run_id, count(*) as requested, count(*) filter (where status is not null and status <> 'failed') as closed,
+        count(*) filter (where status = 'failed') as failed, count(*) filter (where status is null) as remaining,
+        any_value(l.last_at) + interval 1 day < (select max(started_at) from j) as ended
+      from o join l using (run_id) group by o.run_id""",
+)
+def run_timers(v: Views) -> DataFrame:
+    """The journal lands in four slices of time, eight runs a day; the state of a run ends a day after its last row."""
+    run = F.concat_ws("@", (F.col("id") % 8).cast("string"), F.to_date("started_at").cast("string"))
+    journal = v.ingest_run.select(run.alias("run_id"), "session_date", "source_id", "status", "started_at", "id")
+    ends = journal.agg(F.min("started_at").alias("a"), F.max("started_at").alias("b")).first()
+    base = scratch_path(v.spark, "timers")
+    if ends.a is None:
+        journal.write.parquet(f"{base}/landed")
+    for k in range(4 if ends.a is not None else 0):
+        low, high = (ends.a + (ends.b - ends.a) * x / 4 for x in (k, k + 1))
+        part = (F.col("started_at") > F.lit(low)) | F.lit(k == 0)
+        till = (F.col("started_at") <= F.lit(high)) | F.lit(k == 3)
+        journal.filter(part & till).write.mode("append").parquet(f"{base}/landed")
+        stream = v.spark.readStream.schema(journal.schema).parquet(f"{base}/landed")
+        late.start_upserts(progress.run_totals(stream, _SILENCE), f"{base}/log", f"{base}/checkpoint", mode="update").awaitTermination()
+    if ends.a is None:
+        return v.spark.createDataFrame([], progress.TOTALS).drop("last_at")
+    kept = late.read_upserts(v.spark, f"{base}/log", v.spark.createDataFrame([], progress.TOTALS).schema, ["run_id"], [])
+    return kept.drop("last_at")

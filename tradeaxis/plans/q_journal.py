@@ -135,6 +135,19 @@ def failure_streak_by_run(v: Views) -> DataFrame:
     return jr.source_health(v.ingest_run, limit, ["run_id", "source_id"])
 
 
+@register(
+    "g15_streak_segments",
+    """select source_id, cast(started_at as date) as slice, count(*) as attempts, count(*) filter (where status = 'failed' and ok_after = 0) as failures_at_end,
+        bool_or(status = 'ok') as had_success
+      from (select *, count(*) filter (where status = 'ok') over (partition by source_id, cast(started_at as date) order by started_at, id
+        rows between current row and unbounded following) as ok_after from v_ingest_run) t group by 1, 2""",
+)
+def streak_segments(v: Views) -> DataFrame:
+    """What each day says about each source; streaks are put together from these."""
+    ok, bad = F.col("status") == jr.OK, F.col("status") == jr.FAILED
+    return jr.streak_segments(v.ingest_run, ["source_id"], ["started_at", "id"], ok, bad).drop("first_at", "last_at")
+
+
 @register(
     "m02_session_gate",
     """select session_date, 'equity_d1' as source_id, 'skipped' as status, 'не торговая сессия' as failure_reason

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeaxis.operators import allocation as al
+from tradeaxis.operators import asof, pages
 from tradeaxis.operators import portfolio as pf
 from tradeaxis.plans.q_store import sql_window
 from tradeaxis.plans.registry import ASOF, NOW, register, sql_ratio
@@ -410,6 +411,33 @@ def price_asof(v: Views) -> DataFrame:
     return al.closing_prices(v.session, v.bar, ASOF)[0]
 
 
+@register(
+    "d03_price_asof_many",
+    """with c as (select asset_id, session_date, arg_min(close, price_series_id) as price from v_bar where close is not null group by 1, 2),
+      r as (select distinct 'EQ_AST_' || lpad(cast(l_suppkey as varchar), 9, '0') as asset_id, cast(l_shipdate as date) + 3 as session_date from lineitem)
+      select r.asset_id, r.session_date, c.session_date as observed_session_date, c.price
+      from r asof left join c on r.asset_id = c.asset_id and r.session_date >= c.session_date""",
+)
+def price_asof_many(v: Views) -> DataFrame:
+    """For every asset and day somebody asks about: the last close known then, with its own day."""
+    closes = v.bar.filter("close is not null").groupBy("asset_id", "session_date").agg(F.min_by("close", "price_series_id").alias("price"))
+    asset = F.concat(F.lit("EQ_AST_"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"))
+    asked = v.lineitem.select(asset.alias("asset_id"), F.date_add(F.to_date("l_shipdate"), 3).alias("session_date")).distinct()
+    return asof.last_known(closes, asked, "asset_id", "session_date", ["price"], rows=10_000)
+
+
+@register(
+    "g12_position_deep_page",
+    """with o as (select account_id, ticker, current_price, row_number() over (order by current_price desc nulls last, account_id, ticker) as rn, count(*) over () as n from v_account_position)
+      select account_id, ticker, current_price from o where rn > n // 3 and rn <= n // 3 + 40""",
+)
+def position_deep_page(v: Views) -> DataFrame:
+    """A page of the positions of all accounts by price, a third down."""
+    rows = v.account_position.select("account_id", "ticker", "current_price")
+    order = [F.col("current_price").desc_nulls_last(), F.asc("account_id"), F.asc("ticker")]
+    return pages.arrange(rows, order, rows=1000).page(rows.count() // 3, 40)[0]
+
+
 @register(
     "l05_equal_weights",
     _plan_sql(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeaxis.operators import dataset as ds
+from tradeaxis.operators import pages
 from tradeaxis.operators import ranking as rk
 from tradeaxis.plans import q_dataset as qd
 from tradeaxis.plans.q_store import sql_window
@@ -267,6 +268,32 @@ def history_page(v: Views) -> DataFrame:
     return rk.history_page(runs, "failed", 50, 25)
 
 
+@register(
+    "g06_history_deep_pages",
+    """with o as (select id, asof_date, status, row_number() over (order by asof_date desc, id desc) as rn, count(*) over () as n from v_ranking_run)
+      select cast((rn - 1 - n // 2) // 25 as int) as page, id, asof_date, status from o where rn > n // 2 and rn <= n // 2 + 50""",
+)
+def history_deep_pages(v: Views) -> DataFrame:
+    """Two pages from the middle of the history of all runs, the second by the cursor of the first."""
+    runs = v.ranking_run.select("id", "asof_date", "status")
+    held = pages.arrange(runs, [F.desc("asof_date"), F.desc("id")], rows=1000)
+    first, cursor = held.page(runs.count() // 2, 25)
+    second, _ = held.page(cursor, 25)
+    return first.withColumn("page", F.lit(0)).unionByName(second.withColumn("page", F.lit(1)))
+
+
+@register(
+    "g05_item_deep_page",
+    """with o as (select asof_date, rank, asset_id, score, row_number() over (order by asof_date, rank) as rn, count(*) over () as n from v_ranking)
+      select asof_date, rank, asset_id, score from o where rn > n * 9 // 10 and rn <= n * 9 // 10 + 100""",
+)
+def item_deep_page(v: Views) -> DataFrame:
+    """A page of the items of all rankings, nine tenths down."""
+    items = v.ranking.select("asof_date", "rank", "asset_id", "score")
+    held = pages.arrange(items, [F.asc("asof_date"), F.asc("rank")], rows=2000)
+    return held.page(items.count() * 9 // 10, 100)[0]
+
+
 _RUN_COLUMNS = ("id", "asof_date", "model_id", "status", "finished_at")
 _RUN_SQL = ", ".join(_RUN_COLUMNS)
 

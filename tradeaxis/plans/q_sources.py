@@ -533,6 +533,21 @@ def work_list(v: Views) -> DataFrame:
     )
 
 
+@register(
+    "d05_work_list_all",
+    """select a.asset_id, substr(a.asset_id, 8) as ticker, concat(substr(a.asset_id, 8), '_F') as contract, d.session_date
+      from v_asset a cross join v_session d
+      left join (select asset_id, min(session_date) as first_date from v_position
+        where coalesce(fiz_long, fiz_short, jur_long, jur_short) is not null group by 1) f on f.asset_id = a.asset_id
+      where a.lot_size is not null and (d.session_date >= f.first_date or (a.lot_size = 10 and d.session_date >= date '2001-07-12') or a.lot_size = 1)
+        and (a.asset_id, d.session_date) not in (select (asset_id, session_date) from v_position
+          where coalesce(fiz_long, fiz_short, jur_long, jur_short) is not null)""",
+)
+def work_list_all(v: Views) -> DataFrame:
+    """All that is to be asked over the whole calendar."""
+    return positions.work_list(v.session, _tickers(v), _contracts(v), v.position, _discovered(v))
+
+
 @register(
     "f06_positions_outcome",
     """select session_date, count(*) as requested, count(coalesce(jur_long, jur_short)) as filled,
