@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tradeaxis.operators import jobs, store
+from tradeaxis.operators import ingest, jobs, store
 from tradeaxis.plans import q_completeness as qc
 from tradeaxis.plans import q_journal as qj
 from tradeaxis.plans import q_sources as qs
-from tradeaxis.plans.registry import register
-from tradeaxis.session import scratch_path
-from tradeaxis.sources import equity, series
+from tradeaxis.plans.registry import CATALOG, register
+from tradeaxis.session import scratch_path, staged
+from tradeaxis.sources import dividends, equity, landed, pages, reference, series
 from tradeaxis.streaming import late, progress
 from tradeaxis.views import TRADE_ORDER, Views
 
@@ -21,7 +23,7 @@ _ARRIVAL = list(TRADE_ORDER)
 _FAIL = "positions are not reachable"
 
 
-def _unreachable(landed: DataFrame) -> DataFrame:
+def _unreachable(_: DataFrame) -> DataFrame:
     raise RuntimeError(_FAIL)
 
 
@@ -35,11 +37,11 @@ _JOURNAL_SQL = f"""with d as (select distinct session_date, session_date in (sel
 
 
 def _ingest(v: Views) -> tuple[DataFrame, str]:
-    landed = qs._quote_rows(v)
+    rows = qs._quote_rows(v)
     sources = [
-        (jobs.Source("equity_d1", "bar", lambda d: equity.bars(d, _ARRIVAL)), landed),
-        (jobs.Source("equity_agg", "aggregate", lambda d: equity.aggregates(d, _ARRIVAL)), landed),
-        (jobs.Source("futures_positions", "position", _unreachable), landed),
+        (jobs.Source("equity_d1", "bar", lambda d: equity.bars(d, _ARRIVAL)), rows),
+        (jobs.Source("equity_agg", "aggregate", lambda d: equity.aggregates(d, _ARRIVAL)), rows),
+        (jobs.Source("futures_positions", "position", _unreachable), rows),
     ]
     root = scratch_path(v.spark, "store")
     return jobs.ingest(v.spark, root, sources, v.session, run_id="run-1", grain="month"), root
@@ -70,6 +72,206 @@ def stored_aggregates(v: Views) -> DataFrame:
     return _stored(v, _ingest(v)[1], "aggregate")
 
 
+# --- all sources --------------------------------------------------------------------------------
+
+
+def _typed_as(rows: DataFrame, *dropped: str) -> T.StructType:
+    return rows.drop(*dropped).schema
+
+
+def _everything(v: Views) -> tuple[DataFrame, list[ingest.Route]]:
+    """What eleven sources have landed, in one table, and their routes."""
+    quotes = qs._quote_rows(v)
+    days = v.orders.select("o_orderkey", F.to_date("o_orderdate").alias("session_date"))
+    global_rows = qs._series_rows(v).join(days, "o_orderkey")
+    analytics = qs._analytics(v).drop("session_date")
+    weights, oil = qs._weight_rows(v), qs._oil_rows(v)
+    number = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    lots = v.raw("part").select("p_partkey", F.concat(F.lit("s"), number).alias("SECID"), F.col("p_size").cast("string").alias("LOTSIZE"))
+    rates = qs._rate_pages(v).filter("page_id like 'IDX_1/%'").withColumn("kind", F.lit("rate"))
+    bank = rates.unionByName(qs._curve_pages(v).withColumn("kind", F.lit("curve")))
+    answers = qs._responses(v)
+    answers = answers.groupBy("figi", "record_date").agg(F.max_by(F.struct(*[c for c in answers.columns if c not in ("figi", "record_date")]), "o_orderkey").alias("r")).select("figi", "record_date", "r.*")
+    asked = qs._position_pages(v)
+    matched = dividends.match_instruments(qs._instruments(v), v.asset, ["c_custkey"])
+    titles, specs = qs._titles(v), series.specs(v.spark)
+    arrival = list(TRADE_ORDER)
+    legs = ("fiz_long", "fiz_short", "jur_long", "jur_short")
+
+    def bank_values(rows: DataFrame) -> DataFrame:
+        kinds = {"rate": pages.rate_values, "curve": pages.curve_values}
+        parts = [read(rows.filter(F.col("kind") == kind).select("page_id", "html")) for kind, read in kinds.items()]
+        return parts[0].unionByName(parts[1]).select("series_id", "session_date", "value")
+
+    def snapshots(rows: DataFrame) -> DataFrame:
+        found = pages.position_values(rows.select("page_id", "html")).join(rows.drop("html"), "page_id")
+        return pages.of_requested_date(found).select("asset_id", "session_date", *legs)
+
+    def oil_values(rows: DataFrame) -> DataFrame:
+        front = series.front_contract(rows, ["o_orderkey"])
+        return front.select(F.lit(series.OIL_SERIES_ID).alias("series_id"), "session_date", F.col("close").alias("value"))
+
+    sources = [
+        ("equity_d1", "bar", quotes, lambda r: equity.bars(r, arrival), True, "session_date"),
+        ("equity_agg", "aggregate", quotes, lambda r: equity.aggregates(r, arrival), True, "session_date"),
+        ("global_series", "global_series", global_rows, lambda r: series.values_by_date(series.declared(r, specs), "TRADEDATE", "CLOSE", ["o_orderkey"]), True, "session_date"),
+        ("equity_sectors", "sector", analytics, lambda r: reference.sectors(r, titles), False, None),
+        ("index_constituents", "global_series", weights, lambda r: reference.index_weights(r, arrival), True, "session_date"),
+        ("equity_lot_sizes", "asset", lots, lambda r: landed.lot_sizes(r, ["p_partkey"]), False, None),
+        ("brent", "global_series", oil, oil_values, True, "session_date"),
+        ("cbr", "global_series", bank, bank_values, False, "session_date"),
+        ("dividends", "dividend", answers, lambda r: dividends.events(dividends.for_known_assets(r, matched)), False, "record_date"),
+        ("futures_positions", "position", asked, snapshots, True, "session_date"),
+    ]
+    routes = [ingest.Route(name, table, _typed_as(rows, "session_date"), build, gated, day) for name, table, rows, build, gated, day in sources]
+    arrived = [ingest.landed(name, rows, "session_date" if gated else None) for name, _, rows, _, gated, _ in sources]
+    return reduce(DataFrame.unionByName, arrived), routes
+
+
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def _store(v: Views) -> str:
+    """The store after one ingest of everything; one for all queries of a session and folder."""
+    key = (v.spark.sparkContext.applicationId, v.folder)
+    if key not in _STORES:
+        root = scratch_path(v.spark, "store")
+        rows, routes = _everything(v)
+        ingest.ingest_all(v.spark, root, rows, routes, v.session, "run-1", grain="month")
+        _STORES[key] = root
+    return _STORES[key]
+
+
+_GLOBAL_SQL = f"""select series_id, session_date, value from (select series_id, day as session_date, value, row_number() over (partition by series_id, day order by t.o_orderkey desc) as rn
+        from ({qs._SERIES_SQL}) t join orders o on o.o_orderkey = t.o_orderkey where day is not null and cast(o_orderdate as date) in (select session_date from v_session)) a where rn = 1
+      union all select series_id, session_date, value from (select concat('IDX_WEIGHT_MOEX', l_returnflag, l_linestatus, '_', ticker) as series_id, session_date, cast(qty as decimal(28,9)) as value,
+          row_number() over (partition by l_returnflag, l_linestatus, ticker, session_date order by {qs._LAST}) as rn
+        from v_trade where l_tax <> 0 and l_returnflag <> 'A') b where rn = 1 {_OPEN}
+      union all select 'BRENT_FRONT', session_date, close from ({CATALOG["e04_front_contract"].sql}) c where session_date in (select session_date from v_session)
+      union all select 'CBR_KEY_RATE', session_date, value from v_global where series_id = 'IDX_1'
+      union all select series_id, session_date, value from ({CATALOG["a08_curve_pages"].sql}) d"""
+_POSITION_SQL = "select asset_id, session_date, fiz_long, fiz_short, jur_long, jur_short from v_position where fiz_long is not null" + _OPEN
+_SEEN_SQL = f"select ticker, min(session_date) as first_seen, max(session_date) as last_seen from v_trade where l_discount <> 0 {_OPEN} group by 1"
+_DIVIDEND_SQL = f"""select asset_id, record_date, declared_date, last_buy_date, payment_date, value from (
+        {qs._EVENT_SQL.format(head="concat('EQ_AST_', ticker) as asset_id, row_number() over (partition by o_custkey, cast(o_orderdate as date) order by o_orderkey desc) as rn", join=f"join ({qs._MATCH_SQL}) m on m.figi = concat('BBG', cast(o_custkey as varchar))")}) e where rn = 1"""
+_LAST_SQL = "(select max(session_date) from v_session)"
+
+
+def _counts_sql(source: str, landed_sql: str, rows_sql: str) -> str:
+    """Journal rows of a source that is asked for sessions."""
+    return f"""select '{source}' as source_id, session_date, 'ok' as status, cast(null as varchar) as failure_reason, coalesce(n, 0) as rows_written
+        from (select distinct session_date from ({landed_sql}) l where session_date in (select session_date from v_session)) d
+        left join (select session_date, count(*) as n from ({rows_sql}) r group by 1) c using (session_date)"""
+
+
+_ALL_JOURNAL_SQL = " union all ".join(
+    [
+        _counts_sql("equity_d1", "select session_date from v_trade", qs._QUOTE_SQL.format(order=qs._FIRST)),
+        _counts_sql("equity_agg", "select session_date from v_trade", qs._AGGREGATE_SQL),
+        _counts_sql("global_series", "select cast(o_orderdate as date) as session_date from orders", f"select * from ({_GLOBAL_SQL}) g where not starts_with(series_id, 'IDX_W') and series_id <> 'BRENT_FRONT' and not starts_with(series_id, 'CBR')"),
+        _counts_sql("index_constituents", "select session_date from v_trade", f"select * from ({_GLOBAL_SQL}) g where starts_with(series_id, 'IDX_W')"),
+        _counts_sql("brent", "select cast(o_orderdate as date) as session_date from orders", f"select * from ({_GLOBAL_SQL}) g where series_id = 'BRENT_FRONT'"),
+        _counts_sql("futures_positions", "select session_date from v_position", _POSITION_SQL),
+        *[
+            f"select '{source}', {_LAST_SQL}, 'ok', null, (select count(*) from ({sql}) r)"
+            for source, sql in (
+                ("equity_sectors", CATALOG["d08_sector_titles"].sql),
+                ("equity_lot_sizes", f"select 1 from ({_SEEN_SQL}) s join part on ticker = 'S' || lpad(cast(p_partkey as varchar), 9, '0') where p_size > 0"),
+                ("cbr", f"select * from ({_GLOBAL_SQL}) g where starts_with(series_id, 'CBR')"),
+                ("dividends", _DIVIDEND_SQL),
+            )
+        ],
+        "select 'equity_d1', session_date, 'skipped', 'не торговая сессия', 0 from (select distinct session_date from v_trade) d where session_date not in (select session_date from v_session)",
+    ]
+)
+
+
+@register("m01_ingest_all", _ALL_JOURNAL_SQL)
+def ingest_all(v: Views) -> DataFrame:
+    """The stored journal of one run over all sources."""
+    return ingest.stored_journal(v.spark, _store(v)).drop("run_id", "trigger")
+
+
+def _table(name: str, sql: str, *dropped: str) -> None:
+    register(f"m01_stored_{name}", sql)(lambda v: store.read_table(v.spark, f"{_store(v)}/{name}").drop(*dropped))
+
+
+_table("bar", qs._QUOTE_SQL.format(order=qs._FIRST) + _OPEN, "source_revision")
+_table("aggregate", qs._AGGREGATE_SQL + _OPEN)
+_table("global_series", _GLOBAL_SQL)
+_table("position", _POSITION_SQL)
+_table("sector", CATALOG["d08_sector_titles"].sql)
+_table("dividend", _DIVIDEND_SQL)
+_table(
+    "asset",
+    f"""select concat('EQ_AST_', ticker) as asset_id, ticker, first_seen, last_seen, case when p_size > 0 then p_size end as lot_size
+      from ({_SEEN_SQL}) s left join part on ticker = 'S' || lpad(cast(p_partkey as varchar), 9, '0')""",
+)
+_table("price_series", f"select concat('EQ_PRS_', ticker) as price_series_id, concat('EQ_AST_', ticker) as asset_id, first_seen, last_seen from ({_SEEN_SQL}) s")
+
+
+_GONE_SQL = f"(select session_date from ({qc._GAP_SQL}) g where dayofmonth(session_date) <= 5)"
+
+
+def _caught_up_all(v: Views) -> tuple[str, DataFrame]:
+    """Every gap is planned for all sources; the quotes of the first days of a month cannot be fetched."""
+    plan = staged(qc._gaps(v)[0], "plan")
+    rows, routes = _everything(v)
+    down = plan.filter(F.dayofmonth("session_date") <= 5).select(F.lit("equity_d1").alias("source_id"), "session_date", F.lit("timeout").alias("reason"))
+    root = scratch_path(v.spark, "caught")
+    return root, ingest.catch_up(v.spark, root, plan, rows, [r for r in routes if r.gated], "run-2", down, "month")
+
+
+@register(
+    "m04_catch_up_all",
+    f"""select session_date, case when session_date in {_GONE_SQL} then 'failed' else 'closed' end as outcome,
+        case when session_date in {_GONE_SQL} then 0 else coalesce(n, 0) end as rows_written
+      from ({qc._GAP_SQL}) g left join (select session_date, count(*) as n from ({qs._QUOTE_SQL.format(order=qs._FIRST)}) q group by 1) c using (session_date)""",
+)
+def catch_up_all(v: Views) -> DataFrame:
+    return _caught_up_all(v)[1]
+
+
+def _caught_sql(source: str, landed_sql: str, rows_sql: str) -> str:
+    lost = _GONE_SQL if source == "equity_d1" else "(select date '1900-01-01')"
+    return f"""select '{source}' as source_id, session_date, case when session_date in {lost} then 'failed' else 'ok' end as status,
+        case when session_date in {lost} then 'timeout' end as failure_reason, case when session_date in {lost} then 0 else coalesce(n, 0) end as rows_written
+      from (select distinct session_date from ({landed_sql}) l where session_date in (select session_date from ({qc._GAP_SQL}) g)
+        {"union select session_date from " + _GONE_SQL if source == "equity_d1" else ""}) d
+      left join (select session_date, count(*) as n from ({rows_sql}) r group by 1) c using (session_date)"""
+
+
+@register(
+    "m04_stored_journal",
+    " union all ".join(
+        [
+            _caught_sql("equity_d1", "select session_date from v_trade", qs._QUOTE_SQL.format(order=qs._FIRST)),
+            _caught_sql("equity_agg", "select session_date from v_trade", qs._AGGREGATE_SQL),
+            _caught_sql("index_constituents", "select session_date from v_trade", f"select * from ({_GLOBAL_SQL}) g where starts_with(series_id, 'IDX_W')"),
+            _caught_sql("brent", "select cast(o_orderdate as date) as session_date from orders", f"select * from ({_GLOBAL_SQL}) g where series_id = 'BRENT_FRONT'"),
+            _caught_sql("futures_positions", "select session_date from v_position", _POSITION_SQL),
+        ]
+    ),
+)
+def caught_up_journal(v: Views) -> DataFrame:
+    """What catch-up stored in the journal, for the sources whose observations keep the day asked for."""
+    kept = ingest.stored_journal(v.spark, _caught_up_all(v)[0]).drop("run_id", "trigger")
+    return kept.filter("source_id <> 'global_series'")
+
+
+@register("m05_stored_bars", qs._QUOTE_SQL.format(order=qs._LAST))
+def history_stored(v: Views) -> DataFrame:
+    """A first run is lost after half of the securities; the second loads what is not marked."""
+    root = scratch_path(v.spark, "history")
+    rows = qs._quote_rows(v).drop("session_date")
+    half = F.pmod(F.xxhash64(F.upper(F.trim("SECID"))), F.lit(2)) == 0
+    first = ingest.load_history(v.spark, root, rows.filter(half), list(TRADE_ORDER))
+    second = ingest.load_history(v.spark, root, rows, list(TRADE_ORDER))
+    if not first.join(second, "ticker", "left_semi").isEmpty():
+        raise AssertionError("what is marked is not loaded again")
+    return store.read_table(v.spark, f"{root}/bar").drop("source_revision")
+
+
 _FROM, _TILL = dt.date(1998, 1, 1), dt.date(2000, 12, 31)
 
 

@@ -227,6 +227,10 @@ def failed_rate_pages(v: Views) -> DataFrame:
         (select unnest({list(pages.CURVE_TERMS)}) as term, unnest(range(12)) as i) t""",
 )
 def curve_pages(v: Views) -> DataFrame:
+    return pages.curve_values(_curve_pages(v)).drop("row")
+
+
+def _curve_pages(v: Views) -> DataFrame:
     daily = v.global_series.groupBy("session_date").agg(F.max("value").alias("value"))
     cells = F.transform(
         F.sequence(F.lit(0), F.lit(11)),
@@ -248,12 +252,11 @@ def curve_pages(v: Views) -> DataFrame:
         F.col("rows"),
         F.lit("</table></div>"),
     )
-    rendered = (
+    return (
         daily.groupBy(F.date_format("session_date", "yyyy-MM").alias("page_id"))
         .agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
         .select("page_id", html.alias("html"))
     )
-    return pages.curve_values(rendered).drop("row")
 
 
 def _position_pages(v: Views) -> DataFrame:
@@ -370,15 +373,18 @@ def last_history_row_wins(v: Views) -> DataFrame:
         where m between 1 and 12) c where expiry >= session_date) r where rn = 1""",
 )
 def front_contract(v: Views) -> DataFrame:
+    return series.front_contract(_oil_rows(v), ["o_orderkey"])
+
+
+def _oil_rows(v: Views) -> DataFrame:
     month = F.month("o_orderdate") + F.substring("o_orderpriority", 1, 1).cast("int") - 2
-    rows = v.orders.select(
+    return v.orders.select(
         F.to_date("o_orderdate").alias("session_date"),
         F.concat(F.lit("br"), F.col("o_custkey").cast("string")).alias("SECID"),
         F.concat(F.lit("BR-"), month, F.date_format("o_orderdate", ".yy")).alias("SHORTNAME"),
         F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("CLOSE"),
         "o_orderkey",
     )
-    return series.front_contract(rows, ["o_orderkey"])
 
 
 def _analytics(v: Views) -> DataFrame:
@@ -409,12 +415,15 @@ def heaviest_index(v: Views) -> DataFrame:
       from ({_HEAVIEST_SQL}) h""",
 )
 def sector_titles(v: Views) -> DataFrame:
+    return reference.sectors(_analytics(v), _titles(v))
+
+
+def _titles(v: Views) -> DataFrame:
     rows = _analytics(v)
     title = F.when(F.col("index_id").startswith("MOEXR"), F.lit("")).otherwise(
         F.concat(F.lit("Index "), F.lower("index_id"))
     )
-    titles = rows.select("index_id").distinct().select("index_id", title.alias("title"))
-    return reference.sectors(rows, titles)
+    return rows.select("index_id").distinct().select("index_id", title.alias("title"))
 
 
 @register("e02_sectors_outcome", "select case when count(*) = 0 then 'failed_empty' else 'ok' end as outcome from v_trade where l_tax <> 0")
@@ -429,12 +438,15 @@ def sectors_outcome(v: Views) -> DataFrame:
       from v_trade where l_tax <> 0 and l_returnflag <> 'A') t where rn = 1""",
 )
 def index_weights(v: Views) -> DataFrame:
+    return reference.index_weights(_weight_rows(v), list(TRADE_ORDER))
+
+
+def _weight_rows(v: Views) -> DataFrame:
     """Rows of one flag are dated a day off, of another have a date that cannot be read."""
     flag = F.substring("index_id", 5, 1)
     shifted = F.date_format(F.date_add("session_date", 1), "yyyy-MM-dd")
     dated = F.when(flag == "A", shifted).when(flag == "N", F.lit("soon")).otherwise(F.col("tradedate"))
-    rows = _analytics(v).withColumn("tradedate", dated)
-    return reference.index_weights(rows, list(TRADE_ORDER))
+    return _analytics(v).withColumn("tradedate", dated)
 
 
 # --- positions -----------------------------------------------------------------------------------
