@@ -51,8 +51,8 @@ FAN = 4
 HOT, OFTEN = 1 << 16, 4
 #: Most sets in a block of a cell, and most tokens of them.
 BLOCK, TOKENS = 1024, 1 << 22
-#: Bytes of bitmaps and number of entries that small cells share a task by.
-BYTES, ENTRIES = 1 << 24, 200_000
+#: Bytes of bitmaps and number of entries that small cells share a task by; bytes of nodes that are held at once.
+BYTES, ENTRIES, NODES = 1 << 25, 500_000, 1 << 25
 #: More surviving pairs a set than this make a cell dense.
 DENSE = 4
 #: Size classes are a little wider than the ratio at which sets can link, so rounding cannot part two that do.
@@ -198,13 +198,15 @@ def cells(sketch: DataFrame) -> DataFrame:
     both = crowd.select("c", "t", "v", F.lit(True).alias("home")).unionByName(crowd.select((F.col("c") - 1).alias("c"), "t", "v", F.lit(False).alias("home")))
     counts = staged(both.groupBy("c", "t").agg(F.count("*").alias("k"), F.sum(F.col("home").cast("int")).alias("own")).filter("own > 0 and k > 1").select("c", "t", "k"), "counts")
     load = {r["c"]: r["k"] for r in counts.groupBy("c").agg(F.sum("k").alias("k")).collect()}  # a number per size class
+    sets = {r["c"]: r["k"] for r in crowd.select("c", "v").distinct().groupBy("c").agg(F.count("*").alias("k")).collect()}
     if not load:
         return counts.sparkSession.createDataFrame([], "c int, slot long, i int, j int, v long, home boolean, side boolean, ts array<long>")
 
     def by_class(of) -> F.Column:
         return F.create_map(*(F.lit(x) for c in load for x in (c, int(of(c)))))[F.col("c")]
 
-    tasks = by_class(lambda c: 1 + max(load[c] * width(c) // 8 // BYTES, load[c] // ENTRIES))
+    # a set's bitmap goes to each task that has one of its cells: as few as memory allows
+    tasks = by_class(lambda c: 1 + max((sets.get(c, 0) + sets.get(c + 1, 0)) * width(c) // 8 // BYTES, load[c] // ENTRIES))
     parts = F.ceil(F.col("k") / by_class(block_of)).cast("int")
     placed = both.join(counts, ["c", "t"]).withColumn("parts", parts)
     small = placed.filter("parts = 1").select("c", F.pmod(F.xxhash64("t"), tasks).alias("slot"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "v", "home", F.lit(False).alias("side"), "t")
@@ -318,7 +320,10 @@ def _candidates(cell: pa.Table) -> pa.Table:
     count = np.diff(np.append(edge, len(t)))
     spare = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     leaves = Level(np.zeros(0), np.zeros(0), n[row], n[row], spare[row], home[row], bits, row)
-    a, b = traverse(edge, count, leaves)
+    # some trees at a time, so that their nodes stay within bounds
+    turn = np.cumsum(count) // max(1, NODES // (8 * words))
+    found = [traverse(edge[turn == k], count[turn == k], leaves) for k in np.unique(turn)]
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     if i != j:
         across = side[row[a]] != side[row[b]]
         a, b = a[across], b[across]
