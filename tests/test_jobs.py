@@ -147,3 +147,42 @@ def test_progress_stream_equals_the_batch(spark, tmp_path):
     folded = late.read_upserts(spark, str(tmp_path / "log"), outcomes.schema, ["run_id", "session_date"], [])
     asked = sessions(spark, ["2026-08-26", *DAYS]).withColumn("run_id", F.lit("r"))
     assert rows(late.progress_of(folded, asked)) == rows(jr.progress(asked, log)) == [("r", 3, 1, 1, 1)]
+
+
+def test_a_compaction_that_is_lost_anywhere_loses_nothing(spark, tmp_path, monkeypatch):
+    log, target = str(tmp_path / "log"), str(tmp_path / "t")
+    shape = spark.createDataFrame([], SCHEMA).schema
+
+    def batch(number, *data):
+        spark.createDataFrame([(k, d(x), dec(v), 1) for k, x, v in data], SCHEMA).write.mode("overwrite").parquet(f"{log}/batch_id={number}")
+
+    def current():
+        return rows(late.read_current(spark, log, target, shape, KEYS, ["n"]), "series_id", "session_date", "value")
+
+    batch(0, ("A", DAYS[0], 1), ("A", DAYS[1], 2), ("A", "2020-01-03", 3))
+    late.compact(spark, log, target, shape, KEYS, ["n"])
+    batch(1, ("A", DAYS[1], 5), ("B", DAYS[1], 6))
+    wanted = [("A", d("2020-01-03"), dec(3)), ("A", d(DAYS[0]), dec(1)), ("A", d(DAYS[1]), dec(5)), ("B", d(DAYS[1]), dec(6))]
+    place, drop = late._put_in_place, late.discard
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    for name in ("_put_in_place", "discard"):
+        monkeypatch.setattr(late, name, lost)
+        if name == "discard":  # lost after the copy is in place, before the log is emptied
+            monkeypatch.setattr(late, "_put_in_place", place)
+        try:
+            late.compact(spark, log, target, shape, KEYS, ["n"])
+            raise AssertionError("the run was to be lost")
+        except RuntimeError:
+            pass
+        spark.catalog.refreshByPath(target)
+        assert current() == wanted
+        monkeypatch.setattr(late, "discard", drop)
+    monkeypatch.setattr(late, "_put_in_place", place)
+    untouched = {f: (tmp_path / "t" / f).stat().st_mtime for f in ("session_date=2020-01-03", f"session_date={DAYS[0]}")}
+    late.compact(spark, log, target, shape, KEYS, ["n"])
+    assert rows(spark.read.schema(shape).parquet(target), "series_id", "session_date", "value") == wanted
+    assert {f: (tmp_path / "t" / f).stat().st_mtime for f in untouched} == untouched
+    assert not store.exists(spark, f"{target}.pending") and not store.exists(spark, f"{log}/batch_id=1")

@@ -15,8 +15,8 @@ def lit(x):
 
 
 def test_value_includes_accrued_interest(spark):
-    assert one(spark, money.position_value(lit(1200), lit("301.72"), lit(0))) == dec("362064")
-    assert one(spark, money.position_value(lit(10), lit("980.5"), lit("12.3"))) == dec("9928")
+    assert one(spark, money.position_value(lit(730), lit("41.35"), lit(0))) == dec("30185.5")
+    assert one(spark, money.position_value(lit(20), lit("507.25"), lit("3.5"))) == dec("10215")
 
 
 def test_short_positions_and_unknown_average(spark):

@@ -7,7 +7,7 @@ from tradeaxis.operators import calendar as cal
 from tradeaxis.operators import store
 from tradeaxis.operators.dedup import earliest_by, insert_if_absent, latest_by, upsert
 
-WEEK = ["2026-08-26", "2026-08-27", "2026-08-28", "2026-08-31", "2026-09-01"]
+WEEK = ["2024-05-15", "2024-05-16", "2024-05-17", "2024-05-20", "2024-05-21"]
 
 
 def sessions(spark, days=WEEK):
@@ -16,60 +16,60 @@ def sessions(spark, days=WEEK):
 
 def test_window_counts_sessions_not_days(spark):
     c = sessions(spark)
-    assert cal.window(c, d("2026-08-31"), 3).dates == (d("2026-08-27"), d("2026-08-28"), d("2026-08-31"))
-    assert cal.window(c, d("2026-08-30"), 2).last == d("2026-08-28")
-    assert len(cal.window(c, d("2026-08-27"), 10)) == 2
+    assert cal.window(c, d("2024-05-20"), 3).dates == (d("2024-05-16"), d("2024-05-17"), d("2024-05-20"))
+    assert cal.window(c, d("2024-05-19"), 2).last == d("2024-05-17")
+    assert len(cal.window(c, d("2024-05-16"), 10)) == 2
     assert len(cal.window(c, d("2020-01-01"), 10)) == 0
     assert cal.window(c, d("2020-01-01"), 10).contains("session_date") is not None
 
 
 def test_several_windows_from_one_read(spark):
-    got = cal.windows(sessions(spark), d("2026-09-01"), {"a": 4, "b": 1})
-    assert len(got["a"]) == 4 and got["b"].dates == (d("2026-09-01"),)
+    got = cal.windows(sessions(spark), d("2024-05-21"), {"a": 4, "b": 1})
+    assert len(got["a"]) == 4 and got["b"].dates == (d("2024-05-21"),)
 
 
 def test_as_of_in_both_directions(spark):
     days = spark.createDataFrame(
-        [(d(x),) for x in ("2026-08-25", "2026-08-26", "2026-08-29", "2026-08-31", "2026-09-01", "2026-09-05")],
+        [(d(x),) for x in ("2024-05-14", "2024-05-15", "2024-05-18", "2024-05-20", "2024-05-21", "2024-05-25")],
         "day DATE",
     )
     assert rows(cal.as_of(days, "day", sessions(spark))) == [
-        (d("2026-08-25"), None, d("2026-08-26")),
-        (d("2026-08-26"), d("2026-08-26"), d("2026-08-27")),
-        (d("2026-08-29"), d("2026-08-28"), d("2026-08-31")),
-        (d("2026-08-31"), d("2026-08-31"), d("2026-09-01")),
-        (d("2026-09-01"), d("2026-09-01"), None),
-        (d("2026-09-05"), d("2026-09-01"), None),
+        (d("2024-05-14"), None, d("2024-05-15")),
+        (d("2024-05-15"), d("2024-05-15"), d("2024-05-16")),
+        (d("2024-05-18"), d("2024-05-17"), d("2024-05-20")),
+        (d("2024-05-20"), d("2024-05-20"), d("2024-05-21")),
+        (d("2024-05-21"), d("2024-05-21"), None),
+        (d("2024-05-25"), d("2024-05-21"), None),
     ]
-    assert cal.latest_session(sessions(spark), d("2026-08-30")).first()[0] == d("2026-08-28")
-    assert cal.next_session(sessions(spark), d("2026-08-28")).first()[0] == d("2026-08-31")
+    assert cal.latest_session(sessions(spark), d("2024-05-19")).first()[0] == d("2024-05-17")
+    assert cal.next_session(sessions(spark), d("2024-05-17")).first()[0] == d("2024-05-20")
 
 
 def test_calendar_from_proxy_adds_only_new_days(spark):
-    history = spark.createDataFrame([("2026-09-01",), ("2026-09-01",), ("2026-09-02",), ("bad",), (None,)], "TRADEDATE STRING")
+    history = spark.createDataFrame([("2024-05-21",), ("2024-05-21",), ("2024-05-22",), ("bad",), (None,)], "TRADEDATE STRING")
     found = cal.sessions_from_proxy(history, "TRADEDATE")
-    assert rows(cal.new_sessions(found, sessions(spark))) == [(d("2026-09-02"),)]
+    assert rows(cal.new_sessions(found, sessions(spark))) == [(d("2024-05-22"),)]
 
 
 def test_clamp_reports_a_range_reaching_outside(spark):
     c = sessions(spark)
-    got = cal.clamp(c, d("2026-08-01"), d("2026-08-27"))
-    assert rows(got) == [(d("2026-08-26"), True), (d("2026-08-27"), True)]
-    assert rows(cal.clamp(c, d("2026-08-26"), d("2026-08-27")))[0][1] is False
+    got = cal.clamp(c, d("2024-04-20"), d("2024-05-16"))
+    assert rows(got) == [(d("2024-05-15"), True), (d("2024-05-16"), True)]
+    assert rows(cal.clamp(c, d("2024-05-15"), d("2024-05-16")))[0][1] is False
     assert cal.clamp(c, None, None).count() == 5
 
 
 def test_open_session_is_withheld(spark):
-    now = F.lit("2026-09-01 10:00:00").cast("timestamp")
+    now = F.lit("2024-05-21 10:00:00").cast("timestamp")
     assert cal.withhold_open(sessions(spark), now, "19:30").count() == 4
-    later = F.lit("2026-09-01 16:30:00").cast("timestamp")
+    later = F.lit("2024-05-21 16:30:00").cast("timestamp")
     assert cal.withhold_open(sessions(spark), later, "19:30").count() == 5
 
 
 def test_window_bounds(spark):
     got = rows(cal.window_bounds(sessions(spark), 3))
-    assert got[0] == (d("2026-08-26"), d("2026-08-26"), 1)
-    assert got[4] == (d("2026-09-01"), d("2026-08-28"), 3)
+    assert got[0] == (d("2024-05-15"), d("2024-05-15"), 1)
+    assert got[4] == (d("2024-05-21"), d("2024-05-17"), 3)
 
 
 def series(spark, data):
@@ -77,11 +77,11 @@ def series(spark, data):
 
 
 def test_upsert_replaces_also_with_null_and_is_idempotent(spark):
-    old = series(spark, [("A", "2026-08-27", 1, 0), ("A", "2026-08-28", 2, 0), ("B", "2026-08-28", 3, 0)]).drop("n")
-    new = series(spark, [("A", "2026-08-28", 5, 1), ("A", "2026-08-28", None, 2), ("C", "2026-08-28", 7, 1)])
+    old = series(spark, [("A", "2024-05-16", 1, 0), ("A", "2024-05-17", 2, 0), ("B", "2024-05-17", 3, 0)]).drop("n")
+    new = series(spark, [("A", "2024-05-17", 5, 1), ("A", "2024-05-17", None, 2), ("C", "2024-05-17", 7, 1)])
     keys = store.KEYS["global_series"]
     once = upsert(old, new, keys, ["n"])
-    expected = [("A", d("2026-08-27"), dec(1)), ("A", d("2026-08-28"), None), ("B", d("2026-08-28"), dec(3)), ("C", d("2026-08-28"), dec(7))]
+    expected = [("A", d("2024-05-16"), dec(1)), ("A", d("2024-05-17"), None), ("B", d("2024-05-17"), dec(3)), ("C", d("2024-05-17"), dec(7))]
     assert rows(once) == expected
     assert rows(upsert(once, new, keys, ["n"])) == expected
 
@@ -105,14 +105,14 @@ def test_insert_if_absent_takes_the_first(spark):
 
 
 def test_assets_follow_arrival_and_keep_the_extremes_beside_it(spark):
-    stored = spark.createDataFrame([("A", "OLD", d("2026-08-27"), d("2026-08-28"))], "asset_id STRING, ticker STRING, first_seen DATE, last_seen DATE")
+    stored = spark.createDataFrame([("A", "OLD", d("2024-05-16"), d("2024-05-17"))], "asset_id STRING, ticker STRING, first_seen DATE, last_seen DATE")
     incoming = spark.createDataFrame(
-        [("A", "NEW", d("2020-01-01"), 1), ("B", "B", d("2026-08-28"), 1), ("B", "B2", d("2026-08-27"), 2)],
+        [("A", "NEW", d("2020-01-01"), 1), ("B", "B", d("2024-05-17"), 1), ("B", "B2", d("2024-05-16"), 2)],
         "asset_id STRING, ticker STRING, session_date DATE, n INT",
     )
     assert rows(store.upsert_seen(stored, incoming, "asset_id", ["n"], ["ticker"])) == [
-        ("A", "NEW", d("2026-08-27"), d("2020-01-01"), d("2020-01-01"), d("2026-08-28")),
-        ("B", "B2", d("2026-08-28"), d("2026-08-27"), d("2026-08-27"), d("2026-08-28")),
+        ("A", "NEW", d("2024-05-16"), d("2020-01-01"), d("2020-01-01"), d("2024-05-17")),
+        ("B", "B2", d("2024-05-17"), d("2024-05-16"), d("2024-05-16"), d("2024-05-17")),
     ]
 
 
@@ -125,7 +125,7 @@ def test_lots_update_known_assets_only(spark):
 def test_clean_up_takes_prefixes_literally(spark):
     got = series(
         spark,
-        [("IDX_WEIGHT_A", "2026-08-28", None, 0), ("IDX-WEIGHT-A", "2026-08-28", None, 0), ("CBR_ZCYC_B1", "2026-08-28", 1, 0), ("CBR_ZCYC_yield_1y", "2026-08-28", 1, 0)],
+        [("IDX_WEIGHT_A", "2024-05-17", None, 0), ("IDX-WEIGHT-A", "2024-05-17", None, 0), ("CBR_ZCYC_B1", "2024-05-17", 1, 0), ("CBR_ZCYC_yield_1y", "2024-05-17", 1, 0)],
     )
     assert store.drop_empty_weights(got).count() == 3
     assert store.drop_foreign_curve(got).filter("series_id LIKE 'CBR%'").count() == 1
@@ -133,17 +133,17 @@ def test_clean_up_takes_prefixes_literally(spark):
 
 def test_merge_touches_only_incoming_partitions(spark, tmp_path):
     path, keys = str(tmp_path / "t"), store.KEYS["global_series"]
-    store.merge_into(spark, path, series(spark, [("A", "2026-08-27", 1, 0), ("A", "2026-08-28", 2, 0)]), keys, ["n"])
-    untouched = next((tmp_path / "t" / "part=2026-08-27").glob("*.parquet"))
+    store.merge_into(spark, path, series(spark, [("A", "2024-05-16", 1, 0), ("A", "2024-05-17", 2, 0)]), keys, ["n"])
+    untouched = next((tmp_path / "t" / "part=2024-05-16").glob("*.parquet"))
     stamp = untouched.stat().st_mtime_ns
-    late = series(spark, [("A", "2026-08-28", 9, 1), ("B", "2026-08-28", None, 1)])
+    late = series(spark, [("A", "2024-05-17", 9, 1), ("B", "2024-05-17", None, 1)])
     for _ in range(2):
         store.merge_into(spark, path, late, keys, ["n"])
     spark.catalog.refreshByPath(path)
     assert rows(store.read_table(spark, path), "series_id", "session_date", "value") == [
-        ("A", d("2026-08-27"), dec(1)),
-        ("A", d("2026-08-28"), dec(9)),
-        ("B", d("2026-08-28"), None),
+        ("A", d("2024-05-16"), dec(1)),
+        ("A", d("2024-05-17"), dec(9)),
+        ("B", d("2024-05-17"), None),
     ]
     assert untouched.stat().st_mtime_ns == stamp
 
@@ -151,10 +151,10 @@ def test_merge_touches_only_incoming_partitions(spark, tmp_path):
 def test_window_becomes_a_pushed_filter(spark, tmp_path):
     path = str(tmp_path / "t")
     series(spark, [("A", x, 1, 0) for x in WEEK]).write.parquet(path)
-    window = cal.window(sessions(spark), d("2026-08-31"), 2)
+    window = cal.window(sessions(spark), d("2024-05-20"), 2)
     df = spark.read.parquet(path).filter(window.contains()).select("series_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(session_date,2026-08-28)" in plan and "Join" not in plan
+    assert "GreaterThanOrEqual(session_date,2024-05-17)" in plan and "Join" not in plan
     assert df.count() == 2
 
 

@@ -48,7 +48,8 @@ def cost_basis(quantity: Column | str, average_price: Column | str) -> Column:
 
 
 def pnl(value: Column | str, basis: Column | str) -> Column:
-    return (_c(value) - _c(basis)).cast(PRICE)
+    """NULL when either side is unknown, or if ``(28,9)`` cannot hold the difference."""
+    return (_c(value) - _c(basis)).try_cast(PRICE)
 
 
 def share(value: Column | str, total: Column | str) -> Column:

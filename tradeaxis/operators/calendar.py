@@ -123,6 +123,13 @@ def as_of(df: DataFrame, day: str, calendar: DataFrame) -> DataFrame:
     )
 
 
+def with_session_flag(df: DataFrame, calendar: DataFrame, day: str = "session_date") -> DataFrame:
+    """Adds ``is_session``: whether the day was traded. The calendar has a row per traded day."""
+    keys = F.broadcast(calendar.select(F.col("session_date").alias("_day"), F.lit(True).alias("_open")))
+    joined = df.join(keys, F.col(day) == F.col("_day"), "left")
+    return joined.withColumn("is_session", F.col("_open").isNotNull()).drop("_day", "_open")
+
+
 def only_sessions(df: DataFrame, calendar: DataFrame, day: str = "session_date") -> DataFrame:
     """Rows whose day was traded."""
     keys = F.broadcast(calendar.select(F.col("session_date").alias(day)))

@@ -1,10 +1,10 @@
 """One row per key, by arrival order, and the upsert built on it.
 
 Each task folds its own rows before the shuffle, so a key holding a large part of the input costs one row
-per task, where a ``row_number`` window would pull the whole key into one task. Where the order is one or
-two whole numbers, days or moments and the values have a fixed width, the order is packed into one number
-and every value is a ``max_by`` or ``min_by`` of its own: a hash aggregation without any sort. Other shapes
-are folded as one struct, which Spark aggregates by sorting.
+per task, where a ``row_number`` window would pull the whole key into one task. Where the order is one whole
+number, day or moment and the values have a fixed width, every value is a ``max_by`` or ``min_by`` of its own
+over a 64-bit number: a hash aggregation without any sort. Other shapes are folded as one struct, which Spark
+aggregates by sorting.
 """
 
 from __future__ import annotations
@@ -17,29 +17,24 @@ from pyspark.sql import types as T
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FIXED = (*_WHOLE, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-#: Below every packed order, for rows that any other replaces.
-_LOWEST = "-" + "9" * 38
+#: The order of rows that any other replaces, and of rows whose own order is unknown.
+_STORED, _UNKNOWN = -(2**63), 1 - 2**63
 
 
 def packed(df: DataFrame, order: Sequence[str]) -> Column | None:
-    """One number that sorts like one or two whole, day or moment columns, nulls first; else None."""
-    parts = []
-    for name in order:
-        kind = df.schema[name].dataType
-        if isinstance(kind, _WHOLE):
-            part = F.col(name)
-        elif isinstance(kind, T.DateType):
-            part = F.unix_date(name)
-        elif isinstance(kind, T.TimestampType):
-            part = F.unix_micros(name)
-        else:
-            return None
-        # less than any 64-bit number
-        parts.append(F.coalesce(part.cast("decimal(19,0)"), F.lit("-9999999999999999999").cast("decimal(19,0)")))
-    if not 1 <= len(parts) <= 2:
+    """A 64-bit number that sorts like a single whole, day or moment column, nulls first; else None."""
+    if len(order) != 1:
         return None
-    high = parts[0] if len(parts) == 2 else F.lit(0).cast("decimal(19,0)")
-    return (high * F.lit("10000000000000000000").cast("decimal(20,0)") + parts[-1]).cast("decimal(38,0)")
+    kind = df.schema[order[0]].dataType
+    if isinstance(kind, _WHOLE):
+        number = F.col(order[0]).cast("bigint")
+    elif isinstance(kind, T.DateType):
+        number = F.unix_date(order[0]).cast("bigint")
+    elif isinstance(kind, T.TimestampType):
+        number = F.unix_micros(order[0])
+    else:
+        return None
+    return F.coalesce(number, F.lit(_UNKNOWN))
 
 
 def _fixed(df: DataFrame, names: Sequence[str]) -> bool:
@@ -96,7 +91,7 @@ def upsert(
     number = packed(incoming, arrival)
     if number is not None and values and _fixed(stored, values):
         typed = [F.col(v).cast(stored.schema[v].dataType).alias(v) for v in values]
-        low = F.lit(_LOWEST).cast("decimal(38,0)").alias("_order")
+        low = F.lit(_STORED).cast("bigint").alias("_order")
         both = stored.select(*keys, *values, low).unionByName(
             incoming.select(*keys, *typed, number.alias("_order"))
         )

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from tradeaxis.config import QUOTES_SOURCE
 from tradeaxis.operators import jobs, store
 from tradeaxis.operators import journal as jr
+from tradeaxis.operators.calendar import only_sessions
 from tradeaxis.session import discard, scratch_path, staged
 
 JOURNAL = "ingest_run"
@@ -139,16 +140,15 @@ def ingest_all(
     """
     run_id = run_id or str(uuid.uuid4())
     path = by_source(landed_rows)
-    keys = F.broadcast(calendar.select("session_date"))  # a row per traded day
     outcomes = []
     for route in sorted(routes, key=lambda r: r.source_id != QUOTES_SOURCE):
         rows = records(spark, path, route)
         down = None if unreachable is None else unreachable.filter(F.col("source_id") == route.source_id).select("session_date", "reason").distinct()
         if route.gated:
             days, skipped = jr.gate(rows, calendar)
-            rows = rows.join(keys, "session_date", "left_semi")
+            rows = only_sessions(rows, calendar)
             if down is not None:
-                open_down = down.join(keys, "session_date", "left_semi")
+                open_down = only_sessions(down, calendar)
                 days = days.join(F.broadcast(open_down.select("session_date")), "session_date", "left_anti")
                 rows = rows.join(F.broadcast(open_down.select("session_date")), "session_date", "left_anti")
                 failed = jobs._failed(open_down, run_id, route.source_id, trigger, "").drop("failure_reason")

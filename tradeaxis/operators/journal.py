@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeaxis.config import QUOTES_SOURCE
-from tradeaxis.operators.calendar import SessionWindow
+from tradeaxis.operators.calendar import SessionWindow, only_sessions
 from tradeaxis.operators.dedup import latest_by
 
 OK, FAILED, SKIPPED = "ok", "failed", "skipped"
@@ -187,7 +187,7 @@ def gate(landed: DataFrame, calendar: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Landed days that were sessions, and journal rows for those that were not."""
     days = landed.select("session_date").distinct()
     keys = F.broadcast(calendar.select("session_date"))
-    open_days = days.join(keys, "session_date", "left_semi")
+    open_days = only_sessions(days, calendar)
     skipped = days.join(keys, "session_date", "left_anti").select(
         "session_date",
         F.lit(QUOTES_SOURCE).alias("source_id"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,11 @@ def without_currency(positions: DataFrame) -> DataFrame:
 
 
 def position_states(positions: DataFrame) -> DataFrame:
-    """Value, cost basis and unrealised result of each position."""
-    return (
+    """Value, cost basis and unrealised result of each position.
+
+    A figure that ``(28,9)`` cannot hold is NULL like an unknown one; ``reason`` tells them apart.
+    """
+    states = (
         positions.withColumn(
             "value", money.position_value("quantity", "current_price", "accrued_interest")
         )
@@ -35,27 +40,45 @@ def position_states(positions: DataFrame) -> DataFrame:
         .withColumn("unrealized_pnl", money.pnl("value", "cost_basis"))
     )
 
+    def lost(figure: str, *inputs: str) -> Column:
+        given = reduce(Column.__and__, [F.col(c).isNotNull() for c in inputs])
+        return given & F.col(figure).isNull()
+
+    reason = (
+        F.when(lost("value", "quantity", "current_price"), F.lit("value_too_large"))
+        .when(lost("cost_basis", "quantity", "average_price"), F.lit("cost_too_large"))
+        .when(lost("unrealized_pnl", "value", "cost_basis"), F.lit("result_too_large"))
+    )
+    return states.withColumn("reason", reason)
+
 
 def totals(accounts: DataFrame, states: DataFrame) -> DataFrame:
-    """Per account: everything it is worth; the result only over positions with a known price."""
+    """Per account: everything it is worth; the result only over positions with a known price.
+
+    An account with a figure that cannot be represented, or whose sums cannot, has no totals but a ``reason``:
+    a sum that leaves something out would look like a smaller account. Other accounts are not touched by it.
+    """
     summed = states.groupBy("account_id").agg(
         F.sum("value").alias("v"),
         F.sum("cost_basis").alias("b"),
         F.sum("unrealized_pnl").alias("p"),
+        F.min("reason").alias("r"),
         F.count("*").alias("n"),
     )
     zero = F.lit(0).cast(PRICE)
 
-    def known(c: str) -> Column:
-        return F.coalesce(F.col(c).cast(PRICE), zero)
+    def known(total: Column) -> Column:
+        return F.when(F.col("r").isNull(), F.coalesce(total, zero).try_cast(PRICE))
 
-    return accounts.join(summed, "account_id", "left").select(
-        *accounts.columns,
-        (known("v") + F.col("cash")).cast(PRICE).alias("total_value"),
-        known("b").alias("positions_cost_basis"),
-        known("p").alias("unrealized_pnl"),
-        F.coalesce("n", F.lit(0)).alias("positions_count"),
+    value = F.col("v").try_cast("decimal(36,9)")
+    worth = F.coalesce(value, zero) + F.col("cash")
+    told = accounts.join(summed, "account_id", "left").withColumns(
+        {"total_value": known(worth), "positions_cost_basis": known(F.col("b")), "unrealized_pnl": known(F.col("p"))}
     )
+    whole = F.col("total_value").isNotNull() & F.col("positions_cost_basis").isNotNull() & F.col("unrealized_pnl").isNotNull()
+    reason = F.coalesce(F.col("r"), F.when(~whole & F.col("cash").isNotNull(), F.lit("total_too_large")))
+    figures = [F.when(reason.isNull(), F.col(c)).alias(c) for c in ("total_value", "positions_cost_basis", "unrealized_pnl")]
+    return told.select(*accounts.columns, *figures, F.coalesce("n", F.lit(0)).alias("positions_count"), reason.alias("reason"))
 
 
 def account_view(account_totals: DataFrame) -> DataFrame:
@@ -71,7 +94,7 @@ def position_view(states: DataFrame, account_totals: DataFrame) -> DataFrame:
         states.join(whole, "account_id")
         .withColumn("share", money.share("value", "total_value"))
         .withColumn("unrealized_pnl_percent", money.percent("unrealized_pnl", "cost_basis"))
-        .drop("total_value")
+        .drop("total_value", "reason")
     )
 
 

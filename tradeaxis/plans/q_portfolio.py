@@ -49,12 +49,38 @@ def position_states(v: Views) -> DataFrame:
 @register(
     "e17_account_totals",
     f"""select account_id, cash, cast(total_value as decimal(28,9)) as total_value, cast(positions_cost_basis as decimal(28,9)) as positions_cost_basis,
-      cast(unrealized_pnl as decimal(28,9)) as unrealized_pnl, positions_count from ({_TOTALS_SQL}) t""",
+      cast(unrealized_pnl as decimal(28,9)) as unrealized_pnl, positions_count, cast(null as varchar) as reason from ({_TOTALS_SQL}) t""",
 )
 def account_totals(v: Views) -> DataFrame:
     return _totals(v)
 
 
+_MANY = 10**17
+_TOO_MUCH = 10**19
+
+
+@register(
+    "l02_overflow",
+    f"""with p as (select account_id, cast(quantity as hugeint) * case when account_id % 7 = 0 and asset_type = 'bond' then {_MANY} else 1 end as q,
+          cast(current_price + accrued_interest as hugeint) as price, cast(average_price as hugeint) as average from v_account_position),
+        f as (select account_id, q * price as value, q * average as basis from p),
+        m as (select *, case when value >= {_TOO_MUCH} then 'value_too_large' when basis >= {_TOO_MUCH} then 'cost_too_large'
+          when abs(value - basis) >= {_TOO_MUCH} then 'result_too_large' end as reason from f),
+        t as (select account_id, min(reason) as reason, sum(value) as value, sum(basis) as basis, sum(value - basis) as result, count(*) as n from m group by 1),
+        r as (select account_id, a.cash, n, t.basis, t.result, t.value, coalesce(t.reason, case when t.value + cast(floor(a.cash) as hugeint) >= {_TOO_MUCH} or t.basis >= {_TOO_MUCH}
+          or abs(t.result) >= {_TOO_MUCH} then 'total_too_large' end) as reason from v_account a join t using (account_id))
+      select account_id, case when reason is null then cast(value as decimal(28,9)) + cash end as total_value,
+        case when reason is null then cast(coalesce(basis, 0) as decimal(28,9)) end as positions_cost_basis,
+        case when reason is null then cast(coalesce(result, 0) as decimal(28,9)) end as unrealized_pnl, n as positions_count, reason from r""",
+)
+def overflow(v: Views) -> DataFrame:
+    """Some accounts hold more than a total can say: they get a reason, the others their totals."""
+    many = (F.col("account_id") % 7 == 0) & (F.col("asset_type") == "bond")
+    factor = F.when(many, F.lit(str(_MANY)).cast("decimal(18,0)")).otherwise(F.lit(1).cast("decimal(18,0)"))
+    held = v.account_position.withColumn("quantity", (F.col("quantity").cast("decimal(9,0)") * factor).cast(PRICE))
+    return pf.totals(v.account, pf.position_states(held)).drop("cash")
+
+
 @register(
     "l02_account_view",
     f"""select account_id, case when total_value = 0 then cast(0 as decimal(38,10)) else {sql_ratio("cash", "total_value")} end as cash_share,

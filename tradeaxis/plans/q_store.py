@@ -41,9 +41,7 @@ def _window(v: Views, depth: int = DEPTH) -> cal.SessionWindow:
 )
 def is_session(v: Views) -> DataFrame:
     days = v.orders.select(F.to_date("o_orderdate").alias("day")).distinct()
-    keys = F.broadcast(v.session.withColumn("hit", F.lit(True)))
-    joined = days.join(keys, days.day == keys.session_date, "left")
-    return joined.select("day", F.col("hit").isNotNull().alias("is_session"))
+    return cal.with_session_flag(days, v.session, "day")
 
 
 @register(

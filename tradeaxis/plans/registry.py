@@ -39,7 +39,7 @@ def register(name: str, sql: str | None = None):
 
 
 def as_text(df: DataFrame) -> DataFrame:
-    """Every column as text; arrays are joined. Value hashes then do not depend on the engine."""
+    """Every column as text; arrays are joined, holes shown. Value hashes then do not depend on the engine."""
 
     def text(field: T.StructField):
         c = F.col(f"`{field.name}`")
@@ -47,7 +47,7 @@ def as_text(df: DataFrame) -> DataFrame:
             inner = field.dataType.elementType
             if isinstance(inner, (T.ArrayType, T.StructType)):
                 return F.to_json(c, {"ignoreNullFields": "false"}).alias(field.name)
-            return F.array_join(c.cast("array<string>"), ",").alias(field.name)
+            return F.array_join(c.cast("array<string>"), ",", "NULL").alias(field.name)
         return c.cast("string").alias(field.name)
 
     return df.select(*[text(f) for f in df.schema.fields])

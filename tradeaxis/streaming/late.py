@@ -19,7 +19,7 @@ from tradeaxis.config import QUOTES_SOURCE
 from tradeaxis.operators.dedup import latest_by, upsert
 from tradeaxis.operators.journal import FAILED
 from tradeaxis.operators.store import exists
-from tradeaxis.session import discard, scratch_path
+from tradeaxis.session import discard
 
 BATCH = "batch_id"
 
@@ -59,29 +59,50 @@ def compact(
     arrival: Sequence[str],
     partition: str = "session_date",
 ) -> None:
-    """Folds the log over a table, partitioned by session and clustered by key, and empties the log.
+    """Folds the log over the sessions it touches, clustered by key, and empties the log.
 
-    May be run again at any time. The merged table is staged before it replaces the old one, and only the
-    batches that went into it leave the log; a batch replayed later overwrites its rows with the same.
+    The merged sessions are first written beside the table, whole, with the numbers of the batches that went into
+    them. Only then do they replace their partitions; after that the batches leave the log, and the copy goes
+    last. A run that is lost at any point is finished by the next one: a whole copy is put in place again, half
+    a copy is thrown away. Sessions the log does not name are neither read nor written.
     """
+    pending = f"{target}.pending"
+    if exists(spark, f"{pending}/batches/_SUCCESS"):
+        _put_in_place(spark, log, target, schema, partition)
+    discard(spark, pending)
     logged = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    done = [r[0] for r in spark.read.schema(logged).parquet(log).select(BATCH).distinct().collect()]
+    rows = spark.read.schema(logged).parquet(log)
+    done = [(r[0],) for r in rows.select(BATCH).distinct().collect()]  # a number per batch since the last compaction
+    if not done:
+        return
+    tail = read_upserts(spark, log, schema, keys, arrival)
+    merged = tail
+    if exists(spark, target):
+        days = [r[0] for r in rows.select(partition).distinct().collect()]  # the days that arrived, as literals for the scan
+        here = F.col(partition).isin([x for x in days if x is not None])
+        stored = spark.read.schema(schema).parquet(target)
+        touched = stored.filter(here | F.col(partition).isNull() if None in days else here)
+        merged = upsert(touched, tail.withColumn("_n", F.lit(1)), keys, ["_n"])
     others = [k for k in keys if k != partition]
-    copy = scratch_path(spark, "compact")
-    read_current(spark, log, target, schema, keys, arrival).write.parquet(copy)
-    (
-        spark.read.schema(schema)
-        .parquet(copy)
-        .hint("rebalance", partition)
-        .sortWithinPartitions(partition, *others)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy(partition)
-        .parquet(target)
-    )
-    for batch in done:
-        discard(spark, f"{log}/{BATCH}={batch}")
-    discard(spark, copy)
+    _by_session(merged, partition, others).write.partitionBy(partition).parquet(f"{pending}/rows")
+    spark.createDataFrame(done, f"{BATCH} long").write.parquet(f"{pending}/batches")
+    _put_in_place(spark, log, target, schema, partition)
+    discard(spark, pending)
+
+
+def _by_session(rows: DataFrame, partition: str, others: Sequence[str]) -> DataFrame:
+    return rows.hint("rebalance", partition).sortWithinPartitions(partition, *others)
+
+
+def _put_in_place(spark: SparkSession, log: str, target: str, schema: T.StructType, partition: str) -> None:
+    """The whole copy over its partitions of the table, then its batches out of the log; may be repeated."""
+    pending = f"{target}.pending"
+    rows = spark.read.schema(schema).parquet(f"{pending}/rows")
+    others = [f.name for f in schema.fields if f.name != partition][:1]
+    writer = _by_session(rows, partition, others).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(partition).parquet(target)
+    for row in spark.read.parquet(f"{pending}/batches").collect():
+        discard(spark, f"{log}/{BATCH}={row[0]}")
 
 
 def read_current(
