@@ -166,13 +166,13 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     given = docs.select(F.struct("*").alias("row"))  # columns of any name travel inside
     column = lambda name: F.col("row").getField(name)
     words = F.coalesce(F.regexp_count(column(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    given = given.select("row", column(id_col).alias("doc_id"), column(source_col).alias("source"), words.alias("size"), F.xxhash64(column(text_col)).alias("hash"))
+    given = given.select("row", column(id_col).alias("doc_id"), column(source_col).alias("source"), words.alias("size"))
     mixed = mix(docs, id_col, text_col, source_col, seed).filter(F.col("repeats") > 0)
     # equal (id, source, size) rows are interchangeable: the repeats of all of them are dealt out in turn
     per = mixed.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words")).agg(F.sum("repeats").alias("n"), F.count("*").alias("k"))
     found = given.join(per, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("words")))
     alone = found.filter("k = 1").withColumn("times", F.col("n"))
-    order = Window.partitionBy("id", "of", "words").orderBy("hash")
+    order = Window.partitionBy("id", "of", "words").orderBy(F.xxhash64(column(text_col)))
     many = found.filter("k > 1").withColumn("at", F.row_number().over(order))
     extra = F.when(F.col("at") <= F.col("n") % F.col("k"), 1).otherwise(0)
     many = many.withColumn("times", F.floor(F.col("n") / F.col("k")) + extra).filter("times > 0").drop("at")

@@ -202,14 +202,18 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
     """The model from a sample of labelled texts; ``prior`` is the share of toxic among all labels."""
     if not (toxic == 1).any() or not (toxic == 0).any():
         return Model()
-    keys, words, docs, signatures, counts = [], [], [], [], []
-    at = 0
+    # first pass: in which texts each evidence occurs; of a slice only distinct pairs are kept
+    keys, docs, signatures, counts = [], [], [], []
     for i, j, data, offsets, (starts, ends, n, hashes) in textops.word_slices(texts, textops.LETTERS):
-        row = np.repeat(np.arange(i, j), n)
+        row = np.repeat(np.arange(i, j, dtype=np.int32), n)
         for where, key in evidence(data, starts, ends, hashes):
-            keys.append(key)
-            words.append(where + at)
-            docs.append(row[where])
+            own = row[where]
+            order = np.lexsort((own, key))
+            key, own = key[order], own[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+            keys.append(key[new])
+            docs.append(own[new])
         runs, own = textops.shingles(hashes, n, 5)
         least = np.zeros(j - i, np.uint64)
         some = np.unique(own, return_index=True)
@@ -217,28 +221,39 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
             least[some[0]] = np.minimum.reduceat(textops.mix(runs), some[1])
         signatures.append(least)
         counts.append(n)
-        at += len(hashes)
-    key, word, doc = np.concatenate(keys), np.concatenate(words), np.concatenate(docs)
     counts = np.concatenate(counts)
     # of near copies, which share the least shingle, one tells
     voices = np.zeros(len(toxic), dtype=bool)
     voices[np.unique(np.concatenate(signatures), return_index=True)[1]] = True
-    names, code = np.unique(key, return_inverse=True)
-    pair = np.unique(code[voices[doc]].astype(np.int64) * len(toxic) + doc[voices[doc]])
-    seen, by = pair // len(toxic), toxic[pair % len(toxic)]
-    a = np.bincount(seen[by == 1], minlength=len(names)).astype(float)
-    b = np.bincount(seen[by == 0], minlength=len(names)).astype(float)
+    key, doc = np.concatenate(keys), np.concatenate(docs)
+    key, doc = key[voices[doc]], doc[voices[doc]]
+    del keys, docs
+    order = np.argsort(key, kind="stable")
+    key, by = key[order], toxic[doc[order]]
+    edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1])))
+    names = key[edge]
+    a = np.add.reduceat(by == 1, edge, dtype=float) if len(edge) else np.zeros(0)
+    b = np.add.reduceat(by == 0, edge, dtype=float) if len(edge) else np.zeros(0)
+    del key, doc, by, order
     n1, n0 = max(1, int((voices & (toxic == 1)).sum())), max(1, int((voices & (toxic == 0)).sum()))
     lift = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
     telling = (_ratio(a, b, n1, n0) >= 15.1) & (np.abs(lift) >= 1) & (a + b >= 3)
     strong = telling & (lift >= 2.5)
     used = np.flatnonzero(telling)
-    index = np.full(len(names), -1)
-    index[used] = np.arange(len(used))
-    kept = telling[code]
-    rows, feature = word[kept], index[code[kept]]
-    labels = np.zeros(at)
-    labels[word[strong[code] & (toxic[doc] == 1)]] = 1
+    # second pass: where the telling evidence is
+    lexicon, at, places, found = textops.Lexicon(names[used]), 0, [], []
+    labels = np.zeros(int(counts.sum()))
+    for i, j, data, offsets, (starts, ends, n, hashes) in textops.word_slices(texts, textops.LETTERS):
+        row = np.repeat(np.arange(i, j), n)
+        for where, key in evidence(data, starts, ends, hashes):
+            f = lexicon.find(key)
+            hit = np.flatnonzero(f >= 0)
+            places.append(where[hit] + at)
+            found.append(f[hit].astype(np.int64))
+            guilty = hit[strong[used[f[hit]]]]
+            labels[(where[guilty] + at)[toxic[row[where[guilty]]] == 1]] = 1
+        at += len(hashes)
+    rows, feature = np.concatenate(places), np.concatenate(found)
 
     block, place, _, lengths = blocks_of(counts)
     busy = np.unique(block[rows])
