@@ -170,6 +170,46 @@ def digest(hashes: DataFrame, header: str) -> DataFrame:
     return root.select(F.sha2(F.concat_ws("\n", F.lit(header), "hash"), 256).alias("digest"))
 
 
+def store_tree(hashes: DataFrame, path: str) -> None:
+    """Keeps the nodes of the digest's tree below ``path``: series and leaves by branch, and the branches."""
+    line = F.concat_ws("=", F.concat_ws("/", "part", "key"), "hash")
+    node = F.substring(F.sha2(F.concat_ws("/", "part", "key"), 256), 1, 4)
+    series = hashes.select("part", "key", "hash", node.alias("node"), F.substring(node, 1, 2).alias("branch"))
+    series.hint("rebalance", "branch").write.partitionBy("branch").parquet(f"{path}/series")
+    kept = hashes.sparkSession.read.schema(_SERIES).parquet(f"{path}/series")
+    leaves = _fold(kept.select("branch", "node", line.alias("line")), ["branch", "node"])
+    leaves.write.partitionBy("branch").parquet(f"{path}/leaves")
+    kept = hashes.sparkSession.read.schema(_LEAVES).parquet(f"{path}/leaves")
+    _fold(kept.select("branch", F.concat_ws("=", "node", "hash").alias("line")), ["branch"]).coalesce(1).write.parquet(f"{path}/branches")
+
+
+_SERIES = "part string, key string, hash string, node string, branch string"
+_LEAVES = "node string, hash string, branch string"
+
+
+def changed_series(spark: SparkSession, before: str, after: str) -> DataFrame:
+    """``(part, key, change)``: the series that differ between two kept trees: added, removed or changed.
+
+    Branches are compared first, then the leaves of those that differ, then the series of the leaves that
+    differ; what is equal is not read. At most 256 branch names are listed.
+    """
+
+    def differing(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+        left = a.select(*keys, F.col("hash").alias("was"))
+        right = b.select(*keys, F.col("hash").alias("now"))
+        return left.join(right, list(keys), "full").filter(~F.col("was").eqNullSafe(F.col("now")))
+
+    def read(name: str, schema: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(spark.read.schema(schema).parquet(f"{path}/{name}") for path in (before, after))
+
+    names = [r.branch for r in differing(*read("branches", "branch string, hash string"), ["branch"]).select("branch").collect()]
+    here = F.col("branch").isin(names)
+    nodes = differing(*[x.filter(here) for x in read("leaves", _LEAVES)], ["branch", "node"]).select("branch", "node")
+    series = [x.filter(here).join(nodes, ["branch", "node"], "left_semi") for x in read("series", _SERIES)]
+    change = F.when(F.col("was").isNull(), F.lit("added")).when(F.col("now").isNull(), F.lit("removed")).otherwise(F.lit("changed"))
+    return differing(*series, ["part", "key"]).select("part", "key", change.alias("change"))
+
+
 def _fold(df: DataFrame, by: Sequence[str]) -> DataFrame:
     body = F.array_join(F.array_sort(F.collect_list("line")), "\n")
     return df.groupBy(*by).agg(F.sha2(body, 256).alias("hash"))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tradeaxis.config import GROUPS, Settings
 from tradeaxis.operators import calendar as cal
 from tradeaxis.operators import completeness as comp
+from tradeaxis.operators import maintained as mt
 from tradeaxis.plans.q_store import sql_window
 from tradeaxis.plans.registry import ASOF, register
 from tradeaxis.schema import POSITION_VALUES
+from tradeaxis.session import scratch_path
 from tradeaxis.views import Views
 
 SETTINGS = Settings()
@@ -332,3 +334,43 @@ def catchup_plan(v: Views) -> DataFrame:
     groups = [BY_ID["quotes"], BY_ID["aggregates"]]
     missing, _, _ = _gaps(v)
     return comp.catchup_plan(missing, groups, dt.date(2001, 1, 1), dt.date(2001, 6, 30))
+
+
+_CUBE_SQL = """with r as (select sector, strftime(session_date, '%Y-%m') as month, asset_id, close from v_bar left join v_sector using (asset_id)),
+      c as (select case when grouping(sector) = 0 and grouping(month) = 0 then 'sector+month' when grouping(sector) = 0 then 'sector'
+          when grouping(month) = 0 then 'month' else '' end as level, sector, month, count(*) as rows_total, count(close) as rows_with_values, count(distinct asset_id) as assets
+        from r group by cube (sector, month))
+      select *, true as estimate_within from c"""
+
+
+@register("e08_coverage_rollup", _CUBE_SQL)
+def coverage_rollup(v: Views) -> DataFrame:
+    """Quotes by sector and month, each alone, and in all; two halves of the months are rolled up apart and united."""
+    rows = v.bar.join(v.sector, "asset_id", "left").withColumn("month", F.date_format("session_date", "yyyy-MM")).select("sector", "month", "asset_id", "close")
+    by = ["sector", "month"]
+    odd = F.substring("month", 7, 1).cast("int") % 2 == 1
+    base = mt.rollup_base(rows.filter(odd), by, ["close"]).unionByName(mt.rollup_base(rows.filter(~odd), by, ["close"]))
+    about, exact = mt.rolled_up(base, by), mt.exact_assets(rows, by).withColumnsRenamed({"sector": "s", "month": "m", "level": "l"})
+    same = (F.col("level") == F.col("l")) & F.col("sector").eqNullSafe(F.col("s")) & F.col("month").eqNullSafe(F.col("m"))
+    within = F.abs(F.col("assets_about") - F.col("assets")) <= F.greatest(F.lit(1.0), F.col("assets") * mt.SKETCH_ERROR)
+    return about.join(exact, same).select("level", *by, "rows_total", "rows_with_values", "assets", within.alias("estimate_within"))
+
+
+@register(
+    "e08_coverage_maintained",
+    f"""with b as (select session_date, case when {{late}} then null else close end as close from v_bar where session_date in {sql_window()})
+      select 'quotes' as group_id, (select count(*) from {sql_window()} w) as window_sessions, count(distinct session_date) as sessions_covered, min(session_date) as period_from,
+        max(session_date) as period_till, count(*) as rows_total, count(close) as rows_with_values,
+        (select count(*) from {sql_window()} w) - count(distinct session_date) as gaps,
+        cast(round_even(count(distinct session_date) / cast((select count(*) from {sql_window()} w) as double), 4) as decimal(18,4)) as coverage_ratio from b""".replace("{late}", "dayofmonth(session_date) <= 3"),
+)
+def coverage_maintained(v: Views) -> DataFrame:
+    """All quotes are merged and counted; then the first days of each month come again without closes."""
+    root = scratch_path(v.spark, "kept")
+    group = next(g for g in GROUPS if g.group_id == "quotes")
+    bars = v.bar.withColumn("_seq", F.lit(1))
+    mt.merge_counted(v.spark, root, group, bars, ["_seq"], "month")
+    again = bars.filter(F.dayofmonth("session_date") <= 3).withColumn("close", F.lit(None).cast("decimal(28,9)"))
+    mt.merge_counted(v.spark, root, group, again, ["_seq"], "month")
+    window = cal.window(v.session, ASOF, Settings().price_window)
+    return mt.coverage_from_counts(mt.kept_counts(v.spark, root), group, window)

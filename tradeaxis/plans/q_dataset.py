@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -308,3 +310,34 @@ def input_stale(v: Views) -> DataFrame:
 @register("h11_input_staleness", _STALE_SQL)
 def input_staleness(v: Views) -> DataFrame:
     return input_stale(v)
+
+
+_DIFF_DAY = dt.date(1996, 6, 28)
+_DIFF_WINDOW = sql_window(DEPTH, _DIFF_DAY)
+_DIFF_SQL = " union all ".join(
+    f"""select '{part}' as part, asset_id || '|' || price_series_id as key, case when bool_and({_LATE_SQL}) then 'added' else 'changed' end as change
+      from {table} where session_date in {_DIFF_WINDOW} group by asset_id, price_series_id having bool_or({_LATE_SQL})"""
+    for part, table in (("prices", "v_bar"), ("aggregates", "v_aggregate"))
+)
+
+
+@register("j08_changed_series", _DIFF_SQL)
+def changed_series(v: Views) -> DataFrame:
+    """What the late rows of March 1996 changed in the dataset of June: only differing branches are read."""
+    windows = ds.windows_of(v.session, _DIFF_DAY, SETTINGS)
+
+    def tree(bars: DataFrame, aggregates: DataFrame) -> str:
+        parts = {
+            "prices": ds.prices(bars, windows["prices"]),
+            "aggregates": ds.aggregates(aggregates, windows["aggregates"]),
+            "global": ds.global_series(v.global_series, windows["global"]),
+            "positions": ds.positions(v.position, windows["positions"]),
+            "sectors": v.sector.select("asset_id", "sector"),
+        }
+        path = scratch_path(v.spark, "tree")
+        ds.store_tree(ds.series_hashes(parts), path)
+        return path
+
+    early = ~F.expr(_LATE_SQL)
+    before = tree(v.bar.filter(early), v.aggregate.filter(early))
+    return ds.changed_series(v.spark, before, tree(v.bar, v.aggregate))
