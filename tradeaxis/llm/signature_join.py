@@ -328,12 +328,17 @@ def _candidates(cell: pa.Table) -> pa.Table:
         across = side[row[a]] != side[row[b]]
         a, b = a[across], b[across]
     tree = np.searchsorted(edge, a, "right") - 1
+    # near copies meet in many trees of a task: a pair belongs to the first
+    order = np.argsort(tree, kind="stable")
+    a, b, tree = a[order], b[order], tree[order]
+    code = np.minimum(row[a], row[b]) * len(v) + np.maximum(row[a], row[b])
+    own = np.sort(np.unique(code, return_index=True)[1])
+    a, b, tree, code = a[own], b[own], tree[own], code[own]
     dense = np.bincount(tree, minlength=len(edge)) > DENSE * count
-    x, y = row[a[~dense[tree]]], row[b[~dense[tree]]]
-    pairs = np.unique(np.minimum(x, y) * len(v) + np.maximum(x, y))
+    pairs = code[~dense[tree]]
     x, y = v[pairs // max(1, len(v))], v[pairs % max(1, len(v))]
     hot = np.flatnonzero(np.repeat(dense, count))
-    # only sets that are in a candidate pair
+    # only sets that are in a pair of that cell
     hot = hot[np.isin(hot, np.concatenate((a, b)))]
     sets = len(hot)
     none = [None] * len(x)
