@@ -47,12 +47,39 @@ def test_clean_keeps_columns_and_only_clean_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
 
 
-def test_blocks_of_the_benchmark_add_up(spark, monkeypatch):
+def _beyond(monkeypatch):
+    """A bound that the small benchmark exceeds, and shards of a few documents."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 300)
+
+
+def test_benchmark_beyond_the_bound_gives_the_same(spark, monkeypatch):
     docs, items = _frames(spark)
-    one = sorted(map(str, decontaminate.hits(docs, items).drop("matches").collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
-    assert len(decontaminate.test_blocks(items)) > 1
-    assert sorted(map(str, decontaminate.hits(docs, items).drop("matches").collect())) == one
+    told = lambda: sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r.longest, sorted(r["items"]), sorted(map(str, r.matches))) for r in decontaminate.hits(docs, items).collect())
+    one, kept = told(), sorted(map(str, decontaminate.clean(docs, items).collect()))
+    _beyond(monkeypatch)
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *a: pytest.fail("broadcast beyond the bound"))
+    again = told()
+    cleaned = sorted(map(str, decontaminate.clean(docs, items).collect()))
+    none = decontaminate.hits(docs.limit(0), items).count()
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    assert again == one and cleaned == kept and none == 0
+
+
+@pytest.mark.parametrize("beyond", [False, True])
+def test_ids_of_text_and_columns_of_any_name(spark, monkeypatch, beyond):
+    if beyond:
+        _beyond(monkeypatch)
+    kind = "doc_id long, body string, `a.b` string, shard int, part int, record map<string,int>, item string"
+    rows = [(1, "zero " + ITEM, "x", 1, 2, {"k": 1}, None), (2, "clean words", "y", None, None, None, "i"), (3, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, kind)
+    items = spark.createDataFrame([("mmlu/7", ITEM), ("a", "six seven"), (None, "one two"), ("mmlu/7", "eleven twelve")], "name string, words string")
+    more = {"text_col": "body", "bench_id": "name", "bench_text": "words"}
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.hits(docs, items, **more).collect()}
+    assert {k: (n, sorted(i)) for k, (n, i) in got.items()} == {1: (12, ["a", "mmlu/7"]), 2: (0, []), 3: (0, [])}
+    kept = decontaminate.clean(docs, items, **more)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == rows[1:]
 
 
 def test_empty_tables(spark):
