@@ -105,6 +105,15 @@ def url_parts(url):
     return host.translate(_LOWER), re.match(r"[^?#]*", rest[len(host) :])[0]
 
 
+def whole_url(url):
+    url = url or ""
+    if "://" not in url:
+        return url
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return host.translate(_LOWER) + rest[len(host) :]
+
+
 def witten_bell(good, bad, order, symbols):
     """Per-character log-likelihood difference under two models counted from texts."""
 

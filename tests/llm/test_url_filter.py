@@ -33,9 +33,9 @@ def test_parts_and_rules(spark):
 
 def test_scores_equal_plain_models(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url")
-    pages = pages.union(spark.createDataFrame([(-1, None), (-2, None), (-3, "odd")], "page_id long, url string"))
+    pages = pages.union(spark.createDataFrame([(-1, None), (-2, None), (-3, "odd"), (-4, "x://H.Co?Q=1#F"), (-5, "x://h.co")], "page_id long, url string"))
     rows = url_filter.judged(pages).collect()
-    text = {r.page_id: r.host + r.path for r in rows}
+    text = {r.page_id: plain.whole_url(r.url) for r in pages.collect()}
     from pyspark.sql import functions as F
 
     held = {r.t for r in spark.createDataFrame([(t,) for t in set(text.values())], "t string").filter(F.pmod(F.xxhash64("t"), F.lit(url_filter.FOLDS)) == 0).collect()}
@@ -47,6 +47,8 @@ def test_scores_equal_plain_models(spark):
         if r.rule is None:
             assert r.score == pytest.approx(score(text[r.page_id]), abs=1e-6)
             limits.append((r.score, r.verdict))
+    judged = {r.page_id: r.score for r in rows}
+    assert judged[-4] != judged[-5] and text[-4] == "h.co?Q=1#F" and text[-3] == "odd"
     kept = [s for s, v in limits if v == "allow"]
     dropped = [s for s, v in limits if v == "block"]
     assert not kept or not dropped or min(kept) > max(dropped)

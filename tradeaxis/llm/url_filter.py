@@ -11,8 +11,9 @@ classes' accuracies is chosen. Counts cover all URLs of the input and stay distr
 are folded before they are shuffled, every order is a group of suffixes of the next longer one, and its
 probabilities are joined to the next order. The models never reach the driver, whatever their size.
 
-Host and path as in ``parts``. Defined results: a null URL, or one without ``://``, has empty host and path, is
-covered by no rule and is judged as the empty string. Equal URLs are scored once. Without covered URLs of both
+Host and path as in ``parts``; rules see no more than these. The models read the whole URL behind ``://`` (host
+lower-cased, path, query and fragment), or all of it where there is none. Defined results: a null URL, or one without
+``://``, has empty host and path and is covered by no rule; a null one is judged as the empty string. Equal URLs are scored once. Without covered URLs of both
 kinds the threshold is 0 and every URL not covered is accepted. An empty table gives an empty result.
 """
 
@@ -42,6 +43,15 @@ def parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def whole(url: Column) -> Column:
+    """What the models read: all behind ``://`` with the host's A-Z lower-cased, or the URL as it is."""
+    text = F.coalesce(url.cast("string"), F.lit(""))
+    at = F.instr(text, "://")
+    rest = F.substring(text, at + 3, F.length(text))
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    return F.when(at > 0, F.concat(F.translate(host, UPPER, LOWER), F.substring(rest, F.length(host) + 1, F.length(rest)))).otherwise(text)
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that covers host and path, and its verdict; null if there is none."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -85,9 +95,9 @@ def ratios(texts: DataFrame, order: int = ORDER) -> DataFrame:
 def judged(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id, host, path, rule, verdict, score (per character; null where a rule decides)."""
     host, path = parts(F.col(url_col))
-    split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), whole(F.col(url_col)).alias("text"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    rows = split.withColumns({"rule": rule, "says": says, "text": F.concat("host", "path")})
+    rows = split.withColumns({"rule": rule, "says": says})
     texts = rows.groupBy("text").agg(F.count(F.when(F.col("says") == "allow", 1)).alias("allow"), F.count(F.when(F.col("says") == "block", 1)).alias("block"))
     held = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
     texts = staged(texts.withColumns({"good": F.when(held, 0).otherwise(F.col("allow")), "bad": F.when(held, 0).otherwise(F.col("block")), "held": held}), "texts")
