@@ -10,7 +10,7 @@ Document labels are all there is, so the words of the fitting sample are labelle
 in a toxic document a word is toxic if it, or one of its beginnings, occurs almost only in toxic documents
 (likelihood-ratio test over documents, near copies counted once); in a clean document no word is.
 
-Fitting uses at most ``SAMPLE`` labelled rows of each class, taken by hash of their id and no longer than
+Fitting uses at most ``SAMPLE`` labelled rows of each class, taken by hash of their id from those no longer than
 ``LONGEST`` bytes; telling words are counted in all of it, the field is fitted on at most ``BUSY`` blocks
 with a telling word and ``IDLE`` without, drawn at random. Scoring reads every whole text; a chain is a block of ``BLOCK`` consecutive words, so
 memory does not follow the longest text. Nothing is shuffled but the sample.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradeaxis.llm import textops
+from tradeaxis.session import staged
 
 SAMPLE = 2500
 LONGEST = 200_000
@@ -323,6 +324,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model()
+    # the sample is drawn among rows that may be in it, so long ones do not shrink it
+    fits = docs.filter(F.octet_length(F.col(text_col).cast("string")) <= LONGEST).select(F.col(id_col).alias("doc_id"))
+    known = staged(known.join(fits, "doc_id", "left_semi"), "labelled")
     order = F.xxhash64("doc_id")
     parts = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "id")
