@@ -30,7 +30,7 @@ OVERHEAD = 16
 SEED = 9
 #: Buckets whose permutations one partition draws, and buckets that one writing task holds on average.
 DRAWN = 256
-PER_TASK = 4
+PER_TASK = 1
 #: Beyond this many tasks each takes more buckets; sorting them spills.
 MOST_TASKS = 20_000
 
