@@ -243,6 +243,40 @@ def test_snapshot_keeps_the_broker_order(spark, tmp_path):
     assert rows(spark.read.parquet(path), "account_id", "sort_order", "ticker") == kept
 
 
+def test_a_lost_snapshot_write_is_finished_or_thrown_away(spark, tmp_path, monkeypatch):
+    names = [f"acc{i}" for i in range(12)]
+    who = spark.createDataFrame([(n, 1) for n in names], "account_id STRING, cash INT")
+    kind = "account_id STRING, positions ARRAY<STRUCT<ticker: STRING>>"
+    first = pf.stored_snapshot(who, spark.createDataFrame([(n, [("A",)]) for n in names], kind))
+    change = pf.stored_snapshot(who.filter("account_id = 'acc7'"), spark.createDataFrame([("acc7", [("N",)])], kind))
+    path, put = str(tmp_path / "s"), pf._put_in_place
+    seen = lambda: rows(pf.read_snapshot(spark, path, first.schema), "account_id", "ticker")
+    old = sorted((n, "A") for n in names)
+    new = sorted((n, "N" if n == "acc7" else "A") for n in names)
+    assert seen() == []
+    pf.write_snapshot(first, path, buckets=3)
+    assert seen() == old
+
+    def lost(whole, target):
+        for bucket in {r.bucket for r in whole.select("bucket").distinct().collect()}:  # deleted, not yet written
+            pf.discard(spark, f"{target}/bucket={bucket}")
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(pf, "_put_in_place", lost)
+    try:
+        pf.write_snapshot(change, path, buckets=99)
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(pf, "_put_in_place", put)
+    assert seen() == new
+    pf.write_snapshot(first.filter("account_id = 'acc1'"), path)
+    assert seen() == new and rows(spark.read.parquet(path), "account_id", "ticker") == new
+    # half a copy, without its mark, is thrown away
+    (tmp_path / "s.pending" / "bucket=0").mkdir(parents=True)
+    pf.write_snapshot(first, path)
+    assert seen() == old and not (tmp_path / "s.pending").exists()
+
+
 def test_one_account_is_replaced_and_no_other_lost(spark, tmp_path):
     names = [f"acc{i}" for i in range(40)]
     who = spark.createDataFrame([(n, 1) for n in names], "account_id STRING, cash INT")

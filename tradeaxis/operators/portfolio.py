@@ -6,15 +6,16 @@ from collections.abc import Sequence
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeaxis.functions import money
 from tradeaxis.operators.journal import failure_streaks
 from tradeaxis.operators.ranking import rules
 from tradeaxis.operators.store import exists
 from tradeaxis.schema import PRICE
-from tradeaxis.session import staged
+from tradeaxis.session import discard
 
 # Reconciliation tolerances and the broker status of each failure reason.
 ABSOLUTE_TOLERANCE = "1"
@@ -209,22 +210,53 @@ def stored_snapshot(accounts: DataFrame, listed: DataFrame) -> DataFrame:
 def write_snapshot(rows: DataFrame, path: str, buckets: int = 256) -> None:
     """Replaces the snapshots of the accounts in ``rows``, each as a whole; the others stay.
 
-    Accounts are spread over hash partitions. The touched ones are read, their other accounts kept, and
-    both staged in the shared folder before the partitions are overwritten. ``buckets`` must be the same
-    for every write of a path.
+    Accounts are spread over hash partitions, as many as the first write of a path says. The touched ones
+    are read, their other accounts kept, and both written beside the table, whole, before they replace their
+    partitions. A write that is lost at any point is finished by the next one: a whole copy is put in place
+    again, half a copy is thrown away. ``read_snapshot`` sees a whole copy as if it were in place.
     """
     spark = rows.sparkSession
+    pending, spread_over = f"{path}.pending", f"{path}.buckets"
+    if exists(spark, f"{spread_over}/_SUCCESS"):
+        buckets = spark.read.parquet(spread_over).first()[0]
+    else:
+        spark.createDataFrame([(buckets,)], "n int").write.mode("overwrite").parquet(spread_over)
     spread = rows.withColumn("bucket", F.pmod(F.xxhash64("account_id"), F.lit(buckets)).cast("int"))
+    if exists(spark, f"{pending}/_SUCCESS"):
+        _put_in_place(spark.read.schema(spread.schema).parquet(pending), path)
+    discard(spark, pending)
     if exists(spark, path):
         touched = [r[0] for r in spread.select("bucket").distinct().collect()]  # at most ``buckets``
         stored = spark.read.schema(spread.schema).parquet(path).filter(F.col("bucket").isin(touched))
         others = stored.join(rows.select("account_id").distinct(), "account_id", "left_anti")
-        spread = staged(others.select(*spread.columns).unionByName(spread), "snapshot")
-    (
-        spread.hint("rebalance", "bucket")
-        .sortWithinPartitions("bucket", "account_id", "sort_order")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+        spread = others.select(*spread.columns).unionByName(spread)
+    _by_bucket(spread).write.partitionBy("bucket").parquet(pending)
+    _put_in_place(spark.read.schema(spread.schema).parquet(pending), path)
+    discard(spark, pending)
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "account_id", "sort_order")
+
+
+def _put_in_place(whole: DataFrame, path: str) -> None:
+    """The whole copy over its partitions of the table; may be repeated."""
+    writer = _by_bucket(whole).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket").parquet(path)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The stored snapshots in the columns of ``schema``; a write that was lost on its last step counts as done."""
+    kept = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    pending = f"{path}.pending"
+    whole = exists(spark, f"{pending}/_SUCCESS")
+    frames = []
+    if exists(spark, path):
+        stored = spark.read.schema(kept).parquet(path)
+        if whole:
+            touched = [r[0] for r in spark.read.schema(kept).parquet(pending).select("bucket").distinct().collect()]
+            stored = stored.filter(~F.col("bucket").isin(touched))
+        frames.append(stored)
+    if whole:
+        frames.append(spark.read.schema(kept).parquet(pending))
+    return reduce(DataFrame.unionByName, frames or [spark.createDataFrame([], kept)]).drop("bucket")

@@ -230,8 +230,8 @@ def account_snapshot(v: Views) -> DataFrame:
     rows = pf.stored_snapshot(v.account, listed)
     path = scratch_path(v.spark, "snapshot")
     pf.write_snapshot(rows, path, buckets=8)
-    pf.write_snapshot(rows.filter(F.pmod(F.xxhash64("account_id"), F.lit(8)) == 3), path, buckets=8)
-    return v.spark.read.parquet(path).drop("bucket")
+    pf.write_snapshot(rows.filter(F.pmod(F.xxhash64("account_id"), F.lit(8)) == 3), path)
+    return pf.read_snapshot(v.spark, path, rows.schema)
 
 
 _HELD_SQL = f"""select account_id, cash, cast(k as int) as sort_order, {"concat('S', lpad(cast(1 + (account_id + k) % 100 as varchar), 9, '0'))"} as ticker,
@@ -264,8 +264,9 @@ def one_account_replaced(v: Views) -> DataFrame:
         "positions", F.when(F.col("account_id") == 7, new).otherwise(F.slice("positions", 1, 0))
     )
     some = v.account.filter("account_id in (7, 8)")
-    pf.write_snapshot(pf.stored_snapshot(some, changed), path, buckets=8)
-    return v.spark.read.parquet(path).drop("bucket")
+    replaced = pf.stored_snapshot(some, changed)
+    pf.write_snapshot(replaced, path)
+    return pf.read_snapshot(v.spark, path, replaced.schema)
 
 
 _SYNC_SQL = """select event_id as id, user_id as account_id, ts as attempted_at, case when event_type = 'error' then 'failed' else 'ok' end as status,
