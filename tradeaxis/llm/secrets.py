@@ -119,6 +119,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return based.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
+def counted(spans: Column | str, kind: int) -> Column:
+    """How many spans are of a kind."""
+    # one parameter only: Spark gives a second one the place in the array, a default would not hold
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: Column | str) -> Column:
     """Spans as text: ``kind:start:end``, joined by commas."""
     names = F.array(*map(F.lit, KINDS))
