@@ -37,6 +37,16 @@ def test_a_deep_page_reads_the_ranges_it_lies_in(spark):
     assert page.columns == frame.columns
 
 
+def test_the_number_of_ranges_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(pages, "RANGES", 8)
+    held = pages.arrange(spark.range(5000), [F.desc("id")], rows=100)
+    assert 4 <= held.starts.count() <= 8
+    for offset in (0, 2499, 4995):
+        assert [r.id for r in held.page(offset, 10)[0].collect()] == list(range(4999 - offset, max(4989 - offset, -1), -1))
+    monkeypatch.setattr(pages, "ROWS", 250)
+    assert pages.arrange(spark.range(5000), [F.desc("id")], rows=100).starts.count() > 8
+
+
 def test_pages_of_nothing(spark):
     held = pages.arrange(spark.range(0), [F.asc("id")])
     assert held.at(0) is None and held.page(0, 5)[0].count() == 0

@@ -22,6 +22,8 @@ from tradeaxis.session import scratch_path, staged
 PART = "_range"
 #: Rows of a range, about.
 ROWS = 1_000_000
+#: Ranges of a list whose ranges stay below ``ROWS``: each costs the driver a sample, a task and a folder.
+RANGES = 512
 
 
 @dataclass(frozen=True)
@@ -64,10 +66,14 @@ class Arranged:
 
 
 def arrange(df: DataFrame, order: Sequence[Column], rows: int = ROWS, purpose: str = "pages") -> Arranged:
-    """Cuts a list into ranges of about ``rows`` rows in the shared folder."""
+    """Cuts a list into ranges of about ``rows`` rows in the shared folder.
+
+    A list that would have more than ``RANGES`` of them gets longer ones, up to ``ROWS``.
+    """
     spark = df.sparkSession
     source = staged(df, purpose)
-    parts = max(1, -(-source.count() // rows))
+    n = source.count()
+    parts = max(1, min(-(-n // rows), max(RANGES, -(-n // ROWS))))
     path = scratch_path(spark, purpose)
     cut = source.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id())
     cut.write.partitionBy(PART).parquet(path)
