@@ -1,11 +1,15 @@
 """One routed pass over all sources, catch-up over the same routes, and history that is resumed."""
 
+from dataclasses import replace
+from pathlib import Path
+
 from conftest import d, dec, rows
 from pyspark.sql import functions as F
 from test_completeness import sessions
 from test_jobs import DAYS, landed
 
 from tradeaxis.operators import ingest, store
+from tradeaxis.session import shared_folder
 from tradeaxis.sources import equity
 
 QUOTE = "SECID string, CLOSE string, n int, OPEN string, HIGH string, LOW string, VOLUME string"
@@ -40,6 +44,29 @@ def _journal(frame):
     return rows(frame, "source_id", "session_date", "status", "rows_written", "failure_reason")
 
 
+def test_nothing_of_a_run_stays_in_the_shared_folder_but_its_journal(spark, tmp_path):
+    shared = Path(shared_folder(spark))
+    before = set(shared.iterdir())
+    first = _landed(spark, [("SBER", DAYS[0], "1", 1), ("SBER", DAYS[0], "2", 2)], [(DAYS[0], 80)])
+    routes = [replace(r, folded=r.source_id == "equity_d1") for r in _routes()]
+    log = ingest.ingest_all(spark, str(tmp_path), first, routes, sessions(spark, DAYS), "r1")
+    made = {p.name.split("-")[0] for p in set(shared.iterdir()) - before}
+    assert not made & {"landed", "ingest", "merge"}
+    assert ("equity_d1", d(DAYS[0]), "ok", 1, None) in _journal(log)
+    assert ("futures_positions", d(DAYS[0]), "failed", 0, "site is down") in _journal(log)
+    assert rows(store.read_table(spark, f"{tmp_path}/bar"), "asset_id", "close") == [("EQ_AST_SBER", dec(1))]
+
+
+def test_landing_neither_shuffles_nor_changes_the_session(spark, tmp_path):
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(name)
+    many = spark.range(40).repartition(5).selectExpr("concat('s', id % 3) as source_id", "date '2026-01-05' as session_date", "cast(id as string) as record")
+    path = ingest.by_source(many)
+    assert spark.conf.get(name) == was
+    assert len(list(Path(path).glob("source_id=s0/*.parquet"))) > 1  # as the tasks had it
+    assert rows(spark.read.parquet(path), "source_id", "session_date", "record") == rows(many)
+
+
 def test_all_sources_in_one_pass(spark, tmp_path):
     root, calendar = str(tmp_path), sessions(spark, DAYS)
     first = _landed(spark, [("SBER", DAYS[0], "1", 1), ("SBER", "2026-08-29", "3", 3)], [(DAYS[0], 80)], [("SBER", 10), ("GAZP", 100)])

@@ -162,3 +162,16 @@ def test_data_gap(spark):
     bars = sessions(spark, WEEK[:3])
     assert cal.data_gap(sessions(spark), bars, dt.date(2026, 9, 5)).first().gap_sessions == 2
     assert cal.data_gap(sessions(spark), bars.limit(0), dt.date(2026, 9, 5)).first().gap_sessions == 0
+
+
+def test_folded_rows_replace_stored_ones_as_a_fold_does(spark, tmp_path):
+    keys = ["series_id", "session_date"]
+    first = [("A", "2024-05-16", 1, 0), ("B", "2024-05-16", 2, 0), (None, "2024-05-16", 3, 0), ("A", "2024-05-17", 4, 0)]
+    late = [("A", "2024-05-16", None, 0), (None, "2024-05-16", 5, 0), ("C", "2024-05-16", 6, 0), ("C", "2024-05-18", 7, 0)]
+    found = []
+    for folded in (True, False):
+        path = f"{tmp_path}/{folded}"
+        store.merge_into(spark, path, series(spark, first), keys, ["n"], folded=folded)
+        store.merge_into(spark, path, series(spark, late), keys, ["n"], folded=folded)
+        found.append(rows(store.read_table(spark, path), "series_id", "session_date", "value"))
+    assert found[0] == found[1] and len(found[0]) == 6
