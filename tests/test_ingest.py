@@ -9,7 +9,7 @@ from test_completeness import sessions
 from test_jobs import DAYS, landed
 
 from tradeaxis.operators import ingest, store
-from tradeaxis.session import shared_folder
+from tradeaxis.session import shared_folder, staged_at
 from tradeaxis.sources import equity
 
 QUOTE = "SECID string, CLOSE string, n int, OPEN string, HIGH string, LOW string, VOLUME string"
@@ -131,3 +131,43 @@ def test_history_is_resumed_where_it_was_lost(spark, tmp_path, monkeypatch):
         ("EQ_AST_GAZP", d(DAYS[1]), dec(3)),
         ("EQ_AST_SBER", d(DAYS[0]), dec(1)),
     ]
+
+
+def test_an_answer_that_serves_two_sources_lands_once(spark, tmp_path):
+    root, calendar = str(tmp_path), sessions(spark, DAYS)
+    fields = "SECID string, VALUE string, NUMTRADES string, WAPRICE string, n int"
+    routes = [
+        ingest.Route("equity_d1", "bar", QUOTE, lambda r: equity.bars(r, ["n"]), folded=True),
+        ingest.Route("equity_agg", "aggregate", fields, lambda r: equity.aggregates(r, ["n"]), folded=True, reads="equity_d1"),
+    ]
+    quotes = landed(spark, [("SBER", DAYS[0], "1", 1), ("SBER", DAYS[1], "2", 2)]).withColumn("VALUE", F.lit("7"))
+    down = spark.createDataFrame([("equity_d1", d(DAYS[1]), "timeout")], "source_id STRING, session_date DATE, reason STRING")
+    log = ingest.ingest_all(spark, root, ingest.landed("equity_d1", quotes), routes, calendar, "r1", unreachable=down)
+    assert _journal(log) == [
+        ("equity_agg", d(DAYS[0]), "ok", 1, None),
+        ("equity_agg", d(DAYS[1]), "ok", 1, None),
+        ("equity_d1", d(DAYS[0]), "ok", 1, None),
+        ("equity_d1", d(DAYS[1]), "failed", 0, "timeout"),
+    ]
+    assert rows(store.read_table(spark, f"{root}/aggregate"), "session_date", "value") == [(d(DAYS[0]), dec(7)), (d(DAYS[1]), dec(7))]
+    assert rows(store.read_table(spark, f"{root}/bar"), "session_date", "close") == [(d(DAYS[0]), dec(1))]
+
+
+def test_a_new_table_is_written_without_a_copy_beside_it(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(store, "staged_at", lambda df, path: made.append(path) or staged_at(df, path))
+    root = str(tmp_path)
+
+    def put(*data):
+        bars = equity.bars(landed(spark, list(data)), ["n"])
+        return store.put(spark, root, "bar", bars, store.KEYS["bar"], "month", "session_date", True, f"{root}/copy{len(made)}")
+
+    first = put(("SBER", DAYS[0], "1", 1), ("SBER", DAYS[0], "2", 2), ("GAZP", DAYS[0], "", 3))
+    want = rows(equity.bars(landed(spark, [("SBER", DAYS[0], "1", 1), ("GAZP", DAYS[0], "", 3)]), ["n"]))
+    assert made == [] and first.columns == list(equity.bars(landed(spark, []), ["n"]).columns)
+    assert rows(first) == want  # with the fingerprint, which is made where the rows are written
+    put(("SBER", DAYS[0], "5", 1))
+    assert len(made) == 1
+    assert rows(store.read_table(spark, f"{root}/bar"), "asset_id", "close") == [("EQ_AST_GAZP", None), ("EQ_AST_SBER", dec(5))]
+    nothing = store.put(spark, f"{root}/none", "bar", equity.bars(landed(spark, []), ["n"]), store.KEYS["bar"], "month", "session_date", True, f"{root}/x")
+    assert nothing.count() == 0
