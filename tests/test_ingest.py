@@ -171,3 +171,31 @@ def test_a_new_table_is_written_without_a_copy_beside_it(spark, tmp_path, monkey
     assert rows(store.read_table(spark, f"{root}/bar"), "asset_id", "close") == [("EQ_AST_GAZP", None), ("EQ_AST_SBER", dec(5))]
     nothing = store.put(spark, f"{root}/none", "bar", equity.bars(landed(spark, []), ["n"]), store.KEYS["bar"], "month", "session_date", True, f"{root}/x")
     assert nothing.count() == 0
+
+
+def test_sources_land_one_after_the_other_and_leave_no_shuffle(spark, tmp_path, monkeypatch):
+    shared, calendar = Path(shared_folder(spark)), sessions(spark, DAYS)
+    before, held, files = set(shared.iterdir()), [], []
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    was = {p.name for p in local.rglob("shuffle_*.data")}
+
+    def looked(source_id, made):
+        def run(rows):
+            held.append((source_id, sorted(p.name for f in set(shared.iterdir()) - before if f.name.startswith("landed") for p in f.glob("source_id=*"))))
+            files.append([p.name for p in local.rglob("shuffle_*.data") if p.name not in was])
+            return made(rows)
+
+        return run
+
+    whole = _landed(spark, [("SBER", DAYS[0], "1", 1), ("SBER", DAYS[0], "2", 2)], [(DAYS[0], 80)], [("SBER", 10)])
+    routes = [replace(r, build=looked(r.source_id, r.build)) for r in _routes() if r.source_id != "futures_positions"]
+    by_source = {r.source_id: whole.filter(F.col("source_id") == r.source_id) for r in routes}
+    log = ingest.ingest_all(spark, str(tmp_path / "a"), by_source, routes, calendar, "r1")
+    assert held == [(name, [f"source_id={name}"]) for name in ("equity_d1", "brent", "equity_lot_sizes")]
+    assert files[1] == files[2] == []
+    assert not {p.name.split("-")[0] for p in set(shared.iterdir()) - before} & {"landed", "ingest", "merge"}
+    plain = [r for r in _routes() if r.source_id != "futures_positions"]
+    assert _journal(log) == _journal(ingest.ingest_all(spark, str(tmp_path / "b"), whole, plain, calendar, "r1"))
+    nothing = ingest.ingest_all(spark, str(tmp_path / "c"), {"equity_d1": by_source["equity_d1"]}, plain, calendar, "r1")
+    assert [r for r in _journal(nothing) if r[0] == "brent"] == []
+    assert rows(store.read_table(spark, f"{tmp_path}/c/bar"), "asset_id", "close") == [("EQ_AST_SBER", dec(1))]
