@@ -66,3 +66,24 @@ def test_changed_series_equal_a_full_comparison(spark, tmp_path):
     assert ds.changed_series(spark, paths[0], paths[2]).count() == 0
     assert "PartitionFilters: [branch" in found._jdf.queryExecution().executedPlan().toString()
     assert dec(1) == dec("1.0")
+
+
+def test_a_merge_makes_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    window = SessionWindow((d("2026-08-03"), d("2026-08-04"), d("2026-08-05")))
+    first = full_bars(spark, [("A", "2026-08-03", 1), ("B", "2026-08-03", 2), ("A", "2026-08-04", 3)]).withColumn("n", F.lit(1))
+    again = full_bars(spark, [("A", "2026-08-03", None), ("B", "2026-08-05", 4)]).withColumn("n", F.lit(1))
+    found = {}
+    for folded in (False, True):
+        root, seen.value = str(tmp_path / str(folded)), 0
+        for part in (first, again):
+            mt.merge_counted(spark, root, QUOTES, part.mapInPandas(passed, part.schema), ["n"], folded=folded)
+        assert seen.value == 5
+        found[folded] = rows(mt.coverage_from_counts(mt.kept_counts(spark, root), QUOTES, window), "sessions_covered", "rows_total", "rows_with_values")
+    assert found[False] == found[True] == [(3, 4, 3)]
