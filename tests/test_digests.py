@@ -98,3 +98,19 @@ def test_streaks_with_unknown_moments(spark):
     got = rows(jr.source_health(frame, 2), "source_id", "consecutive_failures", "attempts", "is_open")
     assert got == [("a", 2, 2, False), ("b", 1, 2, True), ("c", 0, 2, True)]
     assert dec("1") == dec(1)
+
+
+def test_digests_read_the_bars_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    t = tables(spark, CLOSES)
+    counted = {**t, "bar": t["bar"].mapInPandas(passed, t["bar"].schema)}
+    log = journal(spark, [(LONG[1], "brent", "failed", 1, "2026-08-30 10:00:00")])
+    got = dg.window_digests(counted, sessions(spark, LONG), log, SETTINGS).collect()
+    assert seen.value == t["bar"].count()
+    assert sorted(got) == sorted(dg.window_digests(t, sessions(spark, LONG), log, SETTINGS).collect())
