@@ -114,3 +114,7 @@ def test_digests_read_the_bars_once(spark):
     got = dg.window_digests(counted, sessions(spark, LONG), log, SETTINGS).collect()
     assert seen.value == t["bar"].count()
     assert sorted(got) == sorted(dg.window_digests(t, sessions(spark, LONG), log, SETTINGS).collect())
+    late = {**t, "bar": tables(spark, [*CLOSES, ("GAZP", LONG[2], 7)])["bar"]}
+    reused = dg.marks(late, sessions(spark, LONG), log, dg.marks(t, sessions(spark, LONG), log))
+    unread = {"bar": late["bar"], "sector": late["sector"]}
+    assert sorted(dg.window_digests(unread, sessions(spark, LONG), log, SETTINGS, reused).collect()) == sorted(dg.window_digests(late, sessions(spark, LONG), log, SETTINGS).collect())
