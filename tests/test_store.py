@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from tradeaxis.operators import calendar as cal
 from tradeaxis.operators import store
 from tradeaxis.operators.dedup import earliest_by, insert_if_absent, latest_by, upsert
+from tradeaxis.plans import q_store
+from tradeaxis.views import Views
 
 WEEK = ["2024-05-15", "2024-05-16", "2024-05-17", "2024-05-20", "2024-05-21"]
 
@@ -175,3 +177,19 @@ def test_folded_rows_replace_stored_ones_as_a_fold_does(spark, tmp_path):
         store.merge_into(spark, path, series(spark, late), keys, ["n"], folded=folded)
         found.append(rows(store.read_table(spark, path), "series_id", "session_date", "value"))
     assert found[0] == found[1] and len(found[0]) == 6
+
+
+def test_upsert_of_aggregates_deals_its_rows_by_their_number(spark, tmp_path, monkeypatch):
+    data = [(1, "2024-05-16", 2.5, "N", "F"), (1, "2024-05-16", 3.25, "R", "F"), (1, "2024-05-17", 1.0, "R", "F"), (1, "2024-05-16", 7.0, "A", "O"), (None, "2024-05-16", 4.0, "N", "O"), (2, "2024-05-18", 6.0, "N", None)]
+    items = spark.createDataFrame(data, "l_suppkey LONG, day STRING, l_extendedprice DOUBLE, l_returnflag STRING, l_linestatus STRING")
+    rest = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax")
+    items.withColumn("l_shipdate", F.col("day").cast("timestamp")).withColumns({c: F.lit(1) for c in rest}).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(q_store, "_LAID_ROWS", 3)
+    laid = q_store.upsert_aggregates(Views(spark, str(tmp_path)))
+    assert laid._jdf.queryExecution().executedPlan().toString().count(", 3), REPARTITION_BY_NUM") == 2
+    assert dict(laid.dtypes)["value"] == dict(laid.dtypes)["num_trades"] == dict(laid.dtypes)["waprice"] == "decimal(28,9)"
+    assert rows(laid) == [
+        ("EQ_PRS_000000001", "EQ_AST_000000001", d("2024-05-16"), dec(7), dec(1), dec(7)),
+        ("EQ_PRS_000000001", "EQ_AST_000000001", d("2024-05-17"), dec(1), dec(1), None),
+        (None, None, d("2024-05-16"), dec(4), dec(1), dec(4)),
+    ]
