@@ -199,3 +199,53 @@ def test_sources_land_one_after_the_other_and_leave_no_shuffle(spark, tmp_path,
     nothing = ingest.ingest_all(spark, str(tmp_path / "c"), {"equity_d1": by_source["equity_d1"]}, plain, calendar, "r1")
     assert [r for r in _journal(nothing) if r[0] == "brent"] == []
     assert rows(store.read_table(spark, f"{tmp_path}/c/bar"), "asset_id", "close") == [("EQ_AST_SBER", dec(1))]
+
+
+def test_sessions_land_in_batches_and_end_as_one(spark, tmp_path, monkeypatch):
+    shared, days = Path(shared_folder(spark)), ["2026-06-29", "2026-06-30", "2026-07-01"]
+    calendar = sessions(spark, days)
+    quotes = [("SBER", days[0], "1", 1), ("SBER", days[0], "2", 2), ("SBER", days[1], "3", 3), ("GAZP", days[1], "4", 4), ("SBER", days[2], "5", 5), ("SBER", "2026-07-02", "6", 6)]
+    typed = landed(spark, quotes).withColumn("VALUE", F.lit("7"))
+    typed = typed.unionByName(typed.limit(1).withColumn("session_date", F.lit(None).cast("date")))
+    arrived = {"equity_d1": ingest.landed("equity_d1", typed)}
+    held, made, before = [], [], set(shared.iterdir())
+
+    def looked(rows):
+        held.append(len([f for f in set(shared.iterdir()) - before if f.name.startswith("landed")]))
+        return equity.bars(rows, ["n"])
+
+    fields = "SECID string, VALUE string, NUMTRADES string, WAPRICE string, n int"
+    routes = [
+        ingest.Route("equity_d1", "bar", QUOTE, looked, folded=True, by_session=True),
+        ingest.Route("equity_agg", "aggregate", fields, lambda r: equity.aggregates(r, ["n"]), folded=True, reads="equity_d1", by_session=True),
+    ]
+    monkeypatch.setattr(store, "staged_at", lambda df, path: made.append(path) or staged_at(df, path))
+
+    def ran(name, served, down=None):
+        log = ingest.ingest_all(spark, str(tmp_path / name), arrived, served, calendar, "r1", grain="month", unreachable=down)
+        return _journal(log), [rows(store.read_table(spark, f"{tmp_path}/{name}/{t}")) for t in ("bar", "aggregate", "asset", "price_series")]
+
+    whole = ran("whole", routes)
+    assert held == [1]
+    monkeypatch.setattr(ingest, "_BATCH_ROWS", 1)
+    held.clear()
+    assert ran("dealt", routes) == whole
+    assert held == [1, 1] and made == []  # a month at a time, and no partition that is new is copied
+    down = spark.createDataFrame([("equity_d1", d(days[1]), "timeout")], "source_id STRING, session_date DATE, reason STRING")
+    log, stored = ran("dealt", routes[:1], down)  # laid over itself
+    assert stored[:2] == whole[1][:2] and made
+    assert [r[1] for r in log if r[2] == "failed"] == [d(days[1])] and len(log) == 3 + 2
+    assert not {p.name.split("-")[0] for p in set(shared.iterdir()) - before} & {"landed", "ingest", "merge", "registry"}
+
+
+def test_batches_hold_whole_partitions_and_their_number_is_bounded(spark, monkeypatch):
+    many = spark.sql("select date_add(date '2024-01-01', cast(id % 366 as int)) as session_date from range(3660)").unionByName(spark.sql("select cast(null as date) as session_date"))
+    assert [b.parts for b in ingest.batches(many.limit(0), "day")] == [()]
+    assert len(ingest.batches(many, "month")) == 1
+    monkeypatch.setattr(ingest, "_BATCH_ROWS", 10)
+    dealt = ingest.batches(many, "day")
+    assert 8 <= len(dealt) <= 9 and sum(len(b.parts) for b in dealt) == 366
+    monkeypatch.setattr(ingest, "_BATCHES", 1000)
+    dealt = ingest.batches(many, "month")
+    assert [b.parts for b in dealt] == [(f"2024-{m:02}",) for m in range(1, 13)]
+    assert [b.of(many).count() for b in dealt] == [311, 290, 310, 300, 310, 300, 310, 310, 300, 310, 300, 310]  # a row without a day is in the first
